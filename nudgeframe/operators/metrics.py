@@ -15,34 +15,39 @@ from nudgeframe.plans.prefix import running
 ENTITY, TREATMENT, TARGET, SCORE = "client_id", "treatment_flg", "target", "uplift"
 
 
-def _binary(name: str) -> Column:
-    value = F.col(name)
-    return (
-        F.when(value.isin(0, 1), value.cast("long"))
-        .otherwise(F.raise_error(F.lit(f"{name} must be binary 0/1")).cast("long"))
-        .alias(name)
-    )
+def _is_bad() -> Column:
+    target, treatment, score = F.col(TARGET), F.col(TREATMENT), F.col(SCORE).cast("double")
+    fine = target.isin(0, 1) & treatment.isin(0, 1) & score.isNotNull() & ~F.isnan(score)
+    return (~F.coalesce(fine, F.lit(False))).cast("long")
 
 
-def _finite_score() -> Column:
-    value = F.col(SCORE).cast("double")
-    return (
-        F.when(value.isNotNull() & ~F.isnan(value), value)
-        .otherwise(F.raise_error(F.lit("uplift contains missing values")).cast("double"))
-        .alias(SCORE)
+def guarded(scores: DataFrame, by=()) -> DataFrame:
+    """Pruned input with rows that break the contract marked as bad.
+
+    The mark is summed with the other totals and fails the job in ``_checked``,
+    after the ordering, where the optimiser cannot move it past a caller's filter.
+    """
+    return scores.select(
+        *by,
+        ENTITY,
+        F.col(TREATMENT).cast("long").alias(TREATMENT),
+        F.col(TARGET).cast("long").alias(TARGET),
+        F.col(SCORE).cast("double").alias(SCORE),
+        _is_bad().alias("bad"),
     )
 
 
-def guarded(scores: DataFrame, by=()) -> DataFrame:
-    """Pruned input whose bad rows fail the job when they are read."""
-    return scores.select(*by, ENTITY, _binary(TREATMENT), _binary(TARGET), _finite_score())
+def _checked(n: Column, bad: Column, treated: Column) -> Column:
+    """The group's row count, or an error when its scores cannot be evaluated."""
 
+    def fail(message):
+        return F.raise_error(F.lit(message)).cast("long")
 
-def _both_arms(treated: Column, control: Column, value: Column) -> Column:
-    missing = (treated == 0) | (control == 0)
-    return F.when(
-        missing, F.raise_error(F.lit("uplift metrics require both treatment and control rows")).cast("double")
-    ).otherwise(value)
+    return (
+        F.when(bad > 0, fail("labels must be binary 0/1 and uplift must not be missing"))
+        .when((treated == 0) | (treated == n), fail("uplift metrics require both treatment and control rows"))
+        .otherwise(n)
+    )
 
 
 def score_problems(scores: DataFrame, by=()) -> DataFrame:
@@ -73,10 +78,23 @@ def ranked(scores: DataFrame, by=()) -> DataFrame:
         guarded(scores, by),
         list(by),
         [(SCORE, True), (ENTITY, False)],
-        {"rank": F.lit(1).cast("long"), "cum_t": t, "cum_yt": t * y, "cum_yc": (1 - t) * y},
+        {"rank": F.lit(1).cast("long"), "cum_t": t, "cum_yt": t * y, "cum_yc": (1 - t) * y, "cum_bad": F.col("bad")},
         totals=True,
     )
-    return out.withColumn("cum_c", F.col("rank") - F.col("cum_t")).withColumnRenamed("total_rank", "n")
+    n = _checked(F.col("total_rank"), F.col("total_cum_bad"), F.col("total_cum_t"))
+    return out.select(
+        *by,
+        ENTITY,
+        TREATMENT,
+        TARGET,
+        SCORE,
+        "rank",
+        n.alias("n"),
+        "cum_t",
+        (F.col("rank") - F.col("cum_t")).alias("cum_c"),
+        "cum_yt",
+        "cum_yc",
+    )
 
 
 def _qini(cum_t, cum_c, cum_yt, cum_yc) -> Column:
@@ -130,15 +148,11 @@ def _area(value: Column) -> Column:
     return (F.sum(value) - ends / 2) / n
 
 
-def _arm_totals(column: Column) -> Column:
-    return _both_arms(F.max("total_cum_t"), F.max("n") - F.max("total_cum_t"), column)
-
-
 def _curve_areas():
     points = _point_columns()
     return (
-        F.round(_arm_totals(_area(points["qini"])), 6).alias("qini_auc"),
-        F.round(_arm_totals(_area(points["uplift_rate"])), 6).alias("uplift_auc"),
+        F.round(_area(points["qini"]), 6).alias("qini_auc"),
+        F.round(_area(points["uplift_rate"]), 6).alias("uplift_auc"),
     )
 
 
@@ -162,13 +176,14 @@ def count_curve(scores: DataFrame, by=()) -> DataFrame:
             F.sum(t).alias("m_t"),
             F.sum(t * y).alias("m_yt"),
             F.sum((1 - t) * y).alias("m_yc"),
+            F.sum("bad").alias("m_bad"),
         )
     )
     walk = running(
         per_score,
         list(by),
         [(SCORE, True)],
-        {"x": F.col("m"), "cum_t": F.col("m_t"), "cum_yt": F.col("m_yt"), "cum_yc": F.col("m_yc")},
+        {"x": F.col("m"), "cum_t": F.col("m_t"), "cum_yt": F.col("m_yt"), "cum_yc": F.col("m_yc"), "bad": F.col("m_bad")},
         totals=True,
     )
     now = _qini(F.col("cum_t"), F.col("x") - F.col("cum_t"), F.col("cum_yt"), F.col("cum_yc"))
@@ -182,7 +197,10 @@ def count_curve(scores: DataFrame, by=()) -> DataFrame:
         now.alias("y"),
         x0.alias("x_before"),
         before.alias("y_before"),
-        *[F.col(f"total_{name}").alias(f"total_{name}") for name in ("x", "cum_t", "cum_yt", "cum_yc")],
+        _checked(F.col("total_x"), F.col("total_bad"), F.col("total_cum_t")).alias("total_x"),
+        "total_cum_t",
+        "total_cum_yt",
+        "total_cum_yc",
     )
 
 
@@ -200,11 +218,7 @@ def _count_areas(scores: DataFrame, by) -> DataFrame:
 def _oracle_terms():
     n, treated = F.col("n_x"), F.col("n_cum_t")
     control = n - treated
-    gain = _both_arms(
-        treated,
-        control,
-        F.col("n_cum_yt") - treated * F.col("n_cum_yc") / F.nullif(control, F.lit(0.0)),
-    )
+    gain = F.col("n_cum_yt") - treated * F.col("n_cum_yc") / F.nullif(control, F.lit(0.0))
     return n, gain
 
 
