@@ -113,9 +113,12 @@ def reference_date(purchases: DataFrame, lookup: DataFrame, policy: str) -> str
         clean.text_id(F.col(KEY)).alias(KEY),
         clean.timestamp_or_null(F.col(TIME)).alias(TIME),
     )
-    # Per-key extremes before the join: the filter keeps a key's maximum when the
-    # policy looks forward, so only the pre-issue policy needs single rows.
-    if policy != "pre_issue_only":
+    # Rows shrink before a shuffled join: to each key's maximum when the policy
+    # looks forward (the filter keeps it), else to distinct times. A lookup that
+    # Spark broadcasts filters inside the scan stage and needs neither.
+    if fits_broadcast(lookup):
+        pass
+    elif policy != "pre_issue_only":
         times = times.groupBy(KEY).agg(F.max(TIME).alias(TIME))
     else:
         times = times.distinct()

@@ -31,7 +31,7 @@ def input_bytes(df: DataFrame) -> int | None:
     try:
         leaves = df._jdf.queryExecution().analyzed().collectLeaves()
         return sum(
-            int(leaves.apply(i).stats().sizeInBytes().toString())
+            int(str(leaves.apply(i).stats().sizeInBytes()))
             for i in range(leaves.size())
         )
     except Exception:
