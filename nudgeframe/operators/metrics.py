@@ -281,7 +281,10 @@ def _unpivot(wide: DataFrame, by, cutoffs) -> DataFrame:
     return wide.select(*by, "n", rows.alias("r")).select(*by, "n", "r.cutoff_pct", "r.cutoff", "r.uplift_at_k")
 
 
-def _cutoff_rates(scores: DataFrame, cutoffs, by=()) -> DataFrame:
+def uplift_by_cutoff(scores: DataFrame, cutoffs, by=()) -> DataFrame:
+    """Rates beside the cutoff share and the group's row count, long form."""
+    if any(not 0 < k <= 1 for k in cutoffs):
+        raise ValueError("cutoffs must lie in (0, 1]")
     wide = ranked(scores, by).groupBy(*by).agg(
         F.max("n").alias("n"), *[_top_rates(k).alias(f"__k{i}") for i, k in enumerate(cutoffs)]
     )
@@ -290,9 +293,7 @@ def _cutoff_rates(scores: DataFrame, cutoffs, by=()) -> DataFrame:
 
 def uplift_at_k(scores: DataFrame, cutoffs=(0.05, 0.10, 0.20, 0.30), by=()) -> DataFrame:
     """Response-rate gap among the top rows; null when an arm is missing."""
-    if any(not 0 < k <= 1 for k in cutoffs):
-        raise ValueError("cutoffs must lie in (0, 1]")
-    return _cutoff_rates(scores, cutoffs, by).select(*by, "cutoff_pct", "uplift_at_k")
+    return uplift_by_cutoff(scores, cutoffs, by).select(*by, "cutoff_pct", "uplift_at_k")
 
 
 def decile_table(scores: DataFrame, n_bins: int = 10, by=()) -> DataFrame:
@@ -358,7 +359,7 @@ def _gain_rows(rates: DataFrame, policy: EvalPolicy, by) -> DataFrame:
 
 
 def policy_gain(scores: DataFrame, policy: EvalPolicy = EvalPolicy(), by=()) -> DataFrame:
-    return _gain_rows(_cutoff_rates(scores, policy.cutoffs, by), policy, by)
+    return _gain_rows(uplift_by_cutoff(scores, policy.cutoffs, by), policy, by)
 
 
 def metric_bundle(scores: DataFrame, by=(), cutoffs=(0.05, 0.10, 0.20, 0.30)) -> DataFrame:

@@ -152,43 +152,59 @@ def _schema_checks(spark: SparkSession, tables: dict[str, DataFrame], columns: C
     return spark.createDataFrame(rows, CHECK_SCHEMA)
 
 
+def _flagged(value: Column, level: str | None, above: float = 0.0) -> Column:
+    return F.lit("info") if level is None else F.when(value > above, level).otherwise("ok")
+
+
+def _table_pass(df: DataFrame, name: str, columns: Columns, high_null: float) -> DataFrame:
+    """Row count, null rates, label and date checks of one table, in one scan."""
+    measures = {("row_count", None): (F.count(F.lit(1)), None, 0.0)}
+    n = F.nullif(F.count(F.lit(1)).cast("double"), F.lit(0.0))
+    if name == "train":
+        for label in (columns.treatment, columns.target):
+            if label in df.columns:
+                bad = F.count_if(F.col(label).isNotNull() & ~F.col(label).isin(0, 1))
+                measures["non_binary_label", label] = (bad, "error", 0.0)
+    for column in NULL_CHECK_COLUMNS.get(name, ()):
+        if column in df.columns:
+            rate = F.round(F.count_if(_missing(df, column)) / n, 6)
+            measures["null_rate", column] = (rate, "warning", high_null)
+    for table, column in (("purchases", "transaction_datetime"), ("train", "first_issue_date")):
+        if table == name and column in df.columns:
+            bad = F.count_if(clean.timestamp_or_null(F.col(column)).isNull())
+            measures["unparseable_dates", column] = (F.round(bad / n, 6), "warning", 0.0)
+    wide = df.agg(*[measure.cast("double").alias(f"v{i}") for i, (measure, _, _) in enumerate(measures.values())])
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(check).alias("check"),
+                F.lit(name).alias("table_name"),
+                F.lit(column).cast("string").alias("column_name"),
+                F.col(f"v{i}").alias("value"),
+                _flagged(F.col(f"v{i}"), level, above).alias("severity"),
+            )
+            for i, ((check, column), (_, level, above)) in enumerate(measures.items())
+        ]
+    )
+    return wide.select(F.explode(cells).alias("r")).select("r.*")
+
+
 def dataset_checks(
     tables: dict[str, DataFrame], columns: Columns = Columns(), high_null: float = 0.30
 ) -> DataFrame:
-    """The full dataset report, over whole tables (no head sample)."""
-    spark = tables["train"].sparkSession
+    """The full dataset report, over whole tables (no head sample): one pruned
+    scan per table, plus key-only scans for duplicates, overlap and coverage."""
     key = columns.entity
-    frames = [_schema_checks(spark, tables, columns)]
-    for name, df in tables.items():
-        frames.append(_check(df.agg(F.count(F.lit(1)).alias("n")), "row_count", name, None, "n", None))
+    frames = [_schema_checks(tables["train"].sparkSession, tables, columns)]
+    frames += [_table_pass(df, name, columns, high_null) for name, df in tables.items()]
     for name in ("train", "scoring"):
         if key in tables[name].columns:
             frames.append(_check(duplicate_count(tables[name], key), "duplicate_keys", name, key, "duplicates", "error"))
     overlap = _ids(tables["train"], key).join(_ids(tables["scoring"], key), key, "left_semi")
     frames.append(_check(overlap.agg(F.count(F.lit(1)).alias("n")), "train_scoring_overlap", "train", key, "n", "error"))
-    for label in (columns.treatment, columns.target):
-        if label in tables["train"].columns:
-            value = F.col(label)
-            bad = tables["train"].agg(F.count_if(value.isNotNull() & ~value.isin(0, 1)).alias("n"))
-            frames.append(_check(bad, "non_binary_label", "train", label, "n", "error"))
     for left in ("train", "scoring", "purchases"):
         covered = key_coverage(tables[left], tables["clients"], key)
         frames.append(_check(covered, "coverage_in_clients", left, key, "coverage", None))
-    rates = null_rates(tables, NULL_CHECK_COLUMNS)
-    frames.append(
-        rates.select(
-            F.lit("null_rate").alias("check"),
-            "table_name",
-            "column_name",
-            F.col("null_rate").alias("value"),
-            F.when(F.col("null_rate") > high_null, "warning").otherwise("ok").alias("severity"),
-        )
-    )
-    dated = [("purchases", "transaction_datetime"), ("train", "first_issue_date")]
-    for name, column in dated:
-        if column in tables[name].columns:
-            rate = unparseable_rate(tables[name], column)
-            frames.append(_check(rate, "unparseable_dates", name, column, "rate", "warning"))
     return union(frames)
 
 
