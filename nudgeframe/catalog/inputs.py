@@ -292,11 +292,11 @@ SQL_VIEWS = {
         o_orderkey
       from orders)""",
     "gains": """
-      select experiment_id, seq, run_id, status, key, gain from (
-        select *, 'top_10pct_zero_cost' as key, cast((o_orderkey * 31) % 101 as double) - 20.0::double as gain from trials union all
-        select *, 'top_20pct_zero_cost', cast((o_orderkey * 37) % 101 as double) - 20.0::double from trials union all
-        select *, 'top_10pct_low_cost', cast((o_orderkey * 41) % 101 as double) - 30.0::double from trials union all
-        select *, 'top_20pct_low_cost', case when o_orderkey % 5 = 0 then null else cast((o_orderkey * 43) % 101 as double) - 30.0::double end from trials)""",
+      select experiment_id, seq, run_id, status, pos, key, gain from (
+        select *, 0 as pos, 'top_10pct_zero_cost' as key, cast((o_orderkey * 31) % 101 as double) - 20.0::double as gain from trials union all
+        select *, 1, 'top_20pct_zero_cost', cast((o_orderkey * 37) % 101 as double) - 20.0::double from trials union all
+        select *, 2, 'top_10pct_low_cost', cast((o_orderkey * 41) % 101 as double) - 30.0::double from trials union all
+        select *, 3, 'top_20pct_low_cost', case when o_orderkey % 5 = 0 then null else cast((o_orderkey * 43) % 101 as double) - 30.0::double end from trials)""",
     "hypotheses": f"""
       select o_orderkey as seq, o_custkey || '-' || (o_orderkey % 3) as hypothesis_id,
         {_sql_list(HYPOTHESIS_STATES)}[cast(o_orderkey % 5 + 1 as integer)] as status,

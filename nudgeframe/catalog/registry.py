@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nudgeframe.catalog.inputs import Study, with_views
 
-_AREAS = ("feature_queries", "quality_queries", "metric_queries", "decision_queries")
+_AREAS = ("feature_queries", "quality_queries", "metric_queries", "decision_queries", "trial_queries")
 
 
 class Area:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nudgeframe.plans.prefix import running
@@ -18,16 +18,11 @@ def run_pairs(runs: DataFrame, group: str | None = None) -> DataFrame:
 
     ``runs`` is a table of runs, not of scores: a few rows per experiment.
     """
-    keys = ["run_id"] if group is None else [group, "run_id"]
-    listed = runs.select(*keys).distinct()
-    if group is None:
-        ids = F.sort_array(F.collect_set("run_id"))
-        listed = listed.agg(ids.alias("runs")).select(F.posexplode("runs").alias("i", "run_a"), "runs")
-    else:
-        ids = F.sort_array(F.collect_set("run_id"))
-        listed = listed.groupBy(group).agg(ids.alias("runs")).select(group, F.posexplode("runs").alias("i", "run_a"), "runs")
+    keys = [] if group is None else [group]
+    ids = F.sort_array(F.collect_set("run_id")).alias("runs")
+    listed = runs.groupBy(*keys).agg(ids).select(*keys, F.posexplode("runs").alias("i", "run_a"), "runs")
     later = F.explode(F.slice("runs", F.col("i") + 2, F.size("runs")))
-    return listed.select(*([] if group is None else [group]), "run_a", later.alias("run_b"))
+    return listed.select(*keys, "run_a", later.alias("run_b"))
 
 
 def shared_scores(scores: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -125,25 +120,21 @@ def ranking_stability(
 
 
 def policy_cutoffs(gains: DataFrame, run_keys: list[str]) -> DataFrame:
-    """Best cutoff per run and scenario from (run..., key, gain) rows.
-
-    On equal gains the key listed first wins: ``position`` when the caller has
-    one, else the smaller cutoff.
-    """
+    """Best cutoff per run and scenario from ``gain_rows``; the key listed first
+    wins among equal gains."""
     cutoff = F.regexp_extract("key", POLICY_KEY, 1)
-    order = F.col("position") if "position" in gains.columns else cutoff.cast("int")
     usable = gains.filter(F.col("gain").isNotNull() & ~F.isnan("gain") & F.col("key").rlike(POLICY_KEY))
     parsed = usable.select(
         *run_keys,
         F.regexp_extract("key", POLICY_KEY, 2).alias("scenario"),
-        F.struct("gain", (-order).alias("first"), F.concat(F.lit("top_"), cutoff, F.lit("pct")).alias("cutoff")).alias("b"),
+        F.struct("gain", (-F.col("position")).alias("first"), F.concat(F.lit("top_"), cutoff, F.lit("pct")).alias("cutoff")).alias("b"),
     )
     return parsed.groupBy(*run_keys, "scenario").agg(F.max("b").alias("b")).select(*run_keys, "scenario", "b.cutoff", "b.gain")
 
 
 def gain_rows(trials: DataFrame, keys: list[str]) -> DataFrame:
-    """Policy-gain maps as (keys..., key, gain) rows."""
-    return trials.select(*keys, F.explode("policy_gain").alias("key", "gain"))
+    """Policy-gain maps as (keys..., position, key, gain) rows in map order."""
+    return trials.select(*keys, F.posexplode("policy_gain").alias("position", "key", "gain"))
 
 
 def policy_stability(trials: DataFrame, group: str, min_gain: float = 0.0) -> DataFrame:

@@ -298,9 +298,7 @@ def wave_evidence(waves: DataFrame, trials: DataFrame) -> DataFrame:
         .withColumn("i", F.row_number().over(score_order))
         .filter("i <= 2")
     )
-    gain = F.max_by(
-        F.struct("key", "gain"), F.struct("gain", -F.length("key"), F.col("key"))
-    )
+    gain = F.max_by(F.struct("key", "gain"), F.struct("gain", -F.col("position")))
     pair = top.groupBy(EXPERIMENT).agg(
         F.max(F.when(F.col("i") == 1, F.col("run_id"))).alias("champion_run_id"),
         F.max(F.when(F.col("i") == 1, F.col("qini_auc"))).alias("champion_metric"),
