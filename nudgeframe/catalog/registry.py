@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nudgeframe.catalog.inputs import Study, with_views
 
-_AREAS = ("feature_queries", "quality_queries", "metric_queries", "decision_queries", "trial_queries")
+_AREAS = (
+    "feature_queries",
+    "quality_queries",
+    "metric_queries",
+    "decision_queries",
+    "trial_queries",
+    "model_queries",
+)
 
 
 class Area:

@@ -265,18 +265,22 @@ def feature_table(
     purchases: DataFrame,
     products: DataFrame | None = None,
     collapsed: DataFrame | None = None,
+    reference: str | None = None,
 ) -> DataFrame:
     """One row per cohort id with every block the recipe names.
 
     ``collapsed`` lets several recipes share one scan of the facts: it must hold
     the cohort's collapsed transactions (see ``shared_transactions``).
+    ``reference`` passes on an already computed reference date.
     """
     table = client_features(cohort, clients, recipe.feature_groups, recipe.reference_date)
     if not (recipe.wants_purchases or recipe.wants_products):
         return table
     lookup = facts.cohort_lookup(cohort, clients)
     source = purchases if collapsed is None else collapsed
-    reference = recipe.reference_date or facts.reference_date(source, lookup, recipe.temporal_policy)
+    reference = (
+        recipe.reference_date or reference or facts.reference_date(source, lookup, recipe.temporal_policy)
+    )
     if recipe.wants_purchases:
         if collapsed is None:
             history = facts.transactions(purchases, lookup, recipe.temporal_policy, reference)

@@ -241,6 +241,15 @@ def feature_table_checks(
     return union(frames)
 
 
+def require_schema(table: DataFrame, columns: Columns = Columns()) -> None:
+    """Raise before any job when a table lacks the key or carries a label."""
+    if columns.entity not in table.columns:
+        raise ValueError(f"feature table is missing {columns.entity}")
+    leaked = sorted(set(columns.labels) & set(table.columns))
+    if leaked:
+        raise ValueError(f"forbidden feature columns present: {leaked}")
+
+
 def require_feature_table(table: DataFrame, expected: DataFrame, forbidden=("target", "treatment_flg"), key="client_id"):
     """Raise when a feature table breaks its contract (one small job)."""
     failed = feature_table_checks(table, expected, forbidden, key=key).filter("severity = 'error'").collect()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nudgeframe.plans.prefix import running
+from nudgeframe.plans.rank_correlation import spearman
 from nudgeframe.plans.skew import skew_join
 
 ENTITY, SCORE = "client_id", "uplift"
@@ -38,42 +39,11 @@ def shared_scores(scores: DataFrame, pairs: DataFrame) -> DataFrame:
     return side("run_a", "left").join(side("run_b", "right"), ["run_a", "run_b", ENTITY])
 
 
-def _rank_column(shared: DataFrame, name: str) -> DataFrame:
-    """Tied ranks of one side per pair and distinct value."""
-    ties = shared.groupBy("run_a", "run_b", name).agg(F.count(F.lit(1)).alias("m"))
-    walk = running(ties, ["run_a", "run_b"], [(name, False)], {"upto": F.col("m")})
-    return walk.select(
-        "run_a", "run_b", name, (F.col("upto") - F.col("m") + (F.col("m") + 1) / F.lit(2.0)).alias(f"rank_{name}")
-    )
-
-
-def pearson(x, y, weight):
-    """Weighted correlation from plain sums; null for constant sides."""
-    n = F.sum(weight)
-    sx, sy = F.sum(weight * x), F.sum(weight * y)
-    sxx, syy, sxy = F.sum(weight * x * x), F.sum(weight * y * y), F.sum(weight * x * y)
-    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    return F.when((vx > 0) & (vy > 0), (n * sxy - sx * sy) / F.nullif(F.sqrt(vx) * F.sqrt(vy), F.lit(0.0)))
-
-
 def rank_correlation(scores: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Spearman correlation per run pair over shared entities.
-
-    Equal (left, right) score pairs merge before the ranks are attached, so tied
-    scores shrink the join instead of skewing it. Ranks are centred on the pair's
-    mean rank to keep the sums well conditioned.
-    """
-    shared = shared_scores(scores, pairs)
-    cells = shared.groupBy("run_a", "run_b", "left", "right").agg(F.count(F.lit(1)).alias("m"))
-    sizes = cells.groupBy("run_a", "run_b").agg(F.sum("m").alias("shared_entities"))
-    keys = ["run_a", "run_b"]
-    ranked = skew_join(cells, _rank_column(shared, "left"), [*keys, "left"], "inner", ["right"])
-    ranked = skew_join(ranked, _rank_column(shared, "right"), [*keys, "right"], "inner", ["left"])
-    ranked = skew_join(ranked, sizes, keys, "inner", ["left", "right"])
-    middle = (F.col("shared_entities") + 1) / F.lit(2.0)
-    correlation = pearson(F.col("rank_left") - middle, F.col("rank_right") - middle, F.col("m").cast("double"))
-    return ranked.groupBy(*keys).agg(
-        F.max("shared_entities").alias("shared_entities"), F.round(correlation, 6).alias("rank_correlation")
+    """Spearman correlation per run pair over shared entities."""
+    result = spearman(shared_scores(scores, pairs), ["run_a", "run_b"], "left", "right")
+    return result.select(
+        "run_a", "run_b", F.col("n").alias("shared_entities"), F.round("correlation", 6).alias("rank_correlation")
     )
 
 
