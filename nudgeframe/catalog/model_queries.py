@@ -141,12 +141,11 @@ def driver_stability(study):
 
 MODEL_RECIPE = Recipe(
     feature_groups=("demographic", "rfm", "basket", "points"),
-    windows_days=(90,),
     temporal_policy="safe_history_until_reference",
     reference_date=PINNED,
 )
 SMALL = {
-    "logistic_regression": {"max_iter": 20},
+    "logistic_regression": {"max_iter": 8},
     "gradient_boosting": {"n_estimators": 3},
     "random_forest": {"n_estimators": 5, "max_depth": 4, "min_samples_leaf": 10},
     "xgboost": {"n_estimators": 3, "max_depth": 2},
@@ -160,9 +159,16 @@ def _features(study, cohort):
     return features.feature_table(MODEL_RECIPE, ids, study.clients, study.purchases)
 
 
+_CUTS: dict = {}
+
+
 def _labelled(study):
-    """Labelled features behind a lineage cut: learners reread them often."""
-    return cut_lineage(features.labelled_features(_features(study, "train"), study.train))
+    """Labelled features behind a lineage cut. Like a feature artifact, the cut is
+    made once per session and input and serves every learner."""
+    key = (study.spark.sparkContext.applicationId, study.sf_dir)
+    if key not in _CUTS:
+        _CUTS[key] = cut_lineage(features.labelled_features(_features(study, "train"), study.train))
+    return _CUTS[key]
 
 
 def _spec(family, estimator="logistic_regression", run_id=None):
@@ -362,7 +368,7 @@ def plan_specs(study):
     # One plan document per experiment, its trials as specs.
     path = f"{artifacts.scratch_folder(study.spark)}/plans"
     study.trials.groupBy(F.col("experiment_id").alias("plan_id")).agg(F.collect_list(specs).alias("trial_specs")).write.json(path)
-    found = ledger.plan_specs(study.spark, path)
+    found = ledger.plan_specs(study.spark, path, one_per_file=False)
     return found.drop("params").join(ledger.spec_params(found), "spec_id")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from math import ceil, log2
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -174,9 +175,19 @@ def _numeric(df: DataFrame, columns) -> DataFrame:
 def fit_probability(df: DataFrame, columns: list[str], label, estimator: str, params: dict, seed: int) -> ProbabilityModel:
     """Median imputation, scaling (logistic only) and the classifier.
 
-    One aggregate tells the class balance and which columns hold any value.
+    One aggregate tells the class balance and which columns hold any value. The
+    projected training rows are persisted for the fit, since every stage and
+    every optimiser step rereads them.
     """
     data = _numeric(df, columns).select(*columns, label.cast("double").alias("label"))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_pipeline(data, columns, estimator, params, seed)
+    finally:
+        data.unpersist()
+
+
+def _fit_pipeline(data: DataFrame, columns: list[str], estimator: str, params: dict, seed: int) -> ProbabilityModel:
     facts = data.agg(
         F.count("label").alias("n"),
         F.min("label").alias("low"),

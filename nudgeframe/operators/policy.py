@@ -5,6 +5,7 @@ from math import erfc, sqrt
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from nudgeframe.config import EvalPolicy
 from nudgeframe.operators import metrics
@@ -219,7 +220,7 @@ def best_gain(grid: DataFrame) -> DataFrame:
     return known.groupBy("scenario").agg(best.alias("b")).select("scenario", "b.*")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail; sees one value per feature, never raw rows."""
     return z.map(lambda value: None if pd.isna(value) else erfc(abs(value) / sqrt(2.0)))

@@ -62,9 +62,12 @@ def rewrite(ledger: DataFrame, path: str) -> DataFrame:
     return load(ledger.sparkSession, path)
 
 
-def plan_specs(spark: SparkSession, *paths: str) -> DataFrame:
-    """Trial specs of tuning-plan documents, one row per spec."""
-    plans = spark.read.schema(PLAN_SCHEMA).option("multiLine", True).json(list(paths))
+def plan_specs(spark: SparkSession, *paths: str, one_per_file: bool = True) -> DataFrame:
+    """Trial specs of tuning-plan documents, one row per spec.
+
+    A plan is a whole (multi-line) file, or a line of a plan table.
+    """
+    plans = spark.read.schema(PLAN_SCHEMA).option("multiLine", one_per_file).json(list(paths))
     return plans.select("plan_id", F.explode("trial_specs").alias("s")).select("plan_id", "s.*")
 
 
