@@ -237,7 +237,7 @@ def champion_test_once(study):
 
 
 def _fitted(study, family="two_model", estimator="logistic_regression"):
-    parts = split.stratified_split(_labelled(study))
+    parts = cut_lineage(split.stratified_split(_labelled(study)))
     model = learners.fit_uplift(parts.filter("split = 'train'"), family, estimator, SMALL[estimator])
     return model, parts.filter("split = 'validation'").drop("split")
 
@@ -262,7 +262,8 @@ def native_importance(study):
 def model_segments(study):
     model, frame = _fitted(study)
     scored = model.arm_probabilities(frame).withColumn("uplift", F.col("p_treated") - F.col("p_control"))
-    return policy.segment_means(policy.five_way_segments(scored.select("client_id", "uplift", "p_treated", "p_control")))
+    scored = cut_lineage(scored.select("client_id", "uplift", "p_treated", "p_control"))
+    return policy.segment_means(policy.five_way_segments(scored))
 
 
 @AREA.query("submission")

@@ -11,19 +11,20 @@ from nudgeframe.operators.learners import TrialSpec, fit_uplift, run_trials, sco
 from nudgeframe.operators.quality import union
 from nudgeframe.operators.split import kfold, stratified_split
 from nudgeframe.operators.trials import fold_summary
+from nudgeframe.session import cut_lineage
 
 
 def fold_scores(
     labelled: DataFrame, spec: TrialSpec, n_folds: int = 5, seed: int = 20260501, columns: Columns = Columns()
 ) -> DataFrame:
     """Out-of-fold scores of one fixed configuration, keyed by run and fold."""
-    folds = kfold(labelled, n_folds, seed, columns)
+    folds = cut_lineage(kfold(labelled, n_folds, seed, columns))
     parts = []
     for fold in range(1, n_folds + 1):
         model = fit_uplift(folds.filter(F.col("fold") != fold), spec.family, spec.estimator, spec.params, seed, columns)
         out = scored(model, folds.filter(F.col("fold") == fold), columns)
         parts.append(out.select(F.lit(spec.run_id).alias("run_id"), F.lit(fold).alias("fold"), "*"))
-    return union(parts)
+    return cut_lineage(union(parts))
 
 
 def fold_metrics(scores: DataFrame, policy: EvalPolicy = EvalPolicy()) -> DataFrame:
@@ -54,7 +55,7 @@ def rerank_by_cv(
     Folds use the train and validation parts only; the test part stays sealed.
     ``validation`` holds (run_id, normalized_qini_auc) of the first selection.
     """
-    pool = stratified_split(labelled, policy, columns).filter("split != 'test'").drop("split")
+    pool = cut_lineage(stratified_split(labelled, policy, columns).filter("split != 'test'").drop("split"))
     scores = union([fold_scores(pool, spec, n_folds, seed, columns) for spec in candidates])
     summary = cv_summary(fold_metrics(scores))
     wide = summary.filter(F.col("metric").isin("normalized_qini_auc", "qini_auc", "uplift_auc")).groupBy("run_id").agg(
@@ -83,7 +84,7 @@ def select_and_open_test(
     """Screen on validation, re-rank the best non-random runs by folds, refit the
     winner on train and validation, and open the test part once."""
     spark = labelled.sparkSession
-    results = trial_results(run_trials(labelled, specs, policy, columns=columns), spark)
+    results = cut_lineage(trial_results(run_trials(labelled, specs, policy, columns=columns), spark))
     by_id = {spec.run_id: spec for spec in specs}
     leaders = (
         results.filter("status = 'success' and uplift_learner_family != 'random'")
@@ -91,9 +92,14 @@ def select_and_open_test(
         .limit(top_k)
         .collect()
     )
-    board = rerank_by_cv(labelled, [by_id[r["run_id"]] for r in leaders], results, policy, n_folds, columns=columns)
-    winner = by_id[board.first()["run_id"]]
-    parts = stratified_split(labelled, policy, columns)
+    board = cut_lineage(rerank_by_cv(labelled, [by_id[r["run_id"]] for r in leaders], results, policy, n_folds, columns=columns))
+    best = board.orderBy(
+        F.col("cv_mean_normalized_qini_auc").desc_nulls_last(),
+        F.col("validation_normalized_qini_auc").desc_nulls_last(),
+        "run_id",
+    ).first()
+    winner = by_id[best["run_id"]]
+    parts = cut_lineage(stratified_split(labelled, policy, columns))
     pool = parts.filter("split != 'test'").drop("split")
     model = fit_uplift(pool, winner.family, winner.estimator, winner.params, winner.split_seed, columns)
     test = scored(model, parts.filter("split = 'test'"), columns).select(F.lit(winner.run_id).alias("run_id"), "*")

@@ -11,6 +11,7 @@ from nudgeframe.operators.metrics import ENTITY, SCORE, TARGET, TREATMENT
 from nudgeframe.operators.quality import melted
 from nudgeframe.plans.prefix import running
 from nudgeframe.plans.rank_correlation import spearman
+from nudgeframe.session import cut_lineage
 
 # Name prefixes of behavioural features and leakage keywords.
 BEHAVIOUR_PREFIXES = ("purchase_", "txn_", "recency_", "basket_", "points_", "avg_transaction_", "product_")
@@ -151,8 +152,8 @@ def permutation_sensitivity(model, frame: DataFrame, top_n: int = 10, max_sample
     All features are scored in one transform of the (sample x feature) rows.
     """
     columns = [c for c in model.feature_columns if c in frame.columns]
-    sample = sample_rows(frame.select(ENTITY, *columns), max_samples, seed)
-    base = model.score(sample).select(ENTITY, F.col(SCORE).alias("base"))
+    scored = cut_lineage(model.score(sample_rows(frame.select(ENTITY, *columns), max_samples, seed)))
+    sample, base = scored.drop(SCORE), scored.select(ENTITY, F.col(SCORE).alias("base"))
     usable = usable_features(melted(sample, [], columns))
     moved = model.score(permuted_copies(sample, columns, seed)).select("feature", ENTITY, SCORE)
     change = (
@@ -161,7 +162,7 @@ def permutation_sensitivity(model, frame: DataFrame, top_n: int = 10, max_sample
         .groupBy("feature")
         .agg(F.round(F.avg(F.abs(F.col(SCORE) - F.col("base"))), 6).alias("mean_abs_uplift_change"))
     )
-    long = melted(sample.join(base, ENTITY), ["base"], columns).filter(F.col("value").isNotNull())
+    long = melted(scored.withColumnRenamed(SCORE, "base"), ["base"], columns).filter(F.col("value").isNotNull())
     association = spearman(long, ["feature"], "value", "base").select("feature", "correlation")
     return (
         change.join(association, "feature", "left")
@@ -179,9 +180,10 @@ def permutation_sensitivity(model, frame: DataFrame, top_n: int = 10, max_sample
 def permutation_importance(model, labelled: DataFrame, max_samples: int = 2000, seed=42) -> DataFrame:
     """Drop in normalised Qini when a feature's values are shuffled."""
     columns = [c for c in model.feature_columns if c in labelled.columns]
-    sample = sample_rows(labelled.select(ENTITY, TREATMENT, TARGET, *columns), max_samples, seed)
-    base = metrics.normalized_qini(model.score(sample))
-    moved = metrics.normalized_qini(model.score(permuted_copies(sample, columns, seed)), ["feature"])
+    picked = sample_rows(labelled.select(ENTITY, TREATMENT, TARGET, *columns), max_samples, seed)
+    scored = cut_lineage(model.score(picked))
+    base = metrics.normalized_qini(scored)
+    moved = metrics.normalized_qini(model.score(permuted_copies(scored.drop(SCORE), columns, seed)), ["feature"])
     drop = base.scalar() - F.col("normalized_qini_auc")
     return moved.select("feature", F.round(drop, 6).alias("normalized_qini_drop")).orderBy(
         F.col("normalized_qini_drop").desc(), "feature"

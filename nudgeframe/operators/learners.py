@@ -24,6 +24,7 @@ from nudgeframe.operators import metrics
 from nudgeframe.operators.features import feature_columns
 from nudgeframe.operators.quality import union
 from nudgeframe.operators.split import stratified_split
+from nudgeframe.session import cut_lineage
 
 _ARM = "__treatment__"
 FAMILIES = ("random", "response_model", "two_model", "solo_model", "class_transformation")
@@ -333,7 +334,8 @@ def run_trials(
         }
         try:
             if spec.split_seed not in splits:
-                splits[spec.split_seed] = stratified_split(labelled, replace(policy, seed=spec.split_seed), columns)
+                chosen = replace(policy, seed=spec.split_seed)
+                splits[spec.split_seed] = cut_lineage(stratified_split(labelled, chosen, columns))
             parts = splits[spec.split_seed]
             model = fit_uplift(
                 parts.filter("split = 'train'"), spec.family, spec.estimator, spec.params, spec.split_seed, columns
@@ -346,8 +348,12 @@ def run_trials(
         except Exception as error:  # one broken trial must not end the batch
             record |= {"status": "failed", "error": str(error)[:500]}
         records.append(record)
+    # Scores are read by several metrics: keep them, not the models' plans.
     return TrialBatch(
-        models, union(scores) if scores else None, union(held_out) if held_out else None, records
+        models,
+        cut_lineage(union(scores)) if scores else None,
+        cut_lineage(union(held_out)) if held_out else None,
+        records,
     )
 
 
