@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nudgeframe.functions import clean
-from nudgeframe.plans.sizing import fits_broadcast
-from nudgeframe.plans.skew import skew_join
+from nudgeframe.plans.sizing import fits_broadcast, is_small
+from nudgeframe.plans.skew import NONE, HeavyKeys, find_heavy_keys, skew_join
 
 KEY = "client_id"
 TIME = "transaction_datetime"
@@ -81,9 +81,19 @@ def temporal_condition(policy: str):
     return F.col(ISSUE).isNull() | conditions[policy]
 
 
-def within_policy(facts: DataFrame, lookup: DataFrame, policy: str, salt_by=None) -> DataFrame:
+def hot_clients(purchases: DataFrame, lookup: DataFrame) -> HeavyKeys:
+    """Clients holding more lines than one task should; searched once per build
+    in a sample of the key column, and only when a shuffled join lies ahead."""
+    if is_small(purchases) or fits_broadcast(lookup):
+        return NONE
+    return find_heavy_keys(purchases.select(clean.text_id(F.col(KEY)).alias(KEY)), [KEY])
+
+
+def within_policy(
+    facts: DataFrame, lookup: DataFrame, policy: str, salt_by=None, hot: HeavyKeys | None = None
+) -> DataFrame:
     """Cohort rows allowed by the temporal policy."""
-    joined = skew_join(facts, lookup, [KEY], "inner", salt_by)
+    joined = skew_join(facts, lookup, [KEY], "inner", salt_by, hot)
     return joined.filter(temporal_condition(policy)).drop(ISSUE)
 
 
@@ -104,11 +114,14 @@ def collapse(lines: DataFrame) -> DataFrame:
     )
 
 
-def reference_date(purchases: DataFrame, lookup: DataFrame, policy: str) -> str | None:
+def reference_date(
+    purchases: DataFrame, lookup: DataFrame, policy: str, hot: HeavyKeys | None = None
+) -> str | None:
     """Latest allowed purchase time in the cohort (one value to the driver).
 
     Reads two columns of the facts; a pinned recipe date skips this pass.
     """
+    hot = hot_clients(purchases, lookup) if hot is None else hot
     times = purchases.select(
         clean.text_id(F.col(KEY)).alias(KEY),
         clean.timestamp_or_null(F.col(TIME)).alias(TIME),
@@ -119,15 +132,15 @@ def reference_date(purchases: DataFrame, lookup: DataFrame, policy: str) -> str
     if fits_broadcast(lookup):
         pass
     elif policy != "pre_issue_only":
-        times = times.groupBy(KEY).agg(F.max(TIME).alias(TIME))
+        times, hot = times.groupBy(KEY).agg(F.max(TIME).alias(TIME)), NONE
     else:
         times = times.distinct()
-    latest = within_policy(times, lookup, policy, [TIME]).agg(F.max(TIME)).first()[0]
+    latest = within_policy(times, lookup, policy, [TIME], hot).agg(F.max(TIME)).first()[0]
     return None if latest is None else latest.isoformat()
 
 
 def transactions(
-    purchases: DataFrame, lookup: DataFrame, policy: str, reference: str | None
+    purchases: DataFrame, lookup: DataFrame, policy: str, reference: str | None, hot: HeavyKeys | None = None
 ) -> DataFrame:
     """Collapsed transactions of the cohort under policy and reference date.
 
@@ -138,4 +151,5 @@ def transactions(
     lines = until(purchase_lines(purchases), reference)
     if fits_broadcast(lookup):
         return collapse(within_policy(lines, lookup, policy))
-    return within_policy(collapse(lines), lookup, policy, ["transaction_id", TIME])
+    hot = hot_clients(purchases, lookup) if hot is None else hot
+    return within_policy(collapse(lines), lookup, policy, ["transaction_id", TIME], hot)

@@ -169,7 +169,9 @@ def purchase_features(cohort: DataFrame, transactions: DataFrame, windows=(), re
     return _fill(cohort.select(KEY).join(block, KEY, "left"), block)
 
 
-def product_aggregates(lines: DataFrame, products: DataFrame, diversity: bool = False) -> DataFrame:
+def product_aggregates(
+    lines: DataFrame, products: DataFrame, diversity: bool = False, probe: DataFrame | None = None
+) -> DataFrame:
     """Product breadth, quantity shares and (optionally) entropies per client.
 
     Lines shrink to (client, product) before meeting the product table. Then one
@@ -185,7 +187,7 @@ def product_aggregates(lines: DataFrame, products: DataFrame, diversity: bool =
         clean.number_or_zero(F.col("is_alcohol")).alias("alcohol"),
     )
     per_product = lines.groupBy(KEY, "product_id").agg(F.sum("product_quantity").alias("q"))
-    joined = skew_join(per_product, catalogue, ["product_id"], "left", [KEY])
+    joined = skew_join(per_product, catalogue, ["product_id"], "left", [KEY], probe=probe)
     kinds = {"product": F.col("product_id"), **{k: F.col(k) for k in ("level_1", "segment", "brand")}}
     exploded = joined.select(
         KEY,
@@ -241,6 +243,12 @@ def product_aggregates(lines: DataFrame, products: DataFrame, diversity: bool =
     )
 
 
+def _product_block(purchases, products, lookup, policy, reference, diversity, hot) -> DataFrame:
+    raw = facts.product_lines(purchases)
+    lines = facts.within_policy(facts.until(raw, reference), lookup, policy, ["product_id", TIME], hot)
+    return product_aggregates(lines, products, diversity, probe=raw.select("product_id"))
+
+
 def product_features(
     cohort: DataFrame,
     purchases: DataFrame,
@@ -250,11 +258,10 @@ def product_features(
     reference: str | None,
     diversity: bool = False,
 ) -> DataFrame:
+    hot = facts.hot_clients(purchases, lookup)
     if reference is None:
-        reference = facts.reference_date(purchases, lookup, policy)
-    lines = facts.until(facts.product_lines(purchases), reference)
-    lines = facts.within_policy(lines, lookup, policy, ["product_id", TIME])
-    block = product_aggregates(lines, products, diversity)
+        reference = facts.reference_date(purchases, lookup, policy, hot)
+    block = _product_block(purchases, products, lookup, policy, reference, diversity, hot)
     return _fill(cohort.select(KEY).join(block, KEY, "left"), block)
 
 
@@ -278,24 +285,24 @@ def feature_table(
         return table
     lookup = facts.cohort_lookup(cohort, clients)
     source = purchases if collapsed is None else collapsed
+    hot = facts.hot_clients(source, lookup)
     reference = (
-        recipe.reference_date or reference or facts.reference_date(source, lookup, recipe.temporal_policy)
+        recipe.reference_date or reference or facts.reference_date(source, lookup, recipe.temporal_policy, hot)
     )
     if recipe.wants_purchases:
         if collapsed is None:
-            history = facts.transactions(purchases, lookup, recipe.temporal_policy, reference)
+            history = facts.transactions(purchases, lookup, recipe.temporal_policy, reference, hot)
         else:
             history = facts.within_policy(
-                facts.until(collapsed, reference), lookup, recipe.temporal_policy, ["transaction_id", TIME]
+                facts.until(collapsed, reference), lookup, recipe.temporal_policy, ["transaction_id", TIME], hot
             )
         block = purchase_aggregates(history, recipe.windows_days, reference)
         table = _fill(table.join(block, KEY, "left"), block)
     if recipe.wants_products:
         if products is None:
             raise ValueError("product feature groups need a products table")
-        lines = facts.until(facts.product_lines(purchases), reference)
-        lines = facts.within_policy(lines, lookup, recipe.temporal_policy, ["product_id", TIME])
-        block = product_aggregates(lines, products, "diversity" in recipe.feature_groups)
+        diversity = "diversity" in recipe.feature_groups
+        block = _product_block(purchases, products, lookup, recipe.temporal_policy, reference, diversity, hot)
         table = _fill(table.join(block, KEY, "left"), block)
     return table
 
@@ -304,7 +311,7 @@ def shared_transactions(cohort: DataFrame, purchases: DataFrame) -> DataFrame:
     """Collapsed transactions of a cohort before any temporal filter: persist or
     write this once and derive every recipe from it."""
     ids = cohort.select(KEY).distinct()
-    return facts.collapse(skew_join(facts.purchase_lines(purchases), ids, [KEY], "left_semi", ["transaction_id"]))
+    return facts.collapse(skew_join(facts.purchase_lines(purchases), ids, [KEY], "left_semi", ["transaction_id", TIME]))
 
 
 def labelled_features(features: DataFrame, labels: DataFrame, columns: Columns = Columns()) -> DataFrame:

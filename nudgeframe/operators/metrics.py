@@ -168,9 +168,9 @@ def count_curve(scores: DataFrame, by=()) -> DataFrame:
     """Count-space Qini curve: one point per distinct score, ties collapsed
     before any ordering; carries the previous point for the trapezoids."""
     t, y = F.col(TREATMENT), F.col(TARGET)
+    rows = guarded(scores, by)
     per_score = (
-        guarded(scores, by)
-        .groupBy(*by, SCORE)
+        rows.groupBy(*by, SCORE)
         .agg(
             F.count(F.lit(1)).alias("m"),
             F.sum(t).alias("m_t"),
@@ -185,6 +185,7 @@ def count_curve(scores: DataFrame, by=()) -> DataFrame:
         [(SCORE, True)],
         {"x": F.col("m"), "cum_t": F.col("m_t"), "cum_yt": F.col("m_yt"), "cum_yc": F.col("m_yc"), "bad": F.col("m_bad")},
         totals=True,
+        probe=rows,
     )
     now = _qini(F.col("cum_t"), F.col("x") - F.col("cum_t"), F.col("cum_yt"), F.col("cum_yc"))
     t0 = F.col("cum_t") - F.col("m_t")

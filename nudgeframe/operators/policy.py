@@ -115,13 +115,11 @@ def segment_summary(scores: DataFrame, threshold: float = 0.10, by=()) -> DataFr
     the disjoint count, which is reported beside it).
     """
     cuts = exact_quantiles(scores, list(by), SCORE, {"high": 1 - threshold, "low": threshold})
-    joined = (
-        skew_join(scores.select(*by, SCORE), cuts, list(by))
-        if by
-        else scores.select(
-            SCORE, cuts.select("high").scalar().alias("high"), cuts.select("low").scalar().alias("low")
-        )
-    )
+    if by:
+        joined = skew_join(scores.select(*by, SCORE), cuts, list(by))
+    else:
+        both = cuts.select(F.struct("high", "low")).scalar()
+        joined = scores.select(SCORE, both.alias("c")).select(SCORE, "c.high", "c.low")
     high, low = F.col(SCORE) >= F.col("high"), F.col(SCORE) <= F.col("low")
     counts = joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_customers"),

@@ -82,10 +82,10 @@ def purchase_summary(purchases: DataFrame) -> DataFrame:
         F.count_distinct("store_id").alias("unique_stores"),
         F.round(F.avg(clean.number_or_null(F.col("purchase_sum"))), 6).alias("purchase_sum_mean"),
     )
-    return counts.select(
-        "*",
-        F.round(quantiles.select("p50").scalar(), 6).alias("purchase_sum_median"),
-        F.round(quantiles.select("p95").scalar(), 6).alias("purchase_sum_p95"),
+    return counts.withColumn("q", quantiles.select(F.struct("p50", "p95")).scalar()).select(
+        *counts.columns,
+        F.round("q.p50", 6).alias("purchase_sum_median"),
+        F.round("q.p95", 6).alias("purchase_sum_p95"),
     )
 
 
@@ -107,7 +107,10 @@ def feature_summary(table: DataFrame, features: list[str]) -> DataFrame:
         F.round(F.max(value), 6).alias("max"),
     )
     spread = long.groupBy("feature").agg(F.round(F.stddev_samp("value"), 6).alias("std"))
-    quartiles = exact_quantiles(long, ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    # Quartiles walk the same value counts, so their shuffle is shared.
+    quartiles = exact_quantiles(
+        counts, ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, weight="n", probe=long
+    )
     return (
         basic.join(spread, "feature")
         .join(quartiles, "feature", "left")

@@ -86,14 +86,17 @@ def running(
     sums: dict[str, Column],
     prior_max: dict[str, Column] | None = None,
     totals: bool = False,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Add inclusive running sums, exclusive running maxima and group totals.
 
     ``order`` lists ``(column, descending)``; descending columns must be numeric
-    and ``by`` columns non-null. Group totals appear as ``total_<name>``.
+    and ``by`` columns non-null. Group totals appear as ``total_<name>``. For a
+    costly derived ``df``, ``probe`` names a cheaper frame with the same key
+    columns to take cut points from.
     """
     prior_max = prior_max or {}
-    cuts = cut_points(df, by, order)
+    cuts = cut_points(df if probe is None else probe, by, order)
     bucket = F.lit(0) if cuts is None else _bucket_column(df, by, order, cuts)
     rows = df.select(
         "*",
@@ -147,10 +150,21 @@ def running(
     )
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Tie-averaged rank of every distinct value: (by..., value, ties, avg_rank)."""
-    ties = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    ranked = running(ties, by, [(value, False)], {"upto": F.col("ties")})
+def value_counts(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """Rows per group and distinct known value: (by..., value, ties)."""
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(rows.alias("ties"))
+
+
+def average_ranks(
+    df: DataFrame, by: list[str], value: str, weight: str | None = None, probe: DataFrame | None = None
+) -> DataFrame:
+    """Tie-averaged rank of every distinct value: (by..., value, ties, avg_rank).
+
+    ``weight`` names a row-count column when rows are already aggregated.
+    """
+    ties = value_counts(df, by, value, weight)
+    ranked = running(ties, by, [(value, False)], {"upto": F.col("ties")}, probe=df if probe is None else probe)
     return ranked.select(
         *by,
         value,
@@ -159,16 +173,29 @@ def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    probs: dict[str, float],
+    weight: str | None = None,
+    probe: DataFrame | None = None,
+) -> DataFrame:
     """Linearly interpolated exact quantiles, one row per group.
 
     Works on value counts and their running totals, so no task holds a group's
     full value list as the built-in exact ``percentile`` would.
     """
-    ties = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    walk = running(ties, by, [(value, False)], {"__upto": F.col("__n")}, totals=True)
-    last, first = F.col("__upto") - 1, F.col("__upto") - F.col("__n")
-    position = {name: (F.col("total___upto") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    walk = running(
+        value_counts(df, by, value, weight),
+        by,
+        [(value, False)],
+        {"upto": F.col("ties")},
+        totals=True,
+        probe=df if probe is None else probe,
+    )
+    last, first = F.col("upto") - 1, F.col("upto") - F.col("ties")
+    position = {name: (F.col("total_upto") - 1) * F.lit(float(p)) for name, p in probs.items()}
 
     def at(index):
         return F.max(F.when((first <= index) & (index <= last), F.col(value).cast("double")))

@@ -22,18 +22,20 @@ def spearman(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFra
     """(keys..., n, correlation) with tie-averaged ranks.
 
     Equal (left, right) pairs merge before the rank tables are joined on, so a
-    value shared by many rows shrinks the join instead of skewing it. Ranks are
-    centred on the group's mean rank to keep the sums well conditioned.
+    value shared by many rows shrinks the join instead of skewing it. The rank
+    tables and group sizes derive from the same merged cells, whose shuffle Spark
+    reuses. Ranks are centred on the group's mean rank to keep the sums well
+    conditioned.
     """
     cells = rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("m"))
     sizes = cells.groupBy(*keys).agg(F.sum("m").alias("n"))
 
     def ranks(side):
-        return average_ranks(rows, keys, side).select(*keys, side, F.col("avg_rank").alias(f"rank_{side}"))
+        return average_ranks(cells, keys, side, "m", probe=rows).select(*keys, side, F.col("avg_rank").alias(f"rank_{side}"))
 
-    ranked = skew_join(cells, ranks(left), [*keys, left], "inner", [right])
-    ranked = skew_join(ranked, ranks(right), [*keys, right], "inner", [left])
-    ranked = skew_join(ranked, sizes, keys, "inner", [left, right])
+    ranked = skew_join(cells, ranks(left), [*keys, left], "inner", [right], probe=rows)
+    ranked = skew_join(ranked, ranks(right), [*keys, right], "inner", [left], probe=rows)
+    ranked = skew_join(ranked, sizes, keys, "inner", [left, right], probe=rows)
     middle = (F.col("n") + 1) / F.lit(2.0)
     correlation = pearson(F.col(f"rank_{left}") - middle, F.col(f"rank_{right}") - middle, F.col("m").cast("double"))
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), correlation.alias("correlation"))

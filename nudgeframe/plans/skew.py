@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import DataFrame
@@ -15,21 +16,30 @@ _MAX_SALTS = 4096
 _SAMPLE_ROWS = 200_000
 
 
-def heavy_key_hashes(fact: DataFrame, on: list[str]) -> tuple[list[int], int]:
-    """Hashes of keys whose estimated row count exceeds one task, and the salts
-    the largest of them needs.
+@dataclass(frozen=True)
+class HeavyKeys:
+    """Hashes of the keys to salt and over how many tasks to spread them."""
 
-    A sample only decides where salting is applied, never which rows are kept,
-    so a missed key costs balance and not correctness.
+    hashes: tuple = ()
+    salts: int = 1
+
+
+NONE = HeavyKeys()
+
+
+def find_heavy_keys(probe: DataFrame, on: list[str]) -> HeavyKeys:
+    """Keys whose estimated row count exceeds one task.
+
+    ``probe`` needs the key columns only: pass the raw table rather than a costly
+    derived frame. A sample decides where salting is applied, never which rows
+    are kept, so a missed key costs balance and not correctness.
     """
-    limit = rows_per_task(fact)
-    size = input_bytes(fact)
+    limit = rows_per_task(probe)
+    size = input_bytes(probe)
     # ~100 bytes per row is enough to size the sample; exactness is not needed.
-    fraction = 1.0 if size is None else min(1.0, _SAMPLE_ROWS / max(1.0, size / 100))
-    if size is None or size > 2**60:
-        fraction = 0.001
+    fraction = 0.001 if size is None or size > 2**60 else min(1.0, _SAMPLE_ROWS / max(1.0, size / 100))
     counts = (
-        fact.select(F.xxhash64(*on).alias("h"))
+        probe.select(F.xxhash64(*on).alias("h"))
         .sample(fraction, seed=7)
         .groupBy("h")
         .count()
@@ -39,9 +49,9 @@ def heavy_key_hashes(fact: DataFrame, on: list[str]) -> tuple[list[int], int]:
         .collect()
     )
     if not counts:
-        return [], 1
+        return NONE
     largest = counts[0]["count"] / fraction
-    return [row["h"] for row in counts], min(_MAX_SALTS, ceil(largest / limit) + 1)
+    return HeavyKeys(tuple(row["h"] for row in counts), min(_MAX_SALTS, ceil(largest / limit) + 1))
 
 
 def skew_join(
@@ -50,30 +60,29 @@ def skew_join(
     on: list[str],
     how: str = "inner",
     salt_by: list[str] | None = None,
+    heavy: HeavyKeys | None = None,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``dim``; heavy keys are salted over many tasks.
 
     Small inputs, and lookups Spark can broadcast under its own size check, take
     the plain join. Otherwise the rows of heavy keys spread over ``salts`` tasks
-    and only those keys' lookup rows are repeated.
+    and only those keys' lookup rows are repeated. Known heavy keys skip the
+    search; ``probe`` names a cheaper frame to search in.
     """
     if is_small(fact) or fits_broadcast(dim):
         return fact.join(dim, on, how)
-    heavy, salts = heavy_key_hashes(fact, on)
-    if not heavy:
+    if heavy is None:
+        heavy = find_heavy_keys(fact if probe is None else probe, on)
+    if not heavy.hashes:
         return fact.join(dim, on, how)
-    is_heavy = F.xxhash64(*on).isin(heavy)
+    is_heavy = F.xxhash64(*on).isin(list(heavy.hashes))
     spread = salt_by or [c for c in fact.columns if c not in on] or on
+    zero, last = F.lit(0).cast("long"), F.lit(heavy.salts - 1).cast("long")
     salted = fact.withColumn(
-        _SALT,
-        F.when(is_heavy, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0).cast("long")),
+        _SALT, F.when(is_heavy, F.pmod(F.xxhash64(*spread), F.lit(heavy.salts))).otherwise(zero)
     )
     repeated = dim.withColumn(
-        _SALT,
-        F.explode(
-            F.when(is_heavy, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(
-                F.array(F.lit(0).cast("long"))
-            )
-        ),
+        _SALT, F.explode(F.when(is_heavy, F.sequence(zero, last)).otherwise(F.array(zero)))
     )
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nudgeframe.plans.prefix import average_ranks, exact_quantiles, running
 from nudgeframe.plans.rank_correlation import spearman
-from nudgeframe.plans.skew import heavy_key_hashes, skew_join
+from nudgeframe.plans.skew import find_heavy_keys, skew_join
 
 
 @pytest.fixture
@@ -26,9 +26,9 @@ def test_skew_join_equals_plain_join(spark, hot, how, split_small_inputs):
 
 
 def test_heavy_key_is_found_and_spread(spark, hot, split_small_inputs):
-    hashes, salts = heavy_key_hashes(hot, ["k"])
+    heavy = find_heavy_keys(hot, ["k"])
     expected = spark.range(1).select(F.xxhash64(F.lit(-1).cast("long"))).first()[0]
-    assert expected in hashes and salts > 10
+    assert expected in heavy.hashes and heavy.salts > 10
 
 
 @pytest.mark.parametrize("split", [False, True])
