@@ -9,6 +9,7 @@ from nudgeframe.config import Columns, Recipe
 from nudgeframe.functions import clean
 from nudgeframe.operators import facts
 from nudgeframe.operators.facts import ISSUE, KEY, TIME
+from nudgeframe.plans.sizing import fits_broadcast
 from nudgeframe.plans.skew import skew_join
 
 # Output columns of one purchase block, before the suffix.
@@ -311,7 +312,12 @@ def shared_transactions(cohort: DataFrame, purchases: DataFrame) -> DataFrame:
     """Collapsed transactions of a cohort before any temporal filter: persist or
     write this once and derive every recipe from it."""
     ids = cohort.select(KEY).distinct()
-    return facts.collapse(skew_join(facts.purchase_lines(purchases), ids, [KEY], "left_semi", ["transaction_id", TIME]))
+    lines = facts.purchase_lines(purchases)
+    if fits_broadcast(ids):
+        return facts.collapse(lines.join(ids, KEY, "left_semi"))
+    # The cohort test is on a grouping key: meet it with transactions, not lines.
+    hot = facts.hot_clients(purchases, ids)
+    return skew_join(facts.collapse(lines), ids, [KEY], "left_semi", ["transaction_id", TIME], hot)
 
 
 def labelled_features(features: DataFrame, labels: DataFrame, columns: Columns = Columns()) -> DataFrame:

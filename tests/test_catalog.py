@@ -37,9 +37,32 @@ def test_sql_names_are_registered():
     assert set(SQL) <= set(QUERIES)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(name, spark, duck):
-    assert compare(QUERIES[name](spark, SMALL_DIR), duck, SQL[name]) is None
+    df = QUERIES[name](spark, SMALL_DIR)
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert compare(df, duck, SQL[name]) is None
+
+
+@pytest.mark.parametrize("name", ["trial_duplicates", "plateau_class", "wave_evidence", "tuning_candidates"])
+def test_trial_windows_are_limited_before_the_shuffle(name, spark):
+    assert "WindowGroupLimit" in plan_of(QUERIES[name](spark, SMALL_DIR))
+
+
+def test_pinned_history_is_pushed_to_a_pruned_scan(spark):
+    plan = plan_of(QUERIES["rfm_features_pinned_reference"](spark, SMALL_DIR))
+    assert "LessThanOrEqual(o_orderdate,1998-06-30T00:00)" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_large_rankings_use_bucketed_windows(spark, split_small_inputs):
+    plan = plan_of(QUERIES["qini_auc"](spark, SMALL_DIR))
+    assert "hashpartitioning(__bucket" in plan and "SinglePartition" in plan  # offsets only
 
 
 @pytest.mark.parametrize("name", SPLIT)
