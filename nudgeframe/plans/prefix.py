@@ -135,7 +135,9 @@ def running(
         *[F.max(f"__b_{name}").over(earlier).alias(f"__o_{name}") for name in prior_max],
         *([F.sum(f"__b_{name}").over(whole).alias(f"total_{name}") for name in sums] if totals else []),
     )
-    joined = local.join(offsets, [*by, _BUCKET])
+    # Every bucket has an offset row; a left join spares the rows a null test on
+    # the bucket search, which would run the search twice.
+    joined = local.join(offsets, [*by, _BUCKET], "left")
     return joined.select(
         *df.columns,
         *[(F.col(name) + F.col(f"__o_{name}")).alias(name) for name in sums],
