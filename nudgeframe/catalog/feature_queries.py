@@ -15,7 +15,8 @@ CLIENT_SQL = """
     demo as (select client_id, case when age between 14 and 100 then age else -1.0::double end as age_clean,
         case when age between 14 and 100 then 0 else 1 end as age_invalid_flag,
         cast(iss is null as integer) as issue_date_missing_flag,
-        coalesce(year(iss), -1) as issue_year, coalesce(month(iss), -1) as issue_month,
+        cast(coalesce(year(iss), -1) as integer) as issue_year,
+        cast(coalesce(month(iss), -1) as integer) as issue_month,
         cast(g = 'F' as integer) as "gender_F", cast(g = 'M' as integer) as "gender_M",
         cast(g = 'U' as integer) as "gender_U", cast(g not in ('F', 'M', 'U') as integer) as gender_other from base),
     ages as (select client_id, coalesce(cast(age between 0 and 25 as integer), 0) as age_le25,

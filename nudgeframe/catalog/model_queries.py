@@ -366,9 +366,9 @@ def plan_specs(study):
         F.col("uplift_learner_family").alias("learner_family"), "base_estimator", "feature_recipe_id", "split_seed",
         F.create_map(F.lit("depth"), (F.col("seq") % 4 + 1).cast("string")).alias("params"),
     )
-    # One plan document per experiment, its trials as specs.
+    # One plan document per trial, with a single spec.
     path = f"{artifacts.scratch_folder(study.spark)}/plans"
-    study.trials.groupBy(F.col("experiment_id").alias("plan_id")).agg(F.collect_list(specs).alias("trial_specs")).write.json(path)
+    study.trials.select(F.col("experiment_id").alias("plan_id"), F.array(specs).alias("trial_specs")).write.json(path)
     found = ledger.plan_specs(study.spark, path, one_per_file=False)
     return found.drop("params").join(ledger.spec_params(found), "spec_id")
 

@@ -94,6 +94,16 @@ SCORE = "coalesce(normalized_qini_auc, qini_auc)"
 MANUAL = "coalesce(hypothesis_id = 'manual_baseline', false)"
 
 
+@AREA.query(
+    "trial_config_hash",
+    "trials",
+    """select run_id, substr(sha256('{"base_estimator":"' || base_estimator || '","feature_recipe_id":"' || feature_recipe_id
+      || '","learner_family":"' || uplift_learner_family || '","split_seed":' || split_seed || '}'), 1, 12) as config_hash from trials""",
+)
+def trial_config_hash(study):
+    return trials.config_hashes(study.trials)
+
+
 @AREA.query(
     "trial_champion",
     "trials",

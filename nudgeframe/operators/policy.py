@@ -144,6 +144,28 @@ def segment_summary(scores: DataFrame, threshold: float = 0.10, by=()) -> DataFr
     )
 
 
+def policy_summary(
+    scores: DataFrame,
+    coupon_cost: float = 1.0,
+    revenue_per_conversion: float = 10.0,
+    budget: float | None = None,
+    by=(),
+) -> dict[str, DataFrame]:
+    """Every policy table of a ranking as lazy DataFrames."""
+    targeting = targeting_policies(
+        scores, coupon_cost=coupon_cost, revenue_per_conversion=revenue_per_conversion, by=by
+    )
+    tables = {
+        "targeting_results": targeting,
+        "elbow_threshold": elbow_threshold(targeting, by),
+        "segment_summary": segment_summary(scores, by=by),
+        "decile_table": metrics.decile_table(scores, by=by),
+    }
+    if budget is not None:
+        tables["budget_result"] = budget_targeting(scores, budget, coupon_cost, revenue_per_conversion, by)
+    return tables
+
+
 def five_way_segments(scores: DataFrame, high: float = P_HIGH, low: float = P_LOW) -> DataFrame:
     """Named segment per customer from uplift and both response probabilities."""
     top_quarter = exact_quantiles(scores, [], SCORE, {"p75": 0.75})

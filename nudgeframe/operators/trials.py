@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nudgeframe.functions import clean
 from nudgeframe.operators.robustness import gain_rows
 from nudgeframe.plans.prefix import running
 from nudgeframe.plans.skew import skew_join
@@ -55,6 +56,16 @@ def _best(metric: Column, first: Column) -> Column:
     return F.struct(F.coalesce(metric, F.lit(float("-inf"))), -first)
 
 
+def config_hashes(trials: DataFrame) -> DataFrame:
+    """Short stable hash of every trial's configuration (keys in sorted order)."""
+    config = F.to_json(
+        F.struct(
+            "base_estimator", "feature_recipe_id", F.col("uplift_learner_family").alias("learner_family"), "split_seed"
+        )
+    )
+    return trials.select("run_id", clean.short_hash(config).alias("config_hash"))
+
+
 def champions(trials: DataFrame, by=(EXPERIMENT,), metric: str = "normalized_qini_auc") -> DataFrame:
     """Best successful trial per group; the first wins ties."""
     chosen = F.max_by(F.struct("seq", "run_id", "uplift_learner_family", metric), _best(F.col(metric), F.col("seq")))

@@ -109,6 +109,14 @@ def test_elbow(spark):
     assert elbow(spark, []) == 10
 
 
+def test_policy_bundle(spark):
+    df = scores(spark, range(-10, 30))
+    tables = policy.policy_summary(df, budget=5.0)
+    assert set(tables) == {"targeting_results", "elbow_threshold", "segment_summary", "decile_table", "budget_result"}
+    assert tables["targeting_results"].count() == 4 and tables["budget_result"].first()["n_targeted"] == 5
+    assert "budget_result" not in policy.policy_summary(df)
+
+
 def test_overlapping_quantile_groups(spark):
     row = policy.segment_summary(scores(spark, [0.5] * 10)).first()
     assert row["persuadables"] == row["sleeping_dogs"] == 10
