@@ -40,9 +40,19 @@ def timestamp_literal(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def _micros_of_day(moment: Column) -> Column:
+    seconds = F.extract(F.lit("SECOND"), moment).cast("double")
+    return (F.hour(moment) * 3600 + F.minute(moment) * 60 + seconds) * F.lit(1_000_000.0)
+
+
 def days_between(start: Column, end: Column) -> Column:
-    """Fractional days from start to end."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(MICROS_PER_DAY)
+    """Fractional days from start to end, on the wall clock.
+
+    Calendar days and time of day are read apart because a plain timestamp
+    difference passes through the session time zone and its clock changes.
+    """
+    days = F.date_diff(end, start).cast("double")
+    return days + (F.round(_micros_of_day(end)) - F.round(_micros_of_day(start))) / F.lit(MICROS_PER_DAY)
 
 
 def whole_days_between(start: Column, end: Column) -> Column:

@@ -1,11 +1,10 @@
 """Temporal policies, lenient cleaning, blocks and contract checks."""
 
-from datetime import datetime
-
 import pytest
 from pyspark.sql import functions as F
 
 from nudgeframe.config import Columns, Recipe, SplitPolicy, recipe_family
+from nudgeframe.functions import clean
 from nudgeframe.operators import facts, feature_modes, features, quality
 from nudgeframe.sources.tables import TableReadError, head_rows, read_table
 
@@ -208,3 +207,20 @@ def test_balance_flags_age(spark):
     rows = {r["feature"]: r for r in quality.balance_smd(labels, table, ["age", "flat"]).collect()}
     assert rows["age"]["smd"] == 50.0 and rows["age"]["imbalanced"]
     assert rows["flat"]["smd"] == 0.0 and not rows["flat"]["imbalanced"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_day_differences_ignore_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        start, end = (clean.timestamp_literal(t) for t in ("2019-03-09 23:30:00.25", "2019-03-10 12:00:00"))
+        row = spark.range(1).select(
+            clean.days_between(start, end).alias("a"),
+            clean.whole_days_between(end, start).alias("b"),
+            clean.days_between(start, start).alias("c"),
+        ).first()
+        assert row["a"] == pytest.approx(44999.75 / 86400, abs=1e-12)
+        assert (row["b"], row["c"]) == (-1.0, 0.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
