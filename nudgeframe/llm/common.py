@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A null doc_id sorts after every other one.
 LAST_ID = 2**63 - 1
@@ -50,6 +51,12 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: Column | list[str], how: s
     return df.join(lookup, on, how)
 
 
+def with_column(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of ``df`` and one more column."""
+    extra = StructType().add(name, kind)
+    return StructType([*df.schema.fields, *extra.fields])
+
+
 def partitions_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from nudgeframe.llm import chat, mixing
+from nudgeframe.llm import chat, mixing, sentencepiece, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_sentencepiece": sentencepiece.op10_sentencepiece,
 }
 
 SQL = {
