@@ -1,36 +1,38 @@
 """License scans: Dice coefficient over word bigrams against normalised templates.
 
-A text is normalised (letters lowered, everything but letters, digits and dots
-between digits dropped, white space collapsed) and cut into units: the whole text,
-and each of its lines, since notices sit inside longer texts. For a unit with ``u``
-distinct bigrams and a template with ``t``, Dice is ``2 common / (u + t)``. It can
-reach the threshold ``d`` only when ``t d / (2 - d) <= u <= t (2 - d) / d``, so a unit
-meets only the templates whose sizes lie in that range, and units outside every
-range are dropped before their bigrams are made. Templates are a parameter: they are
-the only thing broadcast, one row each, and ``scan`` refuses more than
-``MOST_TEMPLATES``.
-
-Units are scored in plain DataFrame expressions: a join on the bigram itself, so a
-unit without a common bigram is never paired with a template, then a count for each
-(unit, template). A bigram that a third of all units share is one row among the
-templates, hence no skewed join: the template side is the broadcast one.
-
-Defined cases: null and empty texts and units of under two words match nothing;
-equal scores go to the smaller template name; every row of the input gives one row;
-repeated rows give equal rows; extra columns are ignored.
+A text is normalised (letters lowered; all but letters, digits and dots between digits
+dropped) and cut into units: the whole text, and each of its lines, since notices sit
+inside longer texts. For a unit with ``u`` distinct bigrams and a template with ``t``,
+Dice is ``2 common / (u + t)``. Two bounds prune templates, both without loss:
+
+* size: Dice can reach ``d`` only when ``t d / (2 - d) <= u <= t (2 - d) / d``; templates
+  are kept in order of size and a unit meets only that range;
+* missing bigrams: a match holds at least ``t d / (2 - d)`` of the template's bigrams, so
+  it holds one of any larger set than it may miss. Words touching such a set are the
+  template's keys; a text without a key of any template ends there.
+
+Templates are a parameter, at most ``MOST_TEMPLATES``, and travel with the closure.
+Nothing is shuffled: a document's matches depend on its text alone.
+
+Defined cases: null and empty texts and units of under two words match nothing; equal
+scores go to the smaller template name; each row gives one row; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nudgeframe.llm.common import read
 
 THRESHOLD = 0.8
 MOST_TEMPLATES = 5_000
+DROPPED = re.compile(r"[^\w.]+|_|(?<![0-9])\.|\.(?![0-9])")
 
 # Public licence notices by SPDX name.
 TEMPLATES = {
@@ -78,66 +80,94 @@ TEMPLATES = {
     ),
 }
 
-DROPPED = r"[^\p{L}\p{N}.]+|(?<![0-9])\.|\.(?![0-9])"
-
-
-def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), DROPPED, " "))
-
-
-def _normalised_words(text: str) -> list[str]:
-    return re.sub(r"[^\w.]+|_|(?<![0-9])\.|\.(?![0-9])", " ", text.lower()).split()
-
-
-def template_bigrams(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """(template, t_size, bigram) rows and the size ranges that units must fall in."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates")
-    rows, sizes = [], set()
-    for name, text in templates.items():
-        words = _normalised_words(text)
-        grams = {f"{a} {b}" for a, b in zip(words, words[1:])}
-        sizes.add(len(grams))
-        rows += [(name, len(grams), g) for g in sorted(grams)]
-    return spark.createDataFrame(rows, "template string, t_size int, bigram string"), sorted(sizes)
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row_hash and the best template of each matching unit: unit, template, dice."""
-    grams, sizes = template_bigrams(docs.sparkSession, TEMPLATES if templates is None else templates)
-    low = lambda t: t * threshold / (2 - threshold)
-    high = lambda t: t * (2 - threshold) / threshold
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    # The whole text is unit 0; a text of one line needs no second look at it.
-    units = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(text))
-    # A unit of u distinct bigrams has over 3 u characters; the upper size bound has no such shortcut.
-    shortest = 3 * min(map(low, sizes), default=0)
-    rows = docs.select("doc_id", F.xxhash64(text).alias("row_hash"), F.posexplode(units).alias("unit", "line"))
-    words = F.split(normalised(F.col("line")), " ")
-    rows = rows.filter(F.length("line") >= shortest).select("doc_id", "row_hash", "unit", words.alias("words"))
-    bigrams = F.array_distinct(
-        F.transform(F.slice("words", 1, F.size("words") - 1), lambda w, i: F.concat(w, F.lit(" "), F.get(F.col("words"), i + 1)))
-    )
-    # Word counts bound bigram counts from above, so short units go before bigrams are made.
-    rows = rows.filter(F.size("words") > min(map(low, sizes), default=0)).withColumn("grams", bigrams).withColumn("u_size", F.size("grams"))
-    in_range = F.lit(False)
-    for t in sizes:
-        in_range = in_range | F.col("u_size").between(F.lit(low(t)), F.lit(high(t)))
-    pairs = rows.filter(in_range).select("doc_id", "row_hash", "unit", "u_size", F.explode("grams").alias("bigram"))
-    bounded = (F.col("u_size") >= low(F.col("t_size"))) & (F.col("u_size") <= high(F.col("t_size")))
-    common = (
-        pairs.join(F.broadcast(grams), "bigram")
-        .filter(bounded)
-        .groupBy("doc_id", "row_hash", "unit", "template", "u_size", "t_size")
-        .agg(F.countDistinct("bigram").alias("common"))
-    )
-    dice = F.lit(2.0) * F.col("common") / (F.col("u_size") + F.col("t_size"))
-    best = F.max(F.struct("dice", F.col("neg"), "template"))
-    return (
-        common.withColumn("dice", dice)
-        .filter(F.col("dice") >= threshold)
-        .groupBy("doc_id", "row_hash", "unit")
-        .agg(F.min(F.struct((-F.col("dice")).alias("neg"), "template")).alias("best"))
-        .select("doc_id", "row_hash", "unit", F.col("best.template").alias("template"), (-F.col("best.neg")).alias("dice"))
-    )
+
+def normalised_words(text: str) -> list[str]:
+    return DROPPED.sub(" ", text.lower()).split()
+
+
+def bigrams(words: list[str]) -> set:
+    return set(zip(words, words[1:]))
+
+
+class Templates:
+    """Templates in order of size, with their size ranges and key words."""
+
+    def __init__(self, texts: dict[str, str], threshold: float = THRESHOLD):
+        if len(texts) > MOST_TEMPLATES:
+            raise ValueError(f"at most {MOST_TEMPLATES} templates")
+        self.threshold = threshold
+        self.least = threshold / (2 - threshold)
+        self.rows = sorted((len(g), name, g) for name, text in texts.items() if (g := bigrams(normalised_words(text))))
+        self.sizes = [size for size, _, _ in self.rows]
+        self.keys = tuple(sorted({key for _, _, grams in self.rows for key in self._keys(grams)}))
+
+    def _keys(self, grams: set) -> list[str]:
+        """Longest words first, until they touch more bigrams than a match may miss."""
+        may_miss = len(grams) - self.least * len(grams)
+        touched, keys = set(), []
+        for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+            if len(touched) > may_miss:
+                break
+            keys.append(word)
+            touched |= {g for g in grams if word in g}
+        return keys
+
+    def best(self, unit: str):
+        """(dice, template) of the best template of one unit, or None."""
+        grams = bigrams(normalised_words(unit))
+        if not grams:
+            return None
+        low = bisect_left(self.sizes, len(grams) * self.least - 1e-9)
+        high = bisect_right(self.sizes, len(grams) / self.least + 1e-9)
+        found = []
+        for size, name, template in self.rows[low:high]:
+            dice = 2 * len(grams & template) / (len(grams) + size)
+            if dice >= self.threshold:
+                found.append((-dice, name))
+        return min(found) if found else None
+
+    def scan(self, text: str) -> list[tuple]:
+        """(unit, template, dice): unit 0 is the whole text, then its lines from 1."""
+        lowered = text.lower()
+        if not any(key in lowered for key in self.keys):
+            return []
+        lines = text.split("\n")
+        units = [(0, text)] + (list(enumerate(lines, 1)) if len(lines) > 1 else [])
+        out = []
+        for number, unit in units:
+            lowered = unit.lower()
+            if any(key in lowered for key in self.keys) and (best := self.best(unit)):
+                out.append((number, best[1], -best[0]))
+        return out
+
+
+def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_matches, license and dice of the best match, matches (unit, license, dice)."""
+    templates = Templates(TEMPLATES if texts is None else texts, threshold)
+    match = pa.list_(pa.struct([("unit", pa.int64()), ("license", pa.string()), ("dice", pa.float64())]))
+    schema = "doc_id long, n_matches long, license string, dice double, matches array<struct<unit:long,license:string,dice:double>>"
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [templates.scan(t or "") for t in part.column(1).to_pylist()]
+                best = [min(((-d, name) for _, name, d in f), default=(None, None)) for f in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array(list(map(len, found)), pa.int64()),
+                        pa.array([name for _, name in best], pa.string()),
+                        pa.array([None if d is None else -d for d, _ in best], pa.float64()),
+                        pa.array([[dict(zip(("unit", "license", "dice"), m)) for m in f] for f in found], match),
+                    ],
+                    ["doc_id", "n_matches", "license", "dice", "matches"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(read(spark, sf_dir, "documents"))
+    named = F.transform("matches", lambda m: F.concat(m["unit"].cast("string"), F.lit(":"), m["license"]))
+    return found.select("doc_id", "n_matches", "license", F.round("dice", 9).alias("dice"), F.array_join(named, ",").alias("matches"))

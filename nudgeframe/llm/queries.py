@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from nudgeframe.llm import chat, mixing, sentencepiece, toxicity
+from nudgeframe.llm import chat, fingerprints, licenses, mixing, sentencepiece, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_license_scans": licenses.op3_license_scans,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_sentencepiece": sentencepiece.op10_sentencepiece,
