@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from nudgeframe.llm import chat, fingerprints, licenses, mixing, sentencepiece, toxicity
+from nudgeframe.llm import chat, fingerprints, licenses, mixing, sentencepiece, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_license_scans": licenses.op3_license_scans,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_simhash": simhash.op7_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_topk": topk.op9_topk,
     "op10_sentencepiece": sentencepiece.op10_sentencepiece,
 }
 
 SQL = {
     "op1_mixing": mixing.SQL,
     "op6_chat_formatting": chat.SQL,
+    "op9_topk": topk.SQL,
 }
