@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from nudgeframe.llm import chat, fingerprints, licenses, mixing, sentencepiece, simhash, topk, toxicity
+from nudgeframe.llm import chat, fingerprints, licenses, mixing, sentencepiece, simhash, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_license_scans": licenses.op3_license_scans,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_simhash": simhash.op7_simhash,
