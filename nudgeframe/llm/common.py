@@ -53,8 +53,7 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: Column | list[str], how: s
 
 def with_column(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of ``df`` and one more column."""
-    extra = StructType().add(name, kind)
-    return StructType([*df.schema.fields, *extra.fields])
+    return StructType([*df.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])
 
 
 def partitions_of(df: DataFrame) -> int:

@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nudgeframe.llm.common import LAST_ID, cut, order_id, partitions_of, read, slices, utf8
@@ -77,7 +77,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, fp."""
+    """doc_id, fp, text_hash."""
 
     def run(batches):
         for batch in batches:
@@ -86,9 +86,14 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
             for i, j in slices(offsets, 1 << 21):
                 fps.append(fingerprints([data[offsets[r] : offsets[r + 1]].tobytes() for r in range(i, j)]))
             fp = np.concatenate(fps) if fps else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
+
+
+def text_hash():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def viable(xor: np.ndarray) -> np.ndarray:
@@ -189,7 +194,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable); one row per row of ``docs``."""
+    """doc_id, fp, text_hash, component_id (smallest doc_id reachable); one row per row of ``docs``."""
     prints = cut(with_fingerprint(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min(order_id()).alias("first_id")))
     parts = connected_components(links(distinct.select("fp")))
@@ -199,14 +204,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = cut(roots.join(least, "root").select(F.col("fp").alias("own"), "component_id"))
     out = prints.join(named, F.col("fp") == F.col("own"))
-    return out.select("doc_id", "fp", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"))
+    return out.select("doc_id", "fp", "text_hash", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: its smallest doc_id, by smallest text hash if repeated."""
-    found = near_duplicates(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.join(cut(found), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    return rows
+    """One row of each component: its smallest doc_id, by smallest text hash if that repeats."""
+    rows = near_duplicates(docs)
+    chosen = rows.groupBy("component_id").agg(F.min(F.struct(order_id().alias("o"), "text_hash")).alias("m"))
+    chosen = cut(chosen.select(F.col("m.o").alias("kept"), F.col("m.text_hash").alias("kept_hash")))
+    keyed = docs.withColumns({"__order": order_id(), "__hash": text_hash()})
+    kept = keyed.join(chosen, (F.col("__order") == F.col("kept")) & (F.col("__hash") == F.col("kept_hash")), "left_semi")
+    # Rows that repeat both id and text are numbered; the join has already put them together.
+    one = F.row_number().over(Window.partitionBy("__order", "__hash").orderBy("__order"))
+    return kept.withColumn("__n", one).filter("__n = 1").select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,7 @@ def _kept(text: str, runs) -> tuple[int, int, list[bytes]]:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept words as text (and n_chars, if there is one, to match)."""
     marked = with_removed(docs, WORDS, equal_windows)
-    at, last = marked.columns.index("text"), len(marked.columns) - 1
+    at, last, names = marked.columns.index("text"), len(marked.columns) - 1, docs.columns
 
     def run(batches):
         for batch in batches:
@@ -159,7 +159,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 for text, runs in zip(part.column(at).to_pylist(), part.column(last).to_pylist()):
                     texts.append(b" ".join(_kept(text, runs)[2]).decode() if runs else text)
                 columns = [pa.array(texts, pa.string()) if c == at else part.column(c) for c in range(last)]
-                yield pa.RecordBatch.from_arrays(columns, docs.columns)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     out = marked.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
