@@ -20,8 +20,8 @@ a turn or open another; ``unescape`` restores them. The loss mask is a list of
 code point spans over the rendered text that cover exactly the assistant texts.
 
 Defined cases: null text and null role are empty; rows without conv_id form one
-conversation of their own; a turn without a role takes the smallest role among its
-events; repeated turns join their texts in order of (seq, text); null turns come
+conversation of their own; a turn has the role of its first ``message``, kept through
+regeneration, or else the smallest role among its events; repeated turns join their texts in order of (seq, text); null turns come
 first; an empty table gives no rows; extra columns are ignored. All of it is
 DataFrame expressions.
 """
@@ -75,11 +75,12 @@ def fold(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: the messages as they stand after the last event."""
     seq_of = lambda kind: F.when(F.col("kind") == kind, F.col("seq"))
     at_turn = Window.partitionBy("conv_id", "turn")
-    # Regenerations are few: one row for each turn that had any, joined by running maximum.
-    turns = events.groupBy("conv_id", "turn").agg(F.max(seq_of("regenerate")).alias("again"))
+    # One row a turn: its role, and the last regeneration at it or before it.
+    role = F.coalesce(F.min_by("role", F.when(F.col("kind") == "message", F.struct("seq", "role"))), F.min("role"))
+    turns = events.groupBy("conv_id", "turn").agg(F.max(seq_of("regenerate")).alias("again"), role.alias("own_role"))
     upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     resets = turns.select(
-        F.col("conv_id").alias("rc"), F.col("turn").alias("rt"), F.max("again").over(upto).alias("again")
+        F.col("conv_id").alias("rc"), F.col("turn").alias("rt"), F.max("again").over(upto).alias("again"), "own_role"
     )
     edited = F.max(seq_of("edit")).over(at_turn)
     rows = events.select("*", edited.alias("edited")).join(
@@ -88,12 +89,11 @@ def fold(events: DataFrame) -> DataFrame:
     kept = F.coalesce(F.col("seq") >= F.col("edited"), F.lit(True)) & F.coalesce(F.col("seq") >= F.col("again"), F.lit(True))
     text = F.when(F.col("kind") != "regenerate", F.coalesce(F.col("text"), F.lit(""))).otherwise(F.lit(""))
     piece = F.struct(F.col("seq"), text.alias("text"))
-    role = F.coalesce(F.min_by("role", F.when(F.col("kind") == "message", F.struct("seq", "role"))), F.min("role"))
     # A turn wiped by an earlier turn's regeneration is gone unless something came later.
     return (
         rows.filter(kept)
         .groupBy("conv_id", "turn")
-        .agg(F.coalesce(role, F.lit("")).alias("role"), F.array_sort(F.collect_list(piece)).alias("pieces"))
+        .agg(F.coalesce(F.max("own_role"), F.lit("")).alias("role"), F.array_sort(F.collect_list(piece)).alias("pieces"))
         .select("conv_id", "turn", "role", F.array_join(F.col("pieces.text"), "").alias("text"))
     )
 

@@ -222,7 +222,7 @@ def in_descending_ranges(docs: DataFrame) -> DataFrame:
     k = F.when(F.col("doc_id").isNull(), F.lit(-(2**63))).otherwise(F.col("k"))
     keyed = keyed.withColumn("k", k)
     heads = (
-        ids.withColumn("p", range_of("k")).groupBy("p").agg(F.min(F.struct((-F.col("k")).alias("nk"), "k", "h")).alias("m")).collect()
+        ids.withColumn("p", range_of("k")).groupBy("p").agg(F.min(F.struct(F.bitwise_not("k").alias("nk"), "k", "h")).alias("m")).collect()
     )
     heads = sorted((r["p"], r["m"]["k"], r["m"]["h"]) for r in heads)
     follow = [(p, *heads[(i + 1) % len(heads)][1:]) for i, (p, _, _) in enumerate(heads)]

@@ -174,19 +174,21 @@ def links(distinct: DataFrame) -> DataFrame:
     def keyed(rows):
         return rows.select("fp", key(F.col("fp")).alias("mask", "bits")).select("fp", F.xxhash64("mask", "bits").alias("key"))
 
+    block = int(distinct.sparkSession.conf.get("spark.nudgeframe.bucketRows", str(BLOCK)))
     sampled = keyed(distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0))
     hot = cut(
-        sampled.groupBy("key").agg((F.count(F.lit(1)) * SAMPLE).alias("rows")).filter(F.col("rows") > BLOCK)
-        .select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        sampled.groupBy("key").agg((F.count(F.lit(1)) * SAMPLE).alias("rows")).filter(F.col("rows") > block)
+        .select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
     )
     rows = keyed(distinct)
+    # Rows per block, not which rows: a hot key costs balance only.
     if hot.count():
         own = F.pmod(F.hash("fp"), F.col("blocks"))
         pair = lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other)
         parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
             F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), pair)
         )
-        rows = rows.join(hot, "key", "left").select("key", F.explode(parts).cast("long").alias("part"), "fp")
+        rows = rows.join(hot, "key", "left").select("key", F.explode(parts).alias("part"), "fp").withColumn("part", F.col("part").cast("long"))
     else:
         rows = rows.select("key", F.lit(0).cast("long").alias("part"), "fp")
     dealt = rows.repartition(partitions_of(distinct), "key", "part").sortWithinPartitions("key", "part")

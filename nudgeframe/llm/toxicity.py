@@ -57,6 +57,8 @@ QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}
 REPORTING = frozenset("said says wrote writes quoted quote called term word slur insult sagte wort zitat dit mot dijo palabra".split())
 ADDRESSING = frozenset("you your youre du dein dich ihr sie tu toi ton vous votre eres usted tus".split())
 REPORTED_FACTOR, ADDRESSED_FACTOR = 0.3, 1.5
+#: A misspelled hit weighs at least so much of an exact one, where the sample shows too few to tell.
+LEAST_FUZZY = 0.75
 
 
 def edits_allowed(term: str) -> int:
@@ -302,9 +304,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     rows = sample.mapInArrow(featured, "exact double, fuzzy double, reported double, toxic int").collect()  # SAMPLE_ROWS at most
     data = np.array([tuple(r) for r in rows], float)
     scorer.coefficients = logistic_fit(data[:, :3], data[:, 3])
-    # Documents without clean counterparts for misspellings say nothing against them.
     b0, exact, fuzzy, reported = scorer.coefficients
-    scorer.coefficients = (b0, exact, max(fuzzy, 0.5 * exact), min(reported, 0.0))
+    scorer.coefficients = (b0, exact, max(fuzzy, LEAST_FUZZY * exact), min(reported, 0.0))
     return scorer
 
 
