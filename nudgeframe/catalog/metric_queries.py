@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from nudgeframe.catalog.registry import Area
 from nudgeframe.operators import metrics
 
@@ -185,16 +187,33 @@ def policy_gain(study):
     return metrics.policy_gain(study.model_scores, by=["run_id"])
 
 
-@AREA.query(
-    "metric_bundle_by_model",
-    "model_scores",
+BUNDLE_SQL = (
     ranked_sql("model_scores", "run_id")
     + f""", {normalised_sql('model_scores', 'run_id')},
     a as (select run_id, max(n) as n, {area_sql('qini')} as qini_auc, {area_sql('uplift_rate')} as uplift_auc,
       {rate_sql(top_sql('0.05::double'))} as uplift_at_5pct, {rate_sql(top_sql('0.10::double'))} as uplift_at_10pct,
       {rate_sql(top_sql('0.20::double'))} as uplift_at_20pct, {rate_sql(top_sql('0.30::double'))} as uplift_at_30pct
       from pts group by run_id)
-    select * from a join norm using (run_id)""",
+    select * from a join norm using (run_id)"""
 )
+
+
+@AREA.query("metric_bundle_by_model", "model_scores", BUNDLE_SQL)
 def metric_bundle_by_model(study):
     return metrics.metric_bundle(study.model_scores, ["run_id"])
+
+
+@AREA.query(
+    "metric_bundle_with_problems",
+    "model_scores",
+    f"""select *, null::varchar as problem from ({BUNDLE_SQL})
+    union all by name select 'one_arm' as run_id, 'both arms are required' as problem
+    union all by name select 'null_score' as run_id, 'uplift contains missing values' as problem""",
+)
+def metric_bundle_with_problems(study):
+    """A run without controls and one with missing scores leave the others' metrics as they are."""
+    scores = study.model_scores
+    own = scores.filter("run_id = 'm1'")
+    one_arm = own.filter("treatment_flg = 1").withColumn("run_id", F.lit("one_arm"))
+    missing = own.withColumns({"run_id": F.lit("null_score"), "uplift": F.when(F.col("uplift") > 0, F.col("uplift"))})
+    return metrics.metric_bundle_with_problems(scores.unionByName(one_arm).unionByName(missing), ["run_id"])

@@ -15,7 +15,7 @@ from nudgeframe.catalog.registry import Area
 from nudgeframe.config import RECIPE_FAMILIES, Recipe, recipe_family
 from nudgeframe.operators import crossval, explain, facts, features, learners, metrics, policy, split
 from nudgeframe.operators.learners import TrialSpec
-from nudgeframe.session import cut_lineage
+from nudgeframe.session import cut_lineage, shared_folder
 from nudgeframe.sources import artifacts, ledger
 
 AREA = Area()
@@ -144,41 +144,34 @@ MODEL_RECIPE = Recipe(
     temporal_policy="safe_history_until_reference",
     reference_date=PINNED,
 )
-SMALL = {
-    "logistic_regression": {"max_iter": 8},
-    "gradient_boosting": {"n_estimators": 3},
-    "random_forest": {"n_estimators": 5, "max_depth": 4, "min_samples_leaf": 10},
-    "xgboost": {"n_estimators": 3, "max_depth": 2},
-    "lightgbm": {"n_estimators": 3, "num_leaves": 4},
-    "catboost": {"n_estimators": 3, "max_depth": 2},
-}
-
-
 def _features(study, cohort):
     ids = facts.cohort_ids(study.train, study.scoring, cohort)
     return features.feature_table(MODEL_RECIPE, ids, study.clients, study.purchases)
 
 
-_CUTS: dict = {}
+def _tables(study):
+    return {
+        "clients": study.clients, "train": study.train, "scoring": study.scoring,
+        "purchases": study.purchases, "products": study.products,
+    }
 
 
 def _labelled(study):
-    """Labelled features behind a lineage cut. Like a feature artifact, the cut is
-    made once per session and input and serves every learner."""
-    key = (study.spark.sparkContext.applicationId, study.sf_dir)
-    if key not in _CUTS:
-        _CUTS[key] = cut_lineage(features.labelled_features(_features(study, "train"), study.train))
-    return _CUTS[key]
+    """Labelled features of the model recipe, from an artifact named by the contents of all tables."""
+    folder = f"{shared_folder(study.spark)}/features"
+    tables = _tables(study)
+    built = artifacts.build_artifacts([MODEL_RECIPE], tables, folder, artifacts.dataset_fingerprint(tables))[0]
+    return features.labelled_features(study.spark.read.parquet(built["artifact_path"]), study.train)
 
 
 def _spec(family, estimator="logistic_regression", run_id=None):
-    return TrialSpec(run_id or f"{family}_{estimator}", family, estimator, SMALL[estimator])
+    return TrialSpec(run_id or f"{family}_{estimator}", family, estimator)
 
 
 def _learner_query(family, estimator):
     def build(study):
         parts = cut_lineage(split.stratified_split(_labelled(study)))
-        model = learners.fit_uplift(parts.filter("split = 'train'"), family, estimator, SMALL[estimator])
+        model = learners.fit_uplift(parts.filter("split = 'train'"), family, estimator)
         return learners.scored(model, parts.filter("split = 'validation'"))
 
     return build
@@ -198,27 +191,27 @@ LEARNERS = (
     ("two_model", "random_forest"),
     ("solo_model", "random_forest"),
     ("class_transformation", "random_forest"),
-    ("two_model", "xgboost"),
-    ("solo_model", "xgboost"),
-    ("class_transformation", "xgboost"),
-    ("two_model", "lightgbm"),
-    ("solo_model", "lightgbm"),
-    ("class_transformation", "lightgbm"),
-    ("two_model", "catboost"),
+)
+# The random learner is a hash of the customer, so SQL can say all of it.
+RANDOM_SQL = (
+    SPLIT_SQL
+    + """ select client_id, target, treatment_flg, cast(('0x' || substr(md5(client_id || ':42'), 1, 13)) as bigint) / 4503599627370496.0::double as uplift
+      from split where split = 'validation'"""
 )
 for _family, _estimator in LEARNERS:
-    AREA.query(f"learner_scores_{_family}_{_estimator}")(_learner_query(_family, _estimator))
+    _known = ("train", RANDOM_SQL) if _family == "random" else ("", None)
+    AREA.query(f"learner_scores_{_family}_{_estimator}", *_known)(_learner_query(_family, _estimator))
 
 
 @AREA.query("baseline_ladder")
 def baseline_ladder(study):
-    batch = learners.run_trials(_labelled(study), learners.baseline_specs(params=SMALL["logistic_regression"]), score_held_out=True)
+    batch = learners.run_trials(_labelled(study), learners.baseline_specs(), score_held_out=True)
     return learners.trial_results(batch, study.spark)
 
 
 @AREA.query("cv_audit")
 def cv_audit(study):
-    scores = crossval.fold_scores(_labelled(study), _spec("class_transformation"), 3)
+    scores = crossval.fold_scores(_labelled(study), _spec("class_transformation"), 5)
     return crossval.cv_summary(crossval.fold_metrics(scores))
 
 
@@ -227,18 +220,18 @@ def topk_cv_rerank(study):
     labelled = _labelled(study)
     specs = [_spec("two_model"), _spec("class_transformation")]
     results = learners.trial_results(learners.run_trials(labelled, specs), study.spark)
-    return crossval.rerank_by_cv(labelled, specs, results, n_folds=2)
+    return crossval.rerank_by_cv(labelled, specs, results, n_folds=5)
 
 
 @AREA.query("champion_test_once")
 def champion_test_once(study):
     specs = [_spec("random"), _spec("response_model"), _spec("class_transformation")]
-    return crossval.select_and_open_test(_labelled(study), specs, top_k=2, n_folds=2)["test"]
+    return crossval.select_and_open_test(_labelled(study), specs, top_k=3, n_folds=5)["test"]
 
 
 def _fitted(study, family="two_model", estimator="logistic_regression"):
     parts = cut_lineage(split.stratified_split(_labelled(study)))
-    model = learners.fit_uplift(parts.filter("split = 'train'"), family, estimator, SMALL[estimator])
+    model = learners.fit_uplift(parts.filter("split = 'train'"), family, estimator)
     return model, parts.filter("split = 'validation'").drop("split")
 
 
@@ -275,19 +268,65 @@ def submission(study):
     return study.spark.read.schema("client_id string, uplift double").option("header", True).csv(path)
 
 
-FINGERPRINT_SQL = " union all ".join(
-    f"select '{name}' as table_name, count(*) as n_rows, cast(coalesce(sum(cast(('0x' || substr(md5({text}), 1, 8)) as bigint)), 0) as varchar) as row_hash_sum from {name}"
-    for name, text in (
-        ("train", "concat_ws('|', client_id, target, treatment_flg)"),
-        ("scoring", "client_id"),
-        ("products", "concat_ws('|', brand_id, is_alcohol, is_own_trademark, coalesce(level_1, ''), product_id, segment_id)"),
-    )
-)
+STUDY_COLUMNS = {
+    "clients": "age client_id first_issue_date first_redeem_date gender",
+    "products": "brand_id is_alcohol is_own_trademark level_1 product_id segment_id",
+    "purchases": "client_id express_points_received express_points_spent product_id product_quantity purchase_sum "
+    "regular_points_received regular_points_spent store_id transaction_datetime transaction_id",
+    "scoring": "client_id",
+    "train": "client_id target treatment_flg",
+}
+
+
+def _fingerprint_select(table, columns):
+    text = " || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in columns.split())
+    parts = [f"coalesce(sum(cast(('0x' || substr(h, {1 + 8 * q}, 8)) as bigint)), 0)::varchar" for q in range(4)]
+    return f"select '{table}' as table_name, count(*) as n_rows, concat_ws('-', {', '.join(parts)}) as row_hash_sum from (select md5({text}) as h from {table})"
+
+
+STUDY_VIEWS = "clients train scoring products purchases"
+FINGERPRINT_SQL = " union all ".join(_fingerprint_select(*item) for item in STUDY_COLUMNS.items())
 
 
-@AREA.query("dataset_fingerprint", "train scoring products", FINGERPRINT_SQL)
+@AREA.query("dataset_fingerprint", STUDY_VIEWS, FINGERPRINT_SQL)
 def dataset_fingerprint(study):
-    return artifacts.content_fingerprint({"train": study.train, "scoring": study.scoring, "products": study.products})
+    return artifacts.content_fingerprint(_tables(study))
+
+
+# Family, builder version, feature groups, semantic name, source tables, policy, windows.
+_GROUPS = '"basket","demographic","points","rfm"'
+_LONG = '"account_lifecycle","age_buckets","basket","demographic","points","redeem_behavior","rfm"'
+FAMILY_ROWS = (
+    ("base", "v1", '"demographic"', "null", '"clients"', "pre_issue_only", ""),
+    ("rfm", "v1", '"demographic","rfm"', "null", '"clients","purchases"', "pre_issue_only", ""),
+    ("engagement", "v1", '"demographic","points"', "null", '"clients","purchases"', "pre_issue_only", "30"),
+    ("windowed", "v1", _GROUPS, "null", '"clients","purchases"', "pre_issue_only", "30"),
+    ("rfm_baseline", "v1", _GROUPS, '"rfm_baseline"', '"clients","purchases"', "pre_issue_only", "30,60,90"),
+    ("human_semantic_v1", "v2", _LONG, '"human_semantic_v1"', '"clients","purchases"', "post_issue_history", "30,60,90"),
+    ("hybrid_safe_semantic_v1", "v2", _LONG, '"hybrid_safe_semantic_v1"', '"clients","purchases"', "safe_history_until_reference", "30,60,90"),
+    ("product_category", "v1", '"basket","demographic","points","product_category","rfm"', "null",
+     '"clients","products","purchases"', "pre_issue_only", "30"),
+    ("diversity", "v1", '"basket","demographic","diversity","points","product_category","rfm"', "null",
+     '"clients","products","purchases"', "pre_issue_only", "30"),
+)
+REGISTRY_SQL = f"""
+    with t as ({FINGERPRINT_SQL}),
+    p as (select substr(sha256('[' || string_agg('["' || table_name || '",' || n_rows || ',"' || row_hash_sum || '"]', ',' order by table_name) || ']'), 1, 12) as fp from t),
+    f as (select family, version, substr(sha256('{{"builder_version":"' || version || '","feature_groups":[' || feature_groups
+        || '],"interactions":[],"reference_date":null,"semantic_name":' || semantic || ',"source_tables":[' || sources
+        || '],"temporal_policy":"' || policy || '","windows_days":[' || windows || ']}}'), 1, 12) as feature_recipe_id
+      from (values {", ".join(str(row) for row in FAMILY_ROWS)}) v(family, version, feature_groups, semantic, sources, policy, windows))
+    select family, feature_recipe_id, substr(sha256('{{"builder_version":"' || version || '","dataset_fingerprint":"' || fp
+        || '","feature_recipe_id":"' || feature_recipe_id || '"}}'), 1, 12) as feature_artifact_id from f, p"""
+
+
+@AREA.query("recipe_registry", STUDY_VIEWS, REGISTRY_SQL)
+def recipe_registry(study):
+    """The id of each recipe family and of its artifact over these tables."""
+    fingerprint = artifacts.dataset_fingerprint(_tables(study))
+    recipes = {name: recipe_family(name) for name in RECIPE_FAMILIES}
+    rows = [(name, recipe.recipe_id, recipe.artifact_id(fingerprint)) for name, recipe in recipes.items()]
+    return study.spark.createDataFrame(rows, "family string, feature_recipe_id string, feature_artifact_id string")
 
 
 @AREA.query(
@@ -296,10 +335,10 @@ def dataset_fingerprint(study):
     f"with {client_sql()} select demo.*, age_le25, age_26_35, age_36_45, age_46_55, age_56_65, age_gt65 from demo join ages using (client_id)",
 )
 def artifact_roundtrip(study):
-    tables = {"clients": study.clients, "train": study.train, "scoring": study.scoring, "purchases": study.purchases}
+    tables = _tables(study)
     recipe = Recipe(feature_groups=("demographic", "age_buckets"))
     folder = artifacts.scratch_folder(study.spark)
-    fingerprint = artifacts.dataset_fingerprint({"train": study.train, "scoring": study.scoring})
+    fingerprint = artifacts.dataset_fingerprint(tables)
     first = artifacts.build_artifacts([recipe], tables, folder, fingerprint)[0]
     again = artifacts.build_artifacts([recipe], tables, folder, fingerprint)[0]  # reused, not rebuilt
     if first["artifact_path"] != again["artifact_path"]:
@@ -309,16 +348,13 @@ def artifact_roundtrip(study):
 
 @AREA.query("artifacts_many_recipes")
 def artifacts_many_recipes(study):
-    tables = {
-        "clients": study.clients, "train": study.train, "scoring": study.scoring,
-        "purchases": study.purchases, "products": study.products,
-    }
+    tables = _tables(study)
     folder = artifacts.scratch_folder(study.spark)
-    fingerprint = artifacts.dataset_fingerprint({"train": study.train, "scoring": study.scoring})
+    fingerprint = artifacts.dataset_fingerprint(tables)
     recipes = [recipe_family(name, PINNED) for name in RECIPE_FAMILIES]
     artifacts.build_artifacts(recipes, tables, folder, fingerprint)
     return artifacts.read_metadata(study.spark, folder).select(
-        "semantic_name", "feature_recipe_id", "temporal_policy", "row_count", F.size("columns").alias("n_columns")
+        "feature_groups", "feature_recipe_id", "temporal_policy", "row_count", F.size("columns").alias("n_columns")
     )
 
 

@@ -11,8 +11,8 @@ from nudgeframe.operators import metrics, robustness, split, trials
 AREA = Area()
 
 PAIR_SQL = """
-    with pr as (select a.run_id as run_a, b.run_id as run_b from (select distinct run_id from model_scores) a,
-        (select distinct run_id from model_scores) b where a.run_id < b.run_id),
+    with pr as (select distinct (select min(run_id) from model_scores) as run_a, run_id as run_b from model_scores
+        where run_id > (select min(run_id) from model_scores)),
     sh as (select run_a, run_b, x.client_id, x.uplift as l, y.uplift as r from pr
         join model_scores x on x.run_id = run_a join model_scores y on y.run_id = run_b and y.client_id = x.client_id),
     rk as (select *, rank() over (partition by run_a, run_b order by l) + (count(*) over (partition by run_a, run_b, l) - 1) / 2.0::double as rl,
@@ -337,10 +337,10 @@ def hypothesis_latest(study):
     "hypothesis_by_trial",
     "hypotheses",
     """select hypothesis_id, seq, status, action_type, trial_ids from (select *, row_number() over (partition by hypothesis_id order by seq desc) as i
-      from hypotheses) where i = 1 and list_contains(trial_ids, 'r700')""",
+      from hypotheses) where i = 1 and list_contains(trial_ids, 'r884')""",
 )
 def hypothesis_by_trial(study):
-    return trials.hypotheses_where(study.hypotheses, trial_id="r700")
+    return trials.hypotheses_where(study.hypotheses, trial_id="r884")
 
 
 @AREA.query(

@@ -15,38 +15,31 @@ TEMPORAL_POLICIES = (
 )
 PURCHASE_GROUPS = ("rfm", "basket", "points")
 PRODUCT_GROUPS = ("product_category", "diversity")
-WINDOW_SWEEP_DAYS = (1, 7, 14, 30, 60, 90, 180)
 
+_BEHAVIOUR = ("demographic", "rfm", "basket", "points")
+_SEMANTIC = (*_BEHAVIOUR, "age_buckets", "account_lifecycle", "redeem_behavior")
+#: Settings of each family that differ from ``Recipe``'s own.
 RECIPE_FAMILIES = {
-    "base": (("demographic",), (), "pre_issue_only"),
-    "rfm": (("demographic", "rfm"), (), "pre_issue_only"),
-    "engagement": (("demographic", "points"), (30,), "pre_issue_only"),
-    "windowed": (("demographic", "rfm", "basket", "points"), (30,), "pre_issue_only"),
-    "rfm_baseline": (
-        ("demographic", "rfm", "basket", "points"),
-        (30, 60, 90),
-        "pre_issue_only",
-    ),
-    "human_semantic_v1": (
-        ("demographic", "rfm", "basket", "points", "age_buckets", "account_lifecycle", "redeem_behavior"),
-        (30, 60, 90),
-        "post_issue_history",
-    ),
-    "hybrid_safe_semantic_v1": (
-        ("demographic", "rfm", "basket", "points", "age_buckets", "account_lifecycle", "redeem_behavior"),
-        (30, 60, 90),
-        "safe_history_until_reference",
-    ),
-    "product_category": (
-        ("rfm", "basket", "points", "product_category"),
-        (30,),
-        "pre_issue_only",
-    ),
-    "diversity": (
-        ("rfm", "basket", "points", "product_category", "diversity"),
-        (30,),
-        "pre_issue_only",
-    ),
+    "base": {"source_tables": ("clients",)},
+    "rfm": {"feature_groups": ("demographic", "rfm")},
+    "engagement": {"feature_groups": ("demographic", "points"), "windows_days": (30,)},
+    "windowed": {"feature_groups": _BEHAVIOUR, "windows_days": (30,)},
+    "rfm_baseline": {"feature_groups": _BEHAVIOUR, "windows_days": (30, 60, 90), "semantic_name": "rfm_baseline"},
+    "human_semantic_v1": {
+        "feature_groups": _SEMANTIC, "windows_days": (30, 60, 90), "temporal_policy": "post_issue_history",
+        "semantic_name": "human_semantic_v1", "builder_version": "v2",
+    },
+    "hybrid_safe_semantic_v1": {
+        "feature_groups": _SEMANTIC, "windows_days": (30, 60, 90), "temporal_policy": "safe_history_until_reference",
+        "semantic_name": "hybrid_safe_semantic_v1", "builder_version": "v2",
+    },
+    "product_category": {
+        "source_tables": ("clients", "purchases", "products"), "feature_groups": (*_BEHAVIOUR, "product_category"), "windows_days": (30,),
+    },
+    "diversity": {
+        "source_tables": ("clients", "purchases", "products"), "feature_groups": (*_BEHAVIOUR, "product_category", "diversity"),
+        "windows_days": (30,),
+    },
 }
 
 
@@ -144,6 +137,7 @@ class Recipe:
             object.__setattr__(self, "reference_date", iso)
 
     def payload(self) -> dict:
+        # The keys that enter the recipe's id.
         return {
             "source_tables": list(self.source_tables),
             "feature_groups": list(self.feature_groups),
@@ -160,6 +154,7 @@ class Recipe:
         return stable_hash(self.payload())
 
     def artifact_id(self, fingerprint: str) -> str:
+        # The keys that enter the artifact's id.
         return stable_hash(
             {
                 "feature_recipe_id": self.recipe_id,
@@ -181,15 +176,4 @@ class Recipe:
 
 
 def recipe_family(name: str, reference_date: str | None = None) -> Recipe:
-    groups, windows, policy = RECIPE_FAMILIES[name]
-    tables = ["clients", "purchases"]
-    if set(PRODUCT_GROUPS) & set(groups):
-        tables.append("products")
-    return Recipe(
-        source_tables=tuple(tables),
-        feature_groups=groups,
-        windows_days=windows,
-        temporal_policy=policy,
-        semantic_name=name,
-        reference_date=reference_date,
-    )
+    return Recipe(**RECIPE_FAMILIES[name], reference_date=reference_date)

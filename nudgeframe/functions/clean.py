@@ -121,9 +121,9 @@ def hash_order(key: Column, seed) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
 
 
-def hash_uniform(key: Column, seed) -> Column:
-    """Uniform [0, 1) number from the first 7 hex digits of the seeded md5."""
-    return F.conv(F.substring(hash_order(key, seed), 1, 7), 16, 10).cast("double") / F.lit(float(16**7))
+def hash_uniform(key: Column, seed, digits: int = 7) -> Column:
+    """Uniform [0, 1) number from the first hex digits of the seeded md5; 13 fill a double."""
+    return F.conv(F.substring(hash_order(key, seed), 1, digits), 16, 10).cast("double") / F.lit(float(16**digits))
 
 
 def short_hash(text: Column, length: int = 12) -> Column:

@@ -125,19 +125,24 @@ def driver_stability(importance: DataFrame) -> DataFrame:
     )
 
 
-def sample_rows(df: DataFrame, n: int, seed=42) -> DataFrame:
-    """A repeatable uniform sample of ``n`` rows (the sampling operators' size)."""
+def sample_rows(df: DataFrame, n: int | None, seed=42) -> DataFrame:
+    """A repeatable uniform sample of ``n`` rows, or all rows where none is asked for."""
+    if n is None:
+        return df
     return df.orderBy(clean.hash_order(F.col(ENTITY), seed), ENTITY).limit(n)
 
 
 def permuted_copies(sample: DataFrame, columns: list[str], seed=42) -> DataFrame:
-    """Every sampled row once per feature, that feature's value taken from
-    another sampled row. ``sample`` must be a bounded sample."""
-    own = Window.partitionBy("feature").orderBy(ENTITY)
-    other = Window.partitionBy("feature").orderBy(F.md5(F.concat("feature", F.lit(f":{seed}:"), ENTITY)), ENTITY)
-    long = melted(sample, [ENTITY], columns)
-    receivers = long.select(ENTITY, "feature", F.row_number().over(own).alias("i"))
-    donors = long.select("feature", "value", F.row_number().over(other).alias("i"))
+    """Every row once per feature, that feature's value taken from another row.
+
+    Receivers and donors are numbered by ``running``, which never puts a feature's
+    rows into one task.
+    """
+    shuffled = F.md5(F.concat("feature", F.lit(f":{seed}:"), ENTITY)).alias("__shuffle")
+    long = melted(sample, [ENTITY], columns).select("*", shuffled)
+    one = {"i": F.lit(1).cast("long")}
+    receivers = running(long, ["feature"], [(ENTITY, False)], one).select(ENTITY, "feature", "i")
+    donors = running(long, ["feature"], [("__shuffle", False), (ENTITY, False)], one).select("feature", "value", "i")
     swapped = receivers.join(donors, ["feature", "i"]).select(ENTITY, "feature", F.col("value").alias("__swap"))
     return swapped.join(sample, ENTITY).select(
         "feature",
@@ -146,7 +151,7 @@ def permuted_copies(sample: DataFrame, columns: list[str], seed=42) -> DataFrame
     )
 
 
-def permutation_sensitivity(model, frame: DataFrame, top_n: int = 10, max_samples: int = 500, seed=42) -> DataFrame:
+def permutation_sensitivity(model, frame: DataFrame, top_n: int = 10, max_samples: int | None = None, seed=42) -> DataFrame:
     """Mean absolute score change when a feature's values are shuffled.
 
     All features are scored in one transform of the (sample x feature) rows.
@@ -177,7 +182,7 @@ def permutation_sensitivity(model, frame: DataFrame, top_n: int = 10, max_sample
     )
 
 
-def permutation_importance(model, labelled: DataFrame, max_samples: int = 2000, seed=42) -> DataFrame:
+def permutation_importance(model, labelled: DataFrame, max_samples: int | None = None, seed=42) -> DataFrame:
     """Drop in normalised Qini when a feature's values are shuffled."""
     columns = [c for c in model.feature_columns if c in labelled.columns]
     picked = sample_rows(labelled.select(ENTITY, TREATMENT, TARGET, *columns), max_samples, seed)

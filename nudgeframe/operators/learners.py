@@ -8,6 +8,7 @@ checkpointed) before fitting: the optimisers read their input many times.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from itertools import product
 from math import ceil, log2
 
 from pyspark import StorageLevel
@@ -89,17 +90,15 @@ class TrialSpec:
         return stable_hash(self.params)
 
 
-def tuning_specs(base: TrialSpec, seeds=(42, 7, 99, 123), max_param_sets: int = 2) -> list[TrialSpec]:
-    """The estimator's grid crossed with unique split seeds, in stable order."""
-    ordered = [int(s) for s in seeds] or [base.split_seed]
-    if base.split_seed not in ordered:
-        ordered.insert(0, base.split_seed)
-    grids = TUNING_GRIDS.get(base.estimator, (base.params,))[: max(1, max_param_sets)]
-    return [
-        replace(base, run_id=f"{base.run_id}__tune_p{i}_s{seed}", params=dict(params), split_seed=seed)
-        for i, params in enumerate(grids, start=1)
-        for seed in dict.fromkeys(ordered)
-    ]
+def tuning_specs(base: TrialSpec, seeds=(42, 7, 99, 123)) -> list[TrialSpec]:
+    """Every parameter set of the estimator under every seed, the base's own seed included.
+
+    A spec is named by its base, the place of its parameter set (from 1) and its seed.
+    """
+    sets = dict(enumerate(TUNING_GRIDS.get(base.estimator) or (base.params,), start=1))
+    own = [] if base.split_seed in seeds else [base.split_seed]
+    grid = product(sets, dict.fromkeys([*own, *seeds]))
+    return [replace(base, run_id=f"{base.run_id}__tune_p{n}_s{seed}", params=dict(sets[n]), split_seed=seed) for n, seed in grid]
 
 
 def make_classifier(estimator: str, params: dict, seed: int, n_rows: int):
@@ -176,6 +175,8 @@ def _numeric(df: DataFrame, columns) -> DataFrame:
 def fit_probability(df: DataFrame, columns: list[str], label, estimator: str, params: dict, seed: int) -> ProbabilityModel:
     """Median imputation, scaling (logistic only) and the classifier.
 
+    Medians are Spark ML's, within a thousandth of the rows of the exact rank.
+
     One aggregate tells the class balance and which columns hold any value. The
     projected training rows are persisted for the fit, since every stage and
     every optimiser step rereads them.
@@ -242,7 +243,7 @@ class UpliftModel:
     def score(self, df: DataFrame) -> DataFrame:
         score = self.columns.score
         if self.family == "random":
-            return df.withColumn(score, clean.hash_uniform(F.col(self.columns.entity), self.seed))
+            return df.withColumn(score, clean.hash_uniform(F.col(self.columns.entity), self.seed, 13))
         frame = _numeric(df, self.feature_columns)
         if self.family == "response_model":
             return self.model.probability(frame, score)
@@ -323,10 +324,12 @@ def run_trials(
 ) -> TrialBatch:
     """Fit every spec on its seed's train part and score its validation part.
 
-    Only the loop over a few specs runs on the driver; a spec that fails is
-    recorded and the batch goes on. The test part is scored only on request.
+    Only the loop over a few specs runs on the driver; a spec that fails, in fitting or
+    in scoring, is recorded and the batch goes on. Where a policy leaves the validation
+    part empty, the test part takes its place. The test part is otherwise scored only
+    on request.
     """
-    splits, models, records, scores, held_out = {}, {}, [], [], []
+    splits, judged, models, records, scores, held_out = {}, {}, {}, [], [], []
     for spec in specs:
         record = {
             "run_id": spec.run_id, "uplift_learner_family": spec.family, "base_estimator": spec.estimator,
@@ -340,21 +343,20 @@ def run_trials(
             model = fit_uplift(
                 parts.filter("split = 'train'"), spec.family, spec.estimator, spec.params, spec.split_seed, columns
             )
-            models[spec.run_id] = model
             run = F.lit(spec.run_id).alias("run_id")
-            scores.append(scored(model, parts.filter("split = 'validation'"), columns).select(run, "*"))
-            if score_held_out:
-                held_out.append(scored(model, parts.filter("split = 'test'"), columns).select(run, "*"))
+            if spec.split_seed not in judged:
+                judged[spec.split_seed] = "validation" if parts.filter("split = 'validation'").head(1) else "test"
+            part = parts.filter(F.col("split") == judged[spec.split_seed])
+            own = cut_lineage(scored(model, part, columns).select(run, "*"))
+            held = cut_lineage(scored(model, parts.filter("split = 'test'"), columns).select(run, "*")) if score_held_out else None
+            models[spec.run_id] = model
+            scores.append(own)
+            held_out.extend([held] if score_held_out else [])
         except Exception as error:  # one broken trial must not end the batch
-            record |= {"status": "failed", "error": str(error)[:500]}
+            record |= {"status": "failed", "error": str(error)}
         records.append(record)
-    # Scores are read by several metrics: keep them, not the models' plans.
-    return TrialBatch(
-        models,
-        cut_lineage(union(scores)) if scores else None,
-        cut_lineage(union(held_out)) if held_out else None,
-        records,
-    )
+    # Scores are read by several metrics: they are kept, not the models' plans.
+    return TrialBatch(models, union(scores) if scores else None, union(held_out) if held_out else None, records)
 
 
 def trial_results(batch: TrialBatch, spark, policy: EvalPolicy = EvalPolicy()) -> DataFrame:
@@ -366,10 +368,16 @@ def trial_results(batch: TrialBatch, spark, policy: EvalPolicy = EvalPolicy()) -
     rows = spark.createDataFrame([tuple(r.values()) for r in batch.records], schema)
     if batch.scores is None:
         return rows
-    results = rows.join(metrics.metric_bundle(batch.scores, ["run_id"], policy.cutoffs), "run_id", "left")
+    judged = metrics.metric_bundle_with_problems(batch.scores, ["run_id"], policy.cutoffs)
+    results = rows.join(judged, "run_id", "left")
+    # Scores that cannot be judged fail their run only.
+    bad = F.col("problem").isNotNull()
+    results = results.withColumns(
+        {"status": F.when(bad, F.lit("failed")).otherwise(F.col("status")), "error": F.coalesce("error", "problem")}
+    ).drop("problem")
     if batch.held_out is None:
         return results
-    held = metrics.metric_bundle(batch.held_out, ["run_id"], policy.cutoffs)
+    held = metrics.metric_bundle_with_problems(batch.held_out, ["run_id"], policy.cutoffs).drop("problem")
     return results.join(
         held.select("run_id", *[F.col(c).alias(f"held_out_{c}") for c in held.columns if c != "run_id"]), "run_id", "left"
     )

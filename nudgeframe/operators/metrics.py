@@ -6,6 +6,8 @@ evaluated in the same jobs. Ties rank by entity id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,7 +187,6 @@ def count_curve(scores: DataFrame, by=()) -> DataFrame:
         [(SCORE, True)],
         {"x": F.col("m"), "cum_t": F.col("m_t"), "cum_yt": F.col("m_yt"), "cum_yc": F.col("m_yc"), "bad": F.col("m_bad")},
         totals=True,
-        probe=rows,
     )
     now = _qini(F.col("cum_t"), F.col("x") - F.col("cum_t"), F.col("cum_yt"), F.col("cum_yc"))
     t0 = F.col("cum_t") - F.col("m_t")
@@ -376,6 +377,15 @@ def metric_bundle(scores: DataFrame, by=(), cutoffs=(0.05, 0.10, 0.20, 0.30)) ->
     return areas.withColumn("normalized_qini_auc", normal.scalar())
 
 
+def metric_bundle_with_problems(scores: DataFrame, by, cutoffs=(0.05, 0.10, 0.20, 0.30)) -> DataFrame:
+    """``metric_bundle`` for groups that can be judged; the others have null metrics and their ``problem``."""
+    judged = score_problems(scores, by).select(*by, "problem")
+    sound = judged.filter("problem is null").select(*[F.col(c).alias(f"__ok_{c}") for c in by])
+    same = reduce(lambda a, b: a & b, [scores[c].eqNullSafe(sound[f"__ok_{c}"]) for c in by])
+    bundle = metric_bundle(scores.join(sound, same).select(*scores.columns), by, cutoffs)
+    return bundle.join(judged, list(by), "right")
+
+
 def evaluate(scores: DataFrame, policy: EvalPolicy = EvalPolicy(), by=()) -> dict[str, DataFrame]:
     """Every metric, curve and table of a ranking as lazy DataFrames.
 

@@ -9,6 +9,7 @@ from nudgeframe.config import Columns
 from nudgeframe.functions import clean
 from nudgeframe.operators.quality import melted
 from nudgeframe.plans.prefix import exact_quantiles
+from nudgeframe.session import cut_lineage
 
 # Printed names of the right-closed age bands.
 AGE_BAND_LABELS = (
@@ -90,9 +91,12 @@ def purchase_summary(purchases: DataFrame) -> DataFrame:
 
 
 def feature_summary(table: DataFrame, features: list[str]) -> DataFrame:
-    """Count, missing, distinct, moments and quartiles of every feature."""
-    long = melted(table, [], features)
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Count, missing, distinct, moments and quartiles of every feature.
+
+    Everything is taken from value counts, which are cut once, so the table behind
+    them is computed once.
+    """
+    counts = cut_lineage(melted(table, [], features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
     value, n = F.col("value"), F.col("n")
     weight = F.when(value.isNotNull(), n).otherwise(0)
     rows = F.sum(weight)
@@ -102,17 +106,21 @@ def feature_summary(table: DataFrame, features: list[str]) -> DataFrame:
         (F.sum(n) - rows).alias("missing_count"),
         F.round((F.sum(n) - rows) / F.sum(n).cast("double"), 4).alias("missing_pct"),
         F.count(F.lit(1)).alias("unique_values"),
-        F.round(total / F.nullif(rows.cast("double"), F.lit(0.0)), 6).alias("mean"),
+        (total / F.nullif(rows.cast("double"), F.lit(0.0))).alias("mean"),
         F.round(F.min(value), 6).alias("min"),
         F.round(F.max(value), 6).alias("max"),
     )
-    spread = long.groupBy("feature").agg(F.round(F.stddev_samp("value"), 6).alias("std"))
-    # Quartiles walk the same value counts, so their shuffle is shared.
+    # Squares around the mean, weighed by count: no cancellation of large sums.
+    around = counts.filter("value is not null").join(basic.select("feature", "mean"), "feature")
+    squares, known = F.sum(n * (value - F.col("mean")) * (value - F.col("mean"))), F.sum(n)
+    std = F.when(known > 1, F.sqrt(squares / F.nullif(known - 1, F.lit(0))))
+    spread = around.groupBy("feature").agg(F.round(std, 6).alias("std"))
     quartiles = exact_quantiles(
-        counts, ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, weight="n", probe=long
+        counts, ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, weight="n"
     )
     return (
-        basic.join(spread, "feature")
+        basic.withColumn("mean", F.round("mean", 6))
+        .join(spread, "feature", "left")
         .join(quartiles, "feature", "left")
         .select(
             *basic.columns,

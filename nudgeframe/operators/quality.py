@@ -123,11 +123,6 @@ def label_counts(train: DataFrame, columns: Columns = Columns()) -> DataFrame:
     return long.filter("r.value is not null").groupBy("r.column_name", "r.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def unparseable_rate(df: DataFrame, column: str) -> DataFrame:
-    bad = clean.timestamp_or_null(F.col(column)).isNull().cast("int")
-    return df.agg(F.round(F.coalesce(F.avg(bad), F.lit(0.0)), 6).alias("rate"))
-
-
 def _check(frame: DataFrame, check: str, table: str, column: str | None, value: str, fail: str | None) -> DataFrame:
     severity = F.lit("info") if fail is None else F.when(F.col(value) > 0, fail).otherwise("ok")
     return frame.select(

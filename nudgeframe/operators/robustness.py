@@ -15,15 +15,14 @@ POLICY_KEY = r"^top_(\d+)pct_(.+)$"
 
 
 def run_pairs(runs: DataFrame, group: str | None = None) -> DataFrame:
-    """Unordered run pairs (run_a < run_b), inside a group when one is given.
-
-    ``runs`` is a table of runs, not of scores: a few rows per experiment.
+    """Comparisons (run_a, run_b) of each run with its group's reference run, the one of the
+    smallest id: one fewer than there are runs. Without a group all runs share one reference.
     """
     keys = [] if group is None else [group]
-    ids = F.sort_array(F.collect_set("run_id")).alias("runs")
-    listed = runs.groupBy(*keys).agg(ids).select(*keys, F.posexplode("runs").alias("i", "run_a"), "runs")
-    later = F.explode(F.slice("runs", F.col("i") + 2, F.size("runs")))
-    return listed.select(*keys, "run_a", later.alias("run_b"))
+    ids = runs.select(*keys, F.col("run_id").alias("run_b")).distinct()
+    first = runs.groupBy(*keys).agg(F.min("run_id").alias("run_a"))
+    paired = ids.join(first, keys) if keys else ids.withColumn("run_a", first.scalar())
+    return paired.filter("run_a < run_b").select(*keys, "run_a", "run_b")
 
 
 def shared_scores(scores: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -72,7 +71,7 @@ def ranking_stability(
     min_correlation: float = 0.8,
     min_overlap: float = 0.7,
 ) -> DataFrame:
-    """One row: weakest and mean agreement over all pairs, and the verdict."""
+    """One row: weakest and mean agreement with the reference run, and the verdict."""
     agreement = pairs.join(rank_correlation(scores, pairs), ["run_a", "run_b"], "left").join(
         top_k_overlap(scores, pairs, k), ["run_a", "run_b"], "left"
     )

@@ -1,82 +1,49 @@
 """Running totals over an ordering, without pulling a group into one task.
 
 A plain window with no (or a coarse) partition key sends each group to a single
-task. ``running`` instead cuts large groups into ordered buckets:
+task. ``running`` instead cuts large inputs into ordered buckets:
 
-1. sampled keys give cut points, held on the driver as at most 4,095 literals;
-2. every row gets a bucket number that grows with the sort key;
-3. per-bucket totals (one small row each) become exclusive offsets;
-4. rows are numbered inside their bucket and the offset is added.
+1. rows are range-partitioned by (group, sort key) with Spark's own partitioner, the
+   partition is their bucket, and they are written once to the shared folder;
+2. per-bucket totals of the written rows (one small row each) become exclusive offsets;
+3. rows are numbered inside their bucket and the offset is added.
 
-The cut points are literals over the full composite sort key, so a bucket is a
-pure function of the row (safe under task retries) and ties on the leading key,
-however many, still spread over buckets. Results do not depend on the cuts.
+Placement and windows order by the same sort columns, so nulls, NaN and signed zeros
+fall alike on both paths, and rows equal in the whole key stay together. Bucket
+numbers are read from the written rows: a retried task cannot see other cuts. The
+number of buckets is the session's number of shuffle partitions.
 """
 
 from __future__ import annotations
 
-from math import ceil
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nudgeframe.plans.sizing import is_small, rows_per_task
+from nudgeframe.plans.sizing import is_small
+from nudgeframe.session import shared_folder
 
 _BUCKET = "__bucket"
-_MAX_BUCKETS = 4096
-_SAMPLE_PER_BUCKET = 32
-_CHUNK = 64
 
 
 def _sort_columns(order):
     return [F.col(name).desc() if down else F.col(name).asc() for name, down in order]
 
 
-def _key(by, order) -> Column:
-    parts = [F.col(name) for name in by]
-    parts += [-F.col(name) if down else F.col(name) for name, down in order]
-    return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)])
-
-
-def cut_points(df: DataFrame, by, order) -> list | None:
-    """Ascending composite keys that cut ``df`` into balanced buckets, or None
-    when no group can exceed one task."""
-    if is_small(df):
-        return None
-    total = df.count()
-    limit = rows_per_task(df)
-    if total <= limit:
-        return None
-    buckets = min(_MAX_BUCKETS, ceil(total / limit))
-    keep_one_in = max(1, total // (buckets * _SAMPLE_PER_BUCKET))
-    key = _key(by, order)
-    rows = (
-        df.select(key.alias("k"))
-        .filter(F.pmod(F.xxhash64("k"), F.lit(keep_one_in)) == 0)
-        .distinct()
-        .orderBy("k")
-        .collect()
-    )
-    step = max(1, len(rows) // buckets)
-    return [tuple(row["k"]) for row in rows[step::step]][: _MAX_BUCKETS - 1] or None
-
+def _bucketed(rows: DataFrame, by, order) -> DataFrame:
+    """``rows`` with their bucket, written once."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
+    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.repartitionByRange(buckets, *[F.col(name).asc() for name in by], *_sort_columns(order))
+    placed.withColumn(_BUCKET, F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
 
-def _bucket_column(df: DataFrame, by, order, cuts) -> Column:
-    """Number of cut points at or below the row's key, by two-level search."""
-    key = _key(by, order)
-    types = [field.dataType for field in df.select(key.alias("k")).schema["k"].dataType]
 
-    def literal(cut):
-        return F.struct(
-            *[F.lit(value).cast(kind).alias(f"k{i}") for i, (value, kind) in enumerate(zip(cut, types))]
-        )
-
-    chunks = [cuts[i : i + _CHUNK] for i in range(0, len(cuts), _CHUNK)]
-    heads = F.array(*[literal(chunk[0]) for chunk in chunks])
-    table = F.array(*[F.array(*[literal(cut) for cut in chunk]) for chunk in chunks])
-    chunk_no = F.size(F.filter(heads, lambda head: head <= key))
-    within = F.size(F.filter(F.get(table, chunk_no - 1), lambda cut: cut <= key))
-    return F.when(chunk_no == 0, F.lit(0)).otherwise((chunk_no - 1) * _CHUNK + within)
+def _same(left: DataFrame, right: DataFrame, names) -> Column:
+    return reduce(lambda a, b: a & b, [left[name].eqNullSafe(right[f"__k_{name}"]) for name in names])
 
 
 def running(
@@ -86,23 +53,17 @@ def running(
     sums: dict[str, Column],
     prior_max: dict[str, Column] | None = None,
     totals: bool = False,
-    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Add inclusive running sums, exclusive running maxima and group totals.
 
-    ``order`` lists ``(column, descending)``; descending columns must be numeric
-    and ``by`` columns non-null. Group totals appear as ``total_<name>``. For a
-    costly derived ``df``, ``probe`` names a cheaper frame with the same key
-    columns to take cut points from.
+    ``order`` lists ``(column, descending)`` and should end in a column that tells
+    the rows of a group apart; nulls, in ``by`` too, are values like others. Group
+    totals appear as ``total_<name>``.
     """
     prior_max = prior_max or {}
-    cuts = cut_points(df if probe is None else probe, by, order)
-    bucket = F.lit(0) if cuts is None else _bucket_column(df, by, order, cuts)
-    rows = df.select(
-        "*",
-        bucket.alias(_BUCKET),
-        *[column.alias(f"__v_{name}") for name, column in (sums | prior_max).items()],
-    )
+    rows = df.select("*", *[column.alias(f"__v_{name}") for name, column in (sums | prior_max).items()])
+    small = is_small(df)
+    rows = rows.withColumn(_BUCKET, F.lit(0)) if small else _bucketed(rows, by, order)
     group = Window.partitionBy(*by, _BUCKET)
     upto = group.orderBy(*_sort_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
     before = group.orderBy(*_sort_columns(order)).rowsBetween(Window.unboundedPreceding, -1)
@@ -114,30 +75,27 @@ def running(
         *[F.max(f"__v_{name}").over(before).alias(name) for name in prior_max],
         *(
             [F.sum(f"__v_{name}").over(group).alias(f"total_{name}") for name in sums]
-            if totals and cuts is None
+            if totals and small
             else []
         ),
     )
-    if cuts is None:
+    if small:
         return local.drop(_BUCKET)
 
     per_bucket = rows.groupBy(*by, _BUCKET).agg(
         *[F.sum(f"__v_{name}").alias(f"__b_{name}") for name in sums],
         *[F.max(f"__v_{name}").alias(f"__b_{name}") for name in prior_max],
     )
-    # One row per bucket: at most 4,096 rows beyond one per group.
+    # One row a bucket beyond one per group.
     earlier = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = per_bucket.select(
-        *by,
-        _BUCKET,
+        *[F.col(name).alias(f"__k_{name}") for name in (*by, _BUCKET)],
         *[F.coalesce(F.sum(f"__b_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}") for name in sums],
         *[F.max(f"__b_{name}").over(earlier).alias(f"__o_{name}") for name in prior_max],
         *([F.sum(f"__b_{name}").over(whole).alias(f"total_{name}") for name in sums] if totals else []),
     )
-    # Every bucket has an offset row; a left join spares the rows a null test on
-    # the bucket search, which would run the search twice.
-    joined = local.join(offsets, [*by, _BUCKET], "left")
+    joined = local.join(offsets, _same(local, offsets, (*by, _BUCKET)), "left")
     return joined.select(
         *df.columns,
         *[(F.col(name) + F.col(f"__o_{name}")).alias(name) for name in sums],
@@ -158,15 +116,13 @@ def value_counts(df: DataFrame, by: list[str], value: str, weight: str | None =
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(rows.alias("ties"))
 
 
-def average_ranks(
-    df: DataFrame, by: list[str], value: str, weight: str | None = None, probe: DataFrame | None = None
-) -> DataFrame:
+def average_ranks(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Tie-averaged rank of every distinct value: (by..., value, ties, avg_rank).
 
     ``weight`` names a row-count column when rows are already aggregated.
     """
     ties = value_counts(df, by, value, weight)
-    ranked = running(ties, by, [(value, False)], {"upto": F.col("ties")}, probe=df if probe is None else probe)
+    ranked = running(ties, by, [(value, False)], {"upto": F.col("ties")})
     return ranked.select(
         *by,
         value,
@@ -181,7 +137,6 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     weight: str | None = None,
-    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Linearly interpolated exact quantiles, one row per group.
 
@@ -194,7 +149,6 @@ def exact_quantiles(
         [(value, False)],
         {"upto": F.col("ties")},
         totals=True,
-        probe=df if probe is None else probe,
     )
     last, first = F.col("upto") - 1, F.col("upto") - F.col("ties")
     position = {name: (F.col("total_upto") - 1) * F.lit(float(p)) for name, p in probs.items()}

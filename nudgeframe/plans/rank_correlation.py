@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nudgeframe.plans.prefix import average_ranks
-from nudgeframe.plans.skew import skew_join
+from nudgeframe.plans.sizing import is_small
+from nudgeframe.plans.skew import HeavyKeys, find_heavy_keys, skew_join
 
 
 def pearson(x: Column, y: Column, weight: Column) -> Column:
@@ -31,11 +32,13 @@ def spearman(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFra
     sizes = cells.groupBy(*keys).agg(F.sum("m").alias("n"))
 
     def ranks(side):
-        return average_ranks(cells, keys, side, "m", probe=rows).select(*keys, side, F.col("avg_rank").alias(f"rank_{side}"))
+        return average_ranks(cells, keys, side, "m").select(*keys, side, F.col("avg_rank").alias(f"rank_{side}"))
 
-    ranked = skew_join(cells, ranks(left), [*keys, left], "inner", [right], probe=rows)
-    ranked = skew_join(ranked, ranks(right), [*keys, right], "inner", [left], probe=rows)
-    ranked = skew_join(ranked, sizes, keys, "inner", [left, right], probe=rows)
+    # Cells are distinct pairs, so a join on (keys, value) has no more rows a key than
+    # the other side has values; the table of group sizes is small enough for Spark's check.
+    hot = HeavyKeys() if is_small(rows) else find_heavy_keys(rows, [*keys, left])
+    ranked = skew_join(cells, ranks(left), [*keys, left], "inner", [right], hot)
+    ranked = ranked.join(ranks(right), [*keys, right]).join(sizes, keys) if keys else ranked.join(ranks(right), [right]).crossJoin(sizes)
     middle = (F.col("n") + 1) / F.lit(2.0)
     correlation = pearson(F.col(f"rank_{left}") - middle, F.col(f"rank_{right}") - middle, F.col("m").cast("double"))
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), correlation.alias("correlation"))

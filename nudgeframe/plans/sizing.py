@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 SMALL_BYTES = 64 * 1024 * 1024
-BROADCAST_BYTES = 10 * 1024 * 1024
 ROWS_PER_TASK = 2_000_000
 
 _SMALL_KEY = "spark.nudgeframe.smallBytes"
@@ -26,24 +25,18 @@ def rows_per_task(df: DataFrame) -> int:
     return max(1, _setting(df, _ROWS_KEY, ROWS_PER_TASK))
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Total size of the plan's leaf relations, or None when it is unknown."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return sum(
-            int(str(leaves.apply(i).stats().sizeInBytes()))
-            for i in range(leaves.size())
-        )
-    except Exception:
-        return None
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the plan's leaf relations, as Catalyst reports it."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame) -> bool:
-    size = input_bytes(df)
-    return size is not None and size <= _setting(df, _SMALL_KEY, SMALL_BYTES)
+    """Whether one task per group is enough; decides the plan, never the result."""
+    return input_bytes(df) <= _setting(df, _SMALL_KEY, SMALL_BYTES)
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    size = input_bytes(df)
-    limit = min(BROADCAST_BYTES, _setting(df, _SMALL_KEY, SMALL_BYTES))
-    return size is not None and size <= limit
+    """Whether Spark would broadcast ``df`` under its own threshold."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return input_bytes(df) <= min(limit, _setting(df, _SMALL_KEY, SMALL_BYTES))

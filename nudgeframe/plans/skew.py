@@ -1,57 +1,53 @@
-"""Equi-joins that survive a key holding a large share of the fact rows."""
+"""Equi-joins that survive keys holding a large share of the fact rows."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nudgeframe.plans.sizing import fits_broadcast, input_bytes, is_small, rows_per_task
+from nudgeframe.plans.sizing import fits_broadcast, is_small, rows_per_task
+from nudgeframe.session import cut_lineage
 
 _SALT = "__salt"
-_MAX_HEAVY_KEYS = 512
-_MAX_SALTS = 4096
-_SAMPLE_ROWS = 200_000
+#: Expected sampled rows of a key that fills one task.
+_HITS = 16
 
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Hashes of the keys to salt and over how many tasks to spread them."""
+    """A table (__h, __salts) of the keys to salt, by hash, or None."""
 
-    hashes: tuple = ()
-    salts: int = 1
+    table: DataFrame | None = None
+
+    @property
+    def any(self) -> bool:
+        return self.table is not None
 
 
 NONE = HeavyKeys()
 
 
 def find_heavy_keys(probe: DataFrame, on: list[str]) -> HeavyKeys:
-    """Keys whose estimated row count exceeds one task.
+    """Keys whose estimated row count exceeds one task, each with its own number of salts.
 
-    ``probe`` needs the key columns only: pass the raw table rather than a costly
-    derived frame. A sample decides where salting is applied, never which rows
-    are kept, so a missed key costs balance and not correctness.
+    ``probe`` needs the key columns only. The sample takes rows by hash of a random
+    draw so that a key filling one task is expected ``_HITS`` times; it decides where
+    salting is applied, never which rows are kept, so a missed key costs balance and
+    not correctness. The keys stay a table, however many there are.
     """
     limit = rows_per_task(probe)
-    size = input_bytes(probe)
-    # ~100 bytes per row is enough to size the sample; exactness is not needed.
-    fraction = 0.001 if size is None or size > 2**60 else min(1.0, _SAMPLE_ROWS / max(1.0, size / 100))
+    fraction = min(1.0, _HITS / limit)
     counts = (
-        probe.select(F.xxhash64(*on).alias("h"))
+        probe.select(F.xxhash64(*on).alias("__h"))
         .sample(fraction, seed=7)
-        .groupBy("h")
-        .count()
-        .filter(F.col("count") > limit * fraction)
-        .orderBy(F.col("count").desc())
-        .limit(_MAX_HEAVY_KEYS)
-        .collect()
+        .groupBy("__h")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > limit * fraction)
     )
-    if not counts:
-        return NONE
-    largest = counts[0]["count"] / fraction
-    return HeavyKeys(tuple(row["h"] for row in counts), min(_MAX_SALTS, ceil(largest / limit) + 1))
+    found = cut_lineage(counts.select("__h", F.ceil(F.col("n") / (limit * fraction) + 1).cast("long").alias("__salts")))
+    return HeavyKeys(found) if found.head(1) else NONE
 
 
 def skew_join(
@@ -63,26 +59,28 @@ def skew_join(
     heavy: HeavyKeys | None = None,
     probe: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``fact`` to ``dim``; heavy keys are salted over many tasks.
+    """Join ``fact`` to ``dim``; rows of heavy keys are salted over many tasks.
 
     Small inputs, and lookups Spark can broadcast under its own size check, take
-    the plain join. Otherwise the rows of heavy keys spread over ``salts`` tasks
-    and only those keys' lookup rows are repeated. Known heavy keys skip the
-    search; ``probe`` names a cheaper frame to search in.
+    the plain join. Otherwise the rows of each heavy key spread over its own number
+    of salts and only those keys' lookup rows are repeated. The table of heavy keys
+    has a row for each key that fills a task; Spark broadcasts it under its own
+    check, else it is joined by hash. Known heavy keys skip the search; ``probe``
+    names a cheaper frame to search in.
     """
     if is_small(fact) or fits_broadcast(dim):
         return fact.join(dim, on, how)
     if heavy is None:
         heavy = find_heavy_keys(fact if probe is None else probe, on)
-    if not heavy.hashes:
+    if not heavy.any:
         return fact.join(dim, on, how)
-    is_heavy = F.xxhash64(*on).isin(list(heavy.hashes))
     spread = salt_by or [c for c in fact.columns if c not in on] or on
-    zero, last = F.lit(0).cast("long"), F.lit(heavy.salts - 1).cast("long")
-    salted = fact.withColumn(
-        _SALT, F.when(is_heavy, F.pmod(F.xxhash64(*spread), F.lit(heavy.salts))).otherwise(zero)
+    zero, salts = F.lit(0).cast("long"), F.col("__salts")
+    salted = fact.join(heavy.table, F.xxhash64(*[fact[c] for c in on]) == F.col("__h"), "left").withColumn(
+        _SALT, F.when(salts.isNull(), zero).otherwise(F.pmod(F.xxhash64(*spread), salts))
     )
-    repeated = dim.withColumn(
-        _SALT, F.explode(F.when(is_heavy, F.sequence(zero, last)).otherwise(F.array(zero)))
+    repeated = dim.join(heavy.table, F.xxhash64(*[dim[c] for c in on]) == F.col("__h"), "left").withColumn(
+        _SALT, F.explode(F.when(salts.isNull(), F.array(zero)).otherwise(F.sequence(zero, salts - 1)))
     )
+    salted, repeated = salted.drop("__h", "__salts"), repeated.drop("__h", "__salts")
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from nudgeframe.config import Columns, Recipe, stable_hash
 from nudgeframe.functions import clean
 from nudgeframe.operators import facts, features, quality
+from nudgeframe.session import shared_folder
 
 METADATA_SCHEMA = (
     "feature_recipe_id string, feature_artifact_id string, dataset_fingerprint string, builder_version string, "
@@ -22,29 +22,25 @@ METADATA_SCHEMA = (
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints the cluster shares; a temporary one
-    only where no checkpoint folder is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/nudgeframe-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder beside the checkpoints, which the cluster shares."""
+    return f"{shared_folder(spark)}/nudgeframe-{uuid.uuid4().hex}"
 
 
 def content_fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per table: row count and an order-free sum of row md5 prefixes.
+    """One row per table: row count and order-free sums of the four quarters of row digests.
 
-    One scan per table with map-side combining; no shuffle of rows.
+    A row's text holds each field's length before its value, and null apart from any
+    value, so no two rows share a text; the whole md5 enters the sums. One scan per
+    table with map-side combining; no shuffle of rows.
     """
     frames = []
     for name, df in sorted(tables.items()):
-        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)])
-        prefix = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)")
+        fields = [F.col(c).cast("string") for c in sorted(df.columns)]
+        text = F.concat(*[F.coalesce(F.concat(F.length(f).cast("string"), F.lit(":"), f), F.lit("-")) for f in fields])
+        quarters = [F.conv(F.substring(F.md5(text), 1 + 8 * q, 8), 16, 10).cast("decimal(20,0)") for q in range(4)]
+        sums = [F.coalesce(F.sum(q), F.lit(0)).cast("string") for q in quarters]
         frames.append(
-            df.agg(
-                F.lit(name).alias("table_name"),
-                F.count(F.lit(1)).alias("n_rows"),
-                F.coalesce(F.sum(prefix), F.lit(0)).cast("string").alias("row_hash_sum"),
-            )
+            df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", *sums).alias("row_hash_sum"))
         )
     return quality.union(frames)
 
@@ -54,17 +50,6 @@ def dataset_fingerprint(tables: dict[str, DataFrame]) -> str:
     return stable_hash(sorted([r["table_name"], r["n_rows"], r["row_hash_sum"]] for r in rows))
 
 
-def file_fingerprint(spark: SparkSession, paths: dict[str, str], file_format: str = "parquet") -> str:
-    """Cheap fingerprint from file names, sizes and modification times."""
-    listing = []
-    for name, path in sorted(paths.items()):
-        meta = spark.read.format(file_format).load(path).select(
-            "_metadata.file_name", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string").alias("at")
-        )
-        listing.append([name, sorted([r["file_name"], r["file_size"], r["at"]] for r in meta.distinct().collect())])
-    return stable_hash(listing)
-
-
 def _metadata_path(folder: str, cohort: str, artifact_id: str) -> str:
     return f"{folder}/metadata/{cohort}_{artifact_id}"
 

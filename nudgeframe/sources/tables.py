@@ -71,8 +71,3 @@ def required_columns(columns: Columns = Columns()) -> dict[str, tuple]:
         "scoring": (columns.entity,),
         "purchases": (columns.entity, "transaction_id", "transaction_datetime", "purchase_sum"),
     }
-
-
-def head_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
-    """A reproducible sample: the first ``n`` rows of a stated order."""
-    return df.orderBy(*[F.col(name).asc_nulls_first() for name in order_by]).limit(n)

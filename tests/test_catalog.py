@@ -3,34 +3,12 @@
 import pytest
 
 import __spark_entry__ as registered
+from nudgeframe.catalog import registry
 from tests.compare import compare
 from tests.conftest import SMALL_DIR
 
-QUERIES = registered.queries()
-SQL = registered.oracle_sql()
-SPLIT = (
-    "rfm_features_pre_issue",
-    "rfm_features_post_issue",
-    "product_entropy",
-    "ingest_mode_features",
-    "purchase_summary",
-    "feature_summary",
-    "uplift_decile_table",
-    "qini_curve",
-    "curve_downsample",
-    "metric_bundle_by_model",
-    "normalized_qini_negative",
-    "stratified_split",
-    "kfold_assignment",
-    "budget_targeting",
-    "score_segments",
-    "segment_rank_statistics",
-    "rank_correlation",
-    "top_k_overlap",
-    "score_feature_association",
-    "representative_cases",
-    "verdict_ceiling",
-)
+QUERIES = registry.queries()
+SQL = registry.oracle_sql()
 
 
 def test_sql_names_are_registered():
@@ -65,7 +43,7 @@ def test_large_rankings_use_bucketed_windows(spark, split_small_inputs):
     assert "hashpartitioning(__bucket" in plan and "SinglePartition" in plan  # offsets only
 
 
-@pytest.mark.parametrize("name", SPLIT)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_large_input_path_matches_sql(name, spark, duck, split_small_inputs):
     assert compare(QUERIES[name](spark, SMALL_DIR), duck, SQL[name]) is None
 

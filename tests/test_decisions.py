@@ -147,13 +147,13 @@ def test_pairwise_agreement_uses_shared_entities(spark):
     df = predictions(spark)
     pairs = robustness.run_pairs(df)
     got = {(r["run_a"], r["run_b"]): r for r in robustness.rank_correlation(df, pairs).collect()}
-    assert set(got) == {("base", "near"), ("base", "rev"), ("near", "rev")}
+    assert set(got) == {("base", "near"), ("base", "rev")}  # each run with the reference run
     assert got["base", "near"]["rank_correlation"] == 1.0 and got["base", "near"]["shared_entities"] == 4
     assert got["base", "rev"]["rank_correlation"] == -1.0
     top = {(r["run_a"], r["run_b"]): r["top_k_overlap"] for r in robustness.top_k_overlap(df, pairs, 2).collect()}
     assert top["base", "near"] == 1.0 and top["base", "rev"] == 0.0
     stable = robustness.ranking_stability(df, pairs, 0.5).first()
-    assert stable["pair_count"] == 3 and not stable["stable"] and stable["min_rank_correlation"] == -1.0
+    assert stable["pair_count"] == 2 and not stable["stable"] and stable["min_rank_correlation"] == -1.0
 
 
 def test_run_without_shared_entities_is_a_limitation(spark):

@@ -132,3 +132,25 @@ def test_driver_flags(spark):
     row = explain.driver_stability(df).first()
     assert row["consistent_top3"] == ["age_clean"] and not row["stable"]
     assert explain.driver_stability(df.filter("run_id = 'a'")).first()["stable"]
+
+
+def test_a_bad_run_fails_alone(planted, monkeypatch):
+    """A run whose scores cannot be judged is marked failed; the others keep their metrics."""
+    real = learners.scored
+
+    def broken(model, frame, columns=learners.Columns()):
+        out = real(model, frame, columns)
+        return out.withColumn("uplift", F.lit(None).cast("double")) if model.family == "response_model" else out
+
+    monkeypatch.setattr(learners, "scored", broken)
+    specs = [TrialSpec("a", "random"), TrialSpec("b", "response_model", params=FAST), TrialSpec("c", "no_such_family")]
+    rows = {r["run_id"]: r for r in learners.trial_results(learners.run_trials(planted, specs), planted.sparkSession).collect()}
+    assert rows["a"]["status"] == "success" and rows["a"]["qini_auc"] is not None
+    assert rows["b"]["status"] == "failed" and rows["b"]["error"] == "uplift contains missing values" and rows["b"]["qini_auc"] is None
+    assert rows["c"]["status"] == "failed" and "no_such_family" in rows["c"]["error"]
+
+
+def test_an_empty_validation_part_is_replaced_by_the_test_part(planted):
+    policy = learners.SplitPolicy(train=0.5, validation=0.0, test=0.5, min_rows_per_partition=1)
+    batch = learners.run_trials(planted, [TrialSpec("a", "random")], policy)
+    assert 550 <= batch.scores.count() <= 650

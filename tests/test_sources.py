@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nudgeframe.catalog.inputs import Study
 from nudgeframe.config import Recipe
 from nudgeframe.operators import split
+from nudgeframe.session import shared_folder
 from nudgeframe.sources import artifacts, ledger
 from tests.conftest import SMALL_DIR
 
@@ -41,15 +42,6 @@ def test_fingerprint_sees_one_changed_cell(tables):
     assert artifacts.dataset_fingerprint({"train": edited}) != base
 
 
-def test_file_fingerprint_follows_files(spark, tmp_path):
-    path = tmp_path / "t.csv"
-    path.write_text("a\n1\n")
-    first = artifacts.file_fingerprint(spark, {"t": str(path)}, "csv")
-    assert first == artifacts.file_fingerprint(spark, {"t": str(path)}, "csv")
-    path.write_text("a\n1\n2\n")
-    assert artifacts.file_fingerprint(spark, {"t": str(path)}, "csv") != first
-
-
 def test_ledger_append_load_and_patch(spark, tmp_path):
     path = str(tmp_path / "ledger")
     one = spark.createDataFrame([("r1", 1, "success", 0.2)], "run_id string, seq long, status string, qini_auc double")
@@ -87,3 +79,34 @@ def test_split_sink(spark, tables, tmp_path, file_format):
 def test_recipe_ids_match_spark_hash(spark):
     rows = artifacts.recipe_ids({"a": Recipe(), "b": Recipe(windows_days=(30,))}, spark).collect()
     assert all(r["recipe_id"] == r["recomputed_id"] for r in rows)
+
+
+def test_fingerprint_follows_every_table(spark, tables):
+    """One changed purchase row, or a null against an empty text, gives other fingerprints."""
+    before = artifacts.dataset_fingerprint(tables)
+    assert before == artifacts.dataset_fingerprint(dict(reversed(tables.items())))
+    lines = tables["purchases"]
+    first = lines.agg(F.min(F.struct("transaction_id", "product_id"))).first()[0]
+    hit = (F.col("transaction_id") == first[0]) & (F.col("product_id") == first[1])
+    changed = lines.withColumn("purchase_sum", F.when(hit, F.col("purchase_sum") + 1).otherwise(F.col("purchase_sum")))
+    assert artifacts.dataset_fingerprint(tables | {"purchases": changed}) != before
+    texts = [spark.createDataFrame([row], "a string, b string") for row in (("x", None), ("x", ""), ("x|", ""), (None, "x"))]
+    assert len({artifacts.dataset_fingerprint({"t": t}) for t in texts}) == 4
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
