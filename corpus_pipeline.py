@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from nudgeframe.llm import mixing, sentencepiece, simhash, substring_dedup, toxicity
-from nudgeframe.llm.common import read, shared_folder
+from nudgeframe.llm.common import read, shared_folder, ship
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL has no like of the learned lexicon, of SimHash or of the encoder.
@@ -28,18 +28,22 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return simhash.keep_one(docs.select(*DOCUMENT))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return substring_dedup.deduplicate(docs.select(*DOCUMENT))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return mixing.materialise(docs.select(*DOCUMENT))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return sentencepiece.encode(docs.select(*DOCUMENT), sentencepiece.read_model()).drop("text")
 
 

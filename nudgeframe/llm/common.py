@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,37 +13,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+import nudgeframe
+from nudgeframe.session import cut_lineage as cut
+from nudgeframe.session import shared_folder  # noqa: F401
+
 #: A null doc_id sorts after every other one.
 LAST_ID = 2**63 - 1
 #: Rows under which a measured lookup table is broadcast; above it Spark joins by shuffle.
 BROADCAST_ROWS = 100_000
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which every executor sees.
-
-    One is made here only where the session names none and runs on this machine
-    alone, as tests do.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per context: they may not find it where the driver did."""
+    context = spark.sparkContext
+    if getattr(context, "nudgeframe_shipped", False):
+        return
+    root = Path(nudgeframe.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "nudgeframe_package.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(root.rglob("*.py")):
+            packed.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context.nudgeframe_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    folder = shared_folder(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def join_lookup(df: DataFrame, lookup: DataFrame, on: Column | list[str], how: str) -> DataFrame:
