@@ -11,12 +11,15 @@ window starts earlier, by (document, start). Only candidates travel:
    most ``1 / HOT_SHARE`` of them can be, so their list is broadcast) are salted by
    document first and kept, and runs longer than ``RUN`` rows are cut into parts.
 3. Surviving regions fetch their text from the documents, which are dealt by id once;
-   the same exchange serves the result again.
+   the same exchange serves the anchors before and the result after.
 4. Regions meet in groups of one anchor (or one part of a frequent one), where
    ``solve`` finds equal windows. A group of a cut anchor also returns one row for
    each distinct window, the earliest of the group; their minimum over the parts
    settles the rest.
 
+Documents equal to an earlier one in their whole text are settled before all this: each
+of their windows starts earlier, so all of a copy goes, or nothing if it has no window.
+
 Nothing is dropped or capped: sampling and sizes decide where rows go only. Hashes
 choose candidates; equality is decided on texts, and between parts of a cut anchor on
 128-bit digests.
@@ -44,6 +47,8 @@ RUN, REGION = 4096, 1024
 SAMPLE, HOT_SHARE, HOT_ROWS = 64, 1 / 2000, 16
 CHUNK = 1 << 20
 BLOCK_BYTES = 1 << 21
+#: Stands for all windows of a document.
+COPY = -1
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -164,31 +169,44 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select(*docs.columns, order_id().alias("__doc"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFF)).alias("__v"))
 
 
+def first_texts(keyed: DataFrame) -> DataFrame:
+    """(__doc, __v) of the earliest document of each text; minima are taken before the shuffle."""
+    digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), 1, 16)
+    least = keyed.groupBy(digest.alias("digest")).agg(F.min(F.struct("__doc", "__v")).alias("least"))
+    return least.select("least.*").distinct()
+
+
 def occurrences(keyed: DataFrame, spec: Tokens) -> DataFrame:
     """(h, doc, at) of every region of every document."""
+    places = [keyed.columns.index(c) for c in ("text", "__doc", "__v")]
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            doc, version = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            data, offsets = utf8(batch.column(places[0]))
+            doc, version = (batch.column(c).to_numpy(zero_copy_only=False) for c in places[1:])
             row, start, size, anchor = _all_regions(spec, data, offsets)
             at = pack(start, size, version[row] if len(row) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, doc[row] if len(row) else at, at)], ["h", "doc", "at"])
 
-    return keyed.select("text", "__doc", "__v").mapInArrow(run, "h long, doc long, at long")
+    # All columns go in, so that the exchange below is the same as for the result.
+    return keyed.mapInArrow(run, "h long, doc long, at long")
 
 
 def frequent_anchors(keyed: DataFrame, spec: Tokens) -> DataFrame:
     """(hot, salts): fewer than 1 / HOT_SHARE anchors, from one document in SAMPLE."""
     sampled = keyed.filter(F.pmod(F.xxhash64("__doc", "__v"), F.lit(SAMPLE)) == 0)
-    counts = cut(occurrences(sampled, spec).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2))
+    counts = cut(occurrences(sampled.select("text", "__doc", "__v"), spec).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2))
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(HOT_ROWS, total * HOT_SHARE)
-    return counts.filter(F.col("n") >= least).select(F.col("h").alias("hot"), F.ceil(F.col("n") * SAMPLE / RUN).cast("int").alias("salts"))
+    return counts.filter(F.col("n") >= least).select(F.col("h").alias("hot"), F.ceil(F.col("n") * SAMPLE / run_rows(keyed)).cast("int").alias("salts"))
 
 
-def _repeated(batches):
-    """Drops runs of one row of (h, salt); numbers parts of RUN rows; the lowest bit of group marks cut anchors."""
+def run_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.nudgeframe.repeatRows", str(RUN)))
+
+
+def _repeated(batches, most: int):
+    """Drops runs of one row of (h, salt); numbers parts of ``most`` rows; the lowest bit of group marks cut anchors."""
     names = ["doc", "at", "group"]
     carry, opened, seen = None, None, 0
 
@@ -199,11 +217,11 @@ def _repeated(batches):
         size = np.repeat(sizes, sizes)
         if known_open and len(begins):
             index[: sizes[0]] += seen
-        is_cut = (size > RUN) | (salt >= 0)
+        is_cut = (size > most) | (salt >= 0)
         if known_open and len(begins):
             is_cut[: sizes[0]] = True
         keep = (size > 1) | is_cut | (at >> 30 & 1 == 1)
-        part = (index // RUN).astype(np.uint64)
+        part = (index // most).astype(np.uint64)
         group = mix64(h.view(np.uint64) + np.uint64(MULTIPLIER) * (part + np.uint64(1)) + mix64((salt + 2).astype(np.uint64)))
         group = (group & ~np.uint64(1) | is_cut.astype(np.uint64)).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, at, group)], names)
@@ -220,7 +238,7 @@ def _repeated(batches):
         begins = np.flatnonzero(new)
         known = opened == (int(h[0]), int(salt[0]))
         last = int(begins[-1])
-        if len(h) - last > RUN or known and last == 0:
+        if len(h) - last > most or known and last == 0:
             yield emit(rows, begins, known)
             seen = (seen if known and last == 0 else 0) + len(h) - last
             opened, carry = (int(h[-1]), int(salt[-1])), None
@@ -233,13 +251,14 @@ def _repeated(batches):
         yield emit(carry, np.zeros(1, np.int64), opened == (int(carry[0][0]), int(carry[3][0])))
 
 
-def repeated_regions(keyed: DataFrame, spec: Tokens) -> DataFrame:
-    """(doc, at, group) of regions whose anchor occurs more than once."""
+def repeated_regions(keyed: DataFrame, spec: Tokens, unique: DataFrame | None = None) -> DataFrame:
+    """(doc, at, group) of regions whose anchor occurs more than once among ``unique`` documents."""
     hot = frequent_anchors(keyed, spec)
-    found = occurrences(keyed, spec).join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")
+    found = occurrences(keyed if unique is None else unique, spec).join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")
     salt = F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc"), F.col("salts"))).cast("long")
     dealt = found.select("h", "doc", "at", salt.alias("salt")).repartition(partitions_of(keyed), "h", "salt")
-    return dealt.sortWithinPartitions("h", "salt").mapInArrow(_repeated, "doc long, at long, group long")
+    most = run_rows(keyed)
+    return dealt.sortWithinPartitions("h", "salt").mapInArrow(lambda it: _repeated(it, most), "doc long, at long, group long")
 
 
 def region_bodies(texts: DataFrame, regions: DataFrame, spec: Tokens) -> DataFrame:
@@ -326,7 +345,8 @@ def _solve_block(block, window: int, equal_windows):
         removed_doc.extend(doc[kept[own]])
         removed_at.extend(pack(start[kept[own]] + off, runs, version[kept[own]]))
     n = len(removed_doc)
-    out = [np.array(removed_doc, np.int64), np.array(removed_at, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)]
+    settled = np.array(removed_doc, np.int64), np.array(removed_at, np.int64)
+    out = [*settled, *settled, np.ones(n, bool)]
     cut_owner = (group[kept] & 1).astype(bool) if len(kept) else np.zeros(0, bool)
     lead = np.flatnonzero(new)
     lead = lead[cut_owner[owner[lead]]] if len(lead) else lead
@@ -338,46 +358,51 @@ def _solve_block(block, window: int, equal_windows):
     return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["doc", "at", "d1", "d2", "removed"])
 
 
-def removed_windows(keyed: DataFrame, texts: DataFrame, spec: Tokens, equal_windows) -> DataFrame:
-    """(doc, at): runs of windows to remove.
+def removed_windows(keyed: DataFrame, texts: DataFrame, firsts: DataFrame, spec: Tokens, equal_windows) -> DataFrame:
+    """(doc, at): runs of windows to remove from the earliest documents of each text.
 
     ``equal_windows(bodies, sizes)`` gives (owner, offset, class) of every window of the
     given regions, equal windows having equal classes, and a function from (owner,
     offset) to two 64-bit halves of a digest of the window.
     """
-    bodies = region_bodies(texts, repeated_regions(keyed, spec), spec)
+    # An inner join: a semi join would move below the exchange and make another of it.
+    unique = texts.join(firsts, ["__doc", "__v"])
+    bodies = region_bodies(texts, repeated_regions(keyed, spec, unique), spec)
 
     def run(batches):
         for block in _blocks(batches):
             yield _solve_block(block, spec.window, equal_windows)
 
     dealt = bodies.repartition(partitions_of(keyed), "group").sortWithinPartitions("group")
-    solved = cut(dealt.mapInArrow(run, "doc long, at long, d1 long, d2 long, removed boolean"))
+    solved = dealt.mapInArrow(run, "doc long, at long, d1 long, d2 long, removed boolean")
     # Parts of a cut anchor: a window's earliest place stays, one row a part and window.
+    # Rows already settled pass through the same window, spread by place, so that the
+    # whole plan is one query and the texts' exchange serves both of its ends.
     start, version = F.shiftright("at", 31), F.col("at").bitwiseAND(F.lit(0x7FFF))
     place = F.struct(F.col("doc"), version.alias("v"), start.alias("s"))
-    later = (
-        solved.filter(~F.col("removed"))
-        .withColumn("n", F.dense_rank().over(Window.partitionBy("d1", "d2").orderBy(place)))
-        .filter(F.col("n") > 1)
-    )
-    return solved.filter("removed").select("doc", "at").unionByName(later.select("doc", "at"))
+    later = F.dense_rank().over(Window.partitionBy("d1", "d2").orderBy(place)) > 1
+    return solved.withColumn("later", later).filter("removed or later").select("doc", "at")
 
 
 def with_removed(docs: DataFrame, spec: Tokens, equal_windows) -> DataFrame:
-    """All columns of ``docs`` and ``__runs``, a list of packed window runs (or null)."""
+    """All columns of ``docs`` and ``__runs``, a list of packed window runs (or null); [-1] for a whole copy."""
     keyed = with_key(docs)
-    # Dealt once: the exchange is read for the regions' texts and again for the result.
+    # Dealt once: the exchange is read for anchors, for the regions' texts and for the result.
     texts = keyed.repartition(partitions_of(docs), "__doc", "__v")
-    removed = removed_windows(keyed, texts, spec, equal_windows)
+    firsts = first_texts(keyed)
+    removed = removed_windows(keyed, texts, firsts, spec, equal_windows)
     lists = removed.groupBy(F.col("doc").alias("__doc"), F.col("at").bitwiseAND(F.lit(0x7FFF)).alias("__v")).agg(
         F.collect_list("at").alias("__runs")
     )
-    return texts.join(lists, ["__doc", "__v"], "left").select(*[F.col(c) for c in docs.columns], "__runs")
+    out = texts.join(lists, ["__doc", "__v"], "left").join(firsts.withColumn("__first", F.lit(True)), ["__doc", "__v"], "left")
+    runs = F.when(F.col("__first"), F.col("__runs")).otherwise(F.array(F.lit(COPY).cast("long")))
+    return out.select(*[F.col(c) for c in docs.columns], runs.alias("__runs"))
 
 
-def merged(runs: list[int] | None, window: int) -> list[tuple[int, int]]:
-    """Maximal removed token ranges [a, b) of a document."""
+def merged(runs: list[int] | None, window: int, size: int) -> list[tuple[int, int]]:
+    """Maximal removed token ranges [a, b) of a document of ``size`` tokens."""
+    if runs and runs[0] == COPY:
+        return [(0, size)] if size >= window else []
     out: list = []
     for at in sorted(runs or (), key=lambda x: x >> 31):
         a, b = at >> 31, (at >> 31) + (at >> 15 & 0x7FFF) - 1 + window

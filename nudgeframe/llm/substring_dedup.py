@@ -138,7 +138,7 @@ def equal_windows(bodies: list[bytes], sizes: np.ndarray):
 
 def _kept(text: str, runs) -> tuple[int, int, list[bytes]]:
     words = (text or "").encode().split()
-    spans = merged(runs, WINDOW)
+    spans = merged(runs, WINDOW, len(words))
     kept, at = [], 0
     for a, b in spans:
         kept += words[at:a]

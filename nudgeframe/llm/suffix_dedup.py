@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from nudgeframe.llm.common import read, utf8
 from nudgeframe.llm.repeats import Tokens, merged, with_removed
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM = 100, 24
 
 
 def _read(data, offsets):
@@ -166,7 +166,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = []
             for i, runs in enumerate(batch.column(2).to_pylist()):
                 text = data[offsets[i] : offsets[i + 1]]
-                spans = merged(runs, WINDOW)
+                spans = merged(runs, WINDOW, len(text))
                 digest, at = hashlib.sha256(), 0
                 for a, b in spans:
                     digest.update(text[at:a])

@@ -48,7 +48,7 @@ def check(rows, docs, window, spec, solve, tokens, join):
     assert len(got) == len(rows)
     for row in got:
         parts = tokens((row["text"] or "").encode())
-        spans = repeats.merged(row["__runs"], window)
+        spans = repeats.merged(row["__runs"], window, len(parts))
         kept, at = [], 0
         for a, b in spans:
             kept += list(parts[at:a])
