@@ -110,3 +110,16 @@ def test_deduplicate_keeps_columns(make_docs, hostile):
     out = substring_dedup.deduplicate(docs)
     assert out.columns == docs.columns and out.count() == len(hostile)
     assert all(r["n_chars"] == len(r["text"]) for r in out.select("text", "n_chars").collect() if r["text"] is not None)
+
+
+def brute_kept(rows, window):
+    """Text of each document after the removal, unchanged where nothing goes."""
+    seen, out = {}, {}
+    for doc_id, text, *_ in sorted(rows):
+        parts = text.split()
+        gone = np.zeros(len(parts), bool)
+        for at in range(len(parts) - window + 1):
+            if seen.setdefault(tuple(parts[at : at + window]), (doc_id, at)) != (doc_id, at):
+                gone[at : at + window] = True
+        out[doc_id] = " ".join(w for w, g in zip(parts, gone) if not g) if gone.any() else text
+    return out
