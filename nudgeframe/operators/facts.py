@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nudgeframe.functions import clean
@@ -41,6 +41,14 @@ def issue_dates(clients: DataFrame) -> DataFrame:
     )
 
 
+def first_listing(clients: DataFrame) -> DataFrame:
+    """One row per client: the one of the earliest issue date should a client repeat."""
+    order = Window.partitionBy(clean.text_id(F.col(KEY))).orderBy(
+        clean.timestamp_or_null(F.col(ISSUE)).asc_nulls_last(), F.xxhash64(*clients.columns)
+    )
+    return clients.withColumn("__listing", F.row_number().over(order)).filter("__listing = 1").drop("__listing")
+
+
 def cohort_lookup(cohort: DataFrame, clients: DataFrame) -> DataFrame:
     """Distinct cohort ids with their issue date: one lookup serves both the
     cohort filter and the temporal filter."""

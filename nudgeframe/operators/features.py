@@ -38,7 +38,7 @@ def client_features(
     cohort: DataFrame, clients: DataFrame, groups=("demographic",), reference: str | None = None
 ) -> DataFrame:
     """Demographic block plus the optional age, lifecycle and redeem blocks."""
-    source = clients.select(
+    source = facts.first_listing(clients).select(
         clean.text_id(F.col(KEY)).alias(KEY),
         clean.number_or_null(F.col("age")).alias("age"),
         F.col("gender").cast("string").alias("gender"),

@@ -223,3 +223,11 @@ def test_day_differences_ignore_the_session_zone(spark, zone):
         assert (row["b"], row["c"]) == (-1.0, 0.0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_client_listed_twice_keeps_the_earliest_issue_date(spark):
+    rows = [("a", "2019-03-01", None, "50", "F"), ("a", "2019-01-01", None, "30", "M"), ("b", None, None, "40", "F")]
+    clients = spark.createDataFrame(rows, CLIENT)
+    out = {r["client_id"]: r for r in features.client_features(clients.select("client_id").distinct(), clients).collect()}
+    assert len(out) == 2 and out["a"]["age_clean"] == 30.0 and out["a"]["issue_month"] == 1
+    assert feature_modes.token_features("demographic", clients, spark.createDataFrame([], PURCHASE), "gender").count() == 2
