@@ -21,8 +21,8 @@ Links are joined to components by repeated star steps (``components``).
 
 Defined cases: null and empty texts have fingerprint zero and link like others; fewer
 than four words are one shingle; repeated rows share a component; null doc_id counts
-as the largest id, and a component of such rows alone has a null id; an empty table
-gives no rows; extra columns are ignored.
+as the largest id, and a component of such rows alone has a null id, so component ids
+need not be unique (``root`` is); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -196,7 +196,11 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, text_hash, component_id (smallest doc_id reachable); one row per row of ``docs``."""
+    """doc_id, fp, text_hash, component_id (smallest doc_id reachable), root; one row per row of ``docs``.
+
+    ``root`` is the component's smallest fingerprint: unlike ``component_id`` it is unique
+    to the component when doc_ids repeat or are null.
+    """
     prints = cut(with_fingerprint(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min(order_id()).alias("first_id")))
     parts = connected_components(links(distinct.select("fp")))
@@ -204,15 +208,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "fp", F.coalesce("root", "fp").alias("root"), "first_id"
     )
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = cut(roots.join(least, "root").select(F.col("fp").alias("own"), "component_id"))
+    named = cut(roots.join(least, "root").select(F.col("fp").alias("own"), "component_id", "root"))
     out = prints.join(named, F.col("fp") == F.col("own"))
-    return out.select("doc_id", "fp", "text_hash", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"))
+    return out.select("doc_id", "fp", "text_hash", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: its smallest doc_id, by smallest text hash if that repeats."""
     rows = near_duplicates(docs)
-    chosen = rows.groupBy("component_id").agg(F.min(F.struct(order_id().alias("o"), "text_hash")).alias("m"))
+    chosen = rows.groupBy("root").agg(F.min(F.struct(order_id().alias("o"), "text_hash")).alias("m"))
     chosen = cut(chosen.select(F.col("m.o").alias("kept"), F.col("m.text_hash").alias("kept_hash")))
     keyed = docs.withColumns({"__order": order_id(), "__hash": text_hash()})
     kept = keyed.join(chosen, (F.col("__order") == F.col("kept")) & (F.col("__hash") == F.col("kept_hash")), "left_semi")

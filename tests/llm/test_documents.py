@@ -168,6 +168,27 @@ def test_simhash_components_match_brute_force(spark, make_docs, hostile, block):
     assert kept.count() == len(set(least.values())) and kept.columns == make_docs(rows).columns
 
 
+def test_keep_one_tells_components_with_one_id_apart(make_docs, hostile):
+    rng = random.Random(10)
+    rows = hostile + [(i, " ".join(f"n{rng.randint(0, 9999)}" for _ in range(50))) for i in [None] * 30 + [700] * 6]
+    rows += [rows[-1], rows[-10]]
+    prints = {fingerprint_of(r[1]) for r in rows}
+    groups = []
+    for p in prints:
+        near = [g for g in groups if any((p ^ q).bit_count() <= 4 for q in g)]
+        groups = [g for g in groups if g not in near] + [{p}.union(*near)]
+    want = []
+    for g in groups:
+        own = [(2**63 - 1 if r[0] is None else r[0], r[1] or "") for r in rows if fingerprint_of(r[1]) in g]
+        want.append((min(own)[0], frozenset(g)))
+    kept = simhash.keep_one(make_docs(rows)).collect()
+    got = []
+    for r in kept:
+        own = next(frozenset(g) for g in groups if fingerprint_of(r["text"]) in g)
+        got.append((2**63 - 1 if r["doc_id"] is None else r["doc_id"], own))
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(r["doc_id"] is None for r in kept) >= 30
+
+
 def test_pigeonring_filter_keeps_all_close_pairs():
     rng = np.random.default_rng(2)
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(3000)], np.uint64)
