@@ -21,8 +21,9 @@ code point spans over the rendered text that cover exactly the assistant texts.
 
 Defined cases: null text and null role are empty; rows without conv_id form one
 conversation of their own; a turn has the role of its first ``message``, kept through
-regeneration, or else the smallest role among its events; repeated turns join their texts in order of (seq, text); null turns come
-first; an empty table gives no rows; extra columns are ignored. All of it is
+regeneration, or else the smallest role among its events; events of one turn and seq join their texts in order of text, and null
+turns of an event log come first; every stored row is a message of its own, in order of
+turn (null turns last, as in the SQL), role and text; an empty table gives no rows; extra columns are ignored. All of it is
 DataFrame expressions.
 """
 
@@ -51,15 +52,21 @@ def unescape(text: Column) -> Column:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """An event log for stored turns: the row opens its turn, its second half follows as a delta."""
+    """An event log for stored turns: the row opens its turn, its second half follows as a delta.
+
+    Rows are numbered within their conversation, and the number is the turn: rows that
+    share a stored turn or have none stay messages of their own.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
     event = lambda n, kind, part: F.struct(
         F.lit(n).alias("part"), F.lit(kind).alias("kind"), part.alias("text")
     )
-    rows = conversations.select(
+    order = (F.col("turn").asc_nulls_last(), F.coalesce(F.col("role"), F.lit("")), text)
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy(*order))
+    rows = conversations.withColumn("turn", number.cast("long")).select(
         "conv_id",
-        F.col("turn").cast("long").alias("turn"),
+        "turn",
         "role",
         F.explode(
             F.array(

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,28 @@ def test_events_fold_to_final_messages(spark):
     assert chat.format_chats(spark.createDataFrame([], EVENTS)).count() == 0
 
 
+def test_stored_rows_of_one_turn_stay_apart(spark, tmp_path):
+    rows = [
+        (1, 0, "user", "Hello world"), (1, 0, "user", "Bye now"), (1, 1, "assistant", "once"), (1, 1, "assistant", "once"),
+        (2, 0, "user", "a question"), (2, 0, "assistant", "an answer"), (2, None, "user", "no turn"), (2, None, "user", "no turn"),
+        (3, None, "assistant", "first"), (3, None, None, None), (3, 4, "user", "x"),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    given = spark.read.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(chat.events_of(given))).collect()}
+    assert [tuple(t) for t in out[1]["turns"]] == [("user", "Bye now"), ("user", "Hello world"), ("assistant", "once"), ("assistant", "once")]
+    assert [tuple(t) for t in out[2]["turns"]] == [("assistant", "an answer"), ("user", "a question"), ("user", "no turn"), ("user", "no turn")]
+    assert [tuple(t) for t in out[3]["turns"]] == [("user", "x"), ("", ""), ("assistant", "first")]
+    assert [out[i]["loss_text"] for i in (1, 2, 3)] == ["onceonce", "an answer", "first"]
+    # The SQL leaves the order within a turn open, so that of different rows is left out here.
+    own = duckdb.connect()
+    own.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    columns = "conv_id, n_turns, loss_chars, loss_sha256, formatted_chars"
+    want = own.execute(f"select {columns} from ({chat.SQL}) order by conv_id").fetchall()
+    got = chat.op6_chat_formatting(spark, str(tmp_path)).selectExpr(*columns.split(", ")).orderBy("conv_id").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_regeneration_discards_later_turns(spark):
     rows = [(1, 0, "message", 0, "user", "q"), (1, 1, "message", 1, "assistant", "a"), (1, 2, "message", 2, "user", "late"),
             (1, 3, "regenerate", 1, None, None), (1, 4, "message", 1, "assistant", "b")]
