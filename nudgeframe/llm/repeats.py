@@ -24,9 +24,9 @@ Nothing is dropped or capped: sampling and sizes decide where rows go only. Hash
 choose candidates; equality is decided on texts, and between parts of a cut anchor on
 128-bit digests.
 
-Documents are told apart by (order of doc_id, 15 bits of a hash of their text): rows
-that repeat a doc_id with the same text are one document, with other texts they are
-ordered by that hash. Null ids come last.
+Documents are told apart by (order of doc_id, 64-bit hash of their text), a column each
+beside every place: rows that repeat a doc_id with the same text are one document, with
+other texts they are ordered by that hash. Null ids come last.
 """
 
 from __future__ import annotations
@@ -154,19 +154,21 @@ def _all_regions(spec: Tokens, data, offsets):
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
 
 
-def pack(start, size, version):
+def pack(start, size):
     """Places in one number; bit 15 of ``size`` marks regions that hold their anchor more than once."""
-    return start << np.int64(31) | size << np.int64(15) | version
+    return start << np.int64(16) | size
 
 
 def unpack(at):
-    return at >> 31, at >> 15 & 0x7FFF, at & 0x7FFF
+    return at >> 16, at & 0x7FFF
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, then doc (ordered id) and version (15 bits of the text's hash)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(*docs.columns, order_id().alias("__doc"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFF)).alias("__v"))
+    """All columns of ``docs``, then doc (ordered id) and version (the text's hash, its lowest 15 bits foremost)."""
+    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    turned = F.shiftleft(h, 49).bitwiseOR(F.shiftrightunsigned(h, 15))
+    # The sign bit is flipped so that signed order is that of the turned bits.
+    return docs.select(*docs.columns, order_id().alias("__doc"), turned.bitwiseXOR(F.lit(-(2**63))).alias("__v"))
 
 
 def first_texts(keyed: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def first_texts(keyed: DataFrame) -> DataFrame:
 
 
 def occurrences(keyed: DataFrame, spec: Tokens) -> DataFrame:
-    """(h, doc, at) of every region of every document."""
+    """(h, doc, v, at) of every region of every document."""
     places = [keyed.columns.index(c) for c in ("text", "__doc", "__v")]
 
     def run(batches):
@@ -185,11 +187,12 @@ def occurrences(keyed: DataFrame, spec: Tokens) -> DataFrame:
             data, offsets = utf8(batch.column(places[0]))
             doc, version = (batch.column(c).to_numpy(zero_copy_only=False) for c in places[1:])
             row, start, size, anchor = _all_regions(spec, data, offsets)
-            at = pack(start, size, version[row] if len(row) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, doc[row] if len(row) else at, at)], ["h", "doc", "at"])
+            at = pack(start, size)
+            own = (doc[row], version[row]) if len(row) else (at, at)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, *own, at)], ["h", "doc", "v", "at"])
 
     # All columns go in, so that the exchange below is the same as for the result.
-    return keyed.mapInArrow(run, "h long, doc long, at long")
+    return keyed.mapInArrow(run, "h long, doc long, v long, at long")
 
 
 def frequent_anchors(keyed: DataFrame, spec: Tokens) -> DataFrame:
@@ -207,11 +210,11 @@ def run_rows(df: DataFrame) -> int:
 
 def _repeated(batches, most: int):
     """Drops runs of one row of (h, salt); numbers parts of ``most`` rows; the lowest bit of group marks cut anchors."""
-    names = ["doc", "at", "group"]
+    names = ["doc", "v", "at", "group"]
     carry, opened, seen = None, None, 0
 
     def emit(rows, begins, known_open):
-        h, doc, at, salt = rows
+        h, doc, version, at, salt = rows
         sizes = np.diff(np.append(begins, len(h)))
         index = np.arange(len(h)) - np.repeat(begins, sizes)
         size = np.repeat(sizes, sizes)
@@ -220,17 +223,17 @@ def _repeated(batches, most: int):
         is_cut = (size > most) | (salt >= 0)
         if known_open and len(begins):
             is_cut[: sizes[0]] = True
-        keep = (size > 1) | is_cut | (at >> 30 & 1 == 1)
+        keep = (size > 1) | is_cut | (at >> 15 & 1 == 1)
         part = (index // most).astype(np.uint64)
         group = mix64(h.view(np.uint64) + np.uint64(MULTIPLIER) * (part + np.uint64(1)) + mix64((salt + 2).astype(np.uint64)))
         group = (group & ~np.uint64(1) | is_cut.astype(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, at, group)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, version, at, group)], names)
 
     for batch in batches:
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
         if carry is not None:
             rows = [np.concatenate(p) for p in zip(carry, rows)]
-        h, _, _, salt = rows
+        h, *_, salt = rows
         if not len(h):
             continue
         new = np.ones(len(h), bool)
@@ -248,26 +251,26 @@ def _repeated(batches, most: int):
                 opened, seen = None, 0
             carry = [c[last:] for c in rows]
     if carry is not None and len(carry[0]):
-        yield emit(carry, np.zeros(1, np.int64), opened == (int(carry[0][0]), int(carry[3][0])))
+        yield emit(carry, np.zeros(1, np.int64), opened == (int(carry[0][0]), int(carry[4][0])))
 
 
 def repeated_regions(keyed: DataFrame, spec: Tokens, unique: DataFrame | None = None) -> DataFrame:
-    """(doc, at, group) of regions whose anchor occurs more than once among ``unique`` documents."""
+    """(doc, v, at, group) of regions whose anchor occurs more than once among ``unique`` documents."""
     hot = frequent_anchors(keyed, spec)
     found = occurrences(keyed if unique is None else unique, spec).join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")
-    salt = F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc"), F.col("salts"))).cast("long")
-    dealt = found.select("h", "doc", "at", salt.alias("salt")).repartition(partitions_of(keyed), "h", "salt")
+    salt = F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc", "v"), F.col("salts"))).cast("long")
+    dealt = found.select("h", "doc", "v", "at", salt.alias("salt")).repartition(partitions_of(keyed), "h", "salt")
     most = run_rows(keyed)
-    return dealt.sortWithinPartitions("h", "salt").mapInArrow(lambda it: _repeated(it, most), "doc long, at long, group long")
+    return dealt.sortWithinPartitions("h", "salt").mapInArrow(lambda it: _repeated(it, most), "doc long, v long, at long, group long")
 
 
 def region_bodies(texts: DataFrame, regions: DataFrame, spec: Tokens) -> DataFrame:
-    """(group, doc, at, body): the text of each region."""
-    lists = regions.groupBy(F.col("doc").alias("__doc"), F.col("at").bitwiseAND(F.lit(0x7FFF)).alias("__v")).agg(
+    """(group, doc, v, at, body): the text of each region."""
+    lists = regions.groupBy(F.col("doc").alias("__doc"), F.col("v").alias("__v")).agg(
         F.collect_list(F.struct("at", "group")).alias("__regions")
     )
     joined = texts.join(lists, ["__doc", "__v"])
-    at_text, at_doc, at_list = (joined.columns.index(c) for c in ("text", "__doc", "__regions"))
+    at_text, at_doc, at_version, at_list = (joined.columns.index(c) for c in ("text", "__doc", "__v", "__regions"))
 
     def run(batches):
         for batch in batches:
@@ -279,55 +282,56 @@ def region_bodies(texts: DataFrame, regions: DataFrame, spec: Tokens) -> DataFra
                 flat = lists.flatten()
                 at, group = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 row = np.repeat(np.arange(len(counts)), counts)
-                start, size, _ = unpack(at)
+                start, size = unpack(at)
                 bodies = spec.bodies(data, offsets, row, start, size + spec.window - 1)
-                doc = part.column(at_doc).to_numpy(zero_copy_only=False)[row]
+                doc, version = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in (at_doc, at_version))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(group), pa.array(doc), pa.array(at), pa.array(bodies, pa.binary())], ["group", "doc", "at", "body"]
+                    [*map(pa.array, (group, doc, version, at)), pa.array(bodies, pa.binary())], ["group", "doc", "v", "at", "body"]
                 )
 
-    return joined.mapInArrow(run, "group long, doc long, at long, body binary")
+    return joined.mapInArrow(run, "group long, doc long, v long, at long, body binary")
 
 
 def _blocks(batches):
-    """Arrays (group, doc, at, bodies) of whole groups, about BLOCK_BYTES each."""
+    """Arrays (group, doc, version, at, bodies) of whole groups, about BLOCK_BYTES each."""
     held, size = [], 0
 
     def take(parts):
-        joined = [np.concatenate([p[c] for p in parts]) for c in range(3)]
-        return (*joined, [b for p in parts for b in p[3]])
+        joined = [np.concatenate([p[c] for p in parts]) for c in range(4)]
+        return (*joined, [b for p in parts for b in p[4]])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            held.append(tuple(part.column(c).to_numpy(zero_copy_only=False) for c in range(3)) + (part.column(3).to_pylist(),))
-            size += part.column(3).nbytes
+            held.append(tuple(part.column(c).to_numpy(zero_copy_only=False) for c in range(4)) + (part.column(4).to_pylist(),))
+            size += part.column(4).nbytes
             if size >= BLOCK_BYTES:
-                group, doc, where, bodies = take(held)
+                group, doc, version, where, bodies = take(held)
                 edge = len(group) - int(np.argmax(group[::-1] != group[-1]))
                 if group[0] != group[-1]:
-                    yield group[:edge], doc[:edge], where[:edge], bodies[:edge]
-                    held, size = [(group[edge:], doc[edge:], where[edge:], bodies[edge:])], sum(map(len, bodies[edge:]))
+                    yield group[:edge], doc[:edge], version[:edge], where[:edge], bodies[:edge]
+                    held, size = [(group[edge:], doc[edge:], version[edge:], where[edge:], bodies[edge:])], sum(map(len, bodies[edge:]))
                 else:
-                    held = [(group, doc, where, bodies)]
+                    held = [(group, doc, version, where, bodies)]
     if held:
         yield take(held)
 
 
 def _solve_block(block, window: int, equal_windows):
     """Removed regions and, for cut anchors, the earliest place of each distinct window."""
-    group, doc, at, bodies = block
-    start, size, version = unpack(at)
+    group, doc, version, at, bodies = block
+    start, size = unpack(at)
     order = np.lexsort((start, version, doc))
     # Regions of equal text collapse to their earliest; the others go as a whole.
     first: dict = {}
-    removed_doc, removed_at, kept = [], [], []
+    removed_doc, removed_version, removed_at, kept = [], [], [], []
     for i in order.tolist():
         j = first.setdefault(bodies[i], i)
         if j == i:
             kept.append(i)
-        elif (doc[j], at[j]) != (doc[i], at[i]):
+        elif (doc[j], version[j], at[j]) != (doc[i], version[i], at[i]):
             removed_doc.append(doc[i])
+            removed_version.append(version[i])
             removed_at.append(at[i])
     kept = np.array(kept, np.int64)  # in order of (doc, version, start)
     owner, offset, cls, digest = equal_windows([bodies[i] for i in kept], size[kept])
@@ -343,23 +347,24 @@ def _solve_block(block, window: int, equal_windows):
         runs = np.diff(np.append(breaks, len(place)))
         own, off = place[breaks] >> 32, place[breaks] & 0xFFFFFFFF
         removed_doc.extend(doc[kept[own]])
-        removed_at.extend(pack(start[kept[own]] + off, runs, version[kept[own]]))
+        removed_version.extend(version[kept[own]])
+        removed_at.extend(pack(start[kept[own]] + off, runs))
     n = len(removed_doc)
-    settled = np.array(removed_doc, np.int64), np.array(removed_at, np.int64)
-    out = [*settled, *settled, np.ones(n, bool)]
+    settled = [np.array(c, np.int64) for c in (removed_doc, removed_version, removed_at)]
+    out = [*settled, settled[0] ^ settled[1], settled[2], np.ones(n, bool)]
     cut_owner = (group[kept] & 1).astype(bool) if len(kept) else np.zeros(0, bool)
     lead = np.flatnonzero(new)
     lead = lead[cut_owner[owner[lead]]] if len(lead) else lead
     if len(lead):
         d = digest(owner[lead], offset[lead])
         o = kept[owner[lead]]
-        extra = [doc[o], pack(start[o] + offset[lead], np.ones(len(lead), np.int64), version[o]), d[0], d[1], np.zeros(len(lead), bool)]
+        extra = [doc[o], version[o], pack(start[o] + offset[lead], np.ones(len(lead), np.int64)), d[0], d[1], np.zeros(len(lead), bool)]
         out = [np.concatenate(p) for p in zip(out, extra)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["doc", "at", "d1", "d2", "removed"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["doc", "v", "at", "d1", "d2", "removed"])
 
 
 def removed_windows(keyed: DataFrame, texts: DataFrame, firsts: DataFrame, spec: Tokens, equal_windows) -> DataFrame:
-    """(doc, at): runs of windows to remove from the earliest documents of each text.
+    """(doc, v, at): runs of windows to remove from the earliest documents of each text.
 
     ``equal_windows(bodies, sizes)`` gives (owner, offset, class) of every window of the
     given regions, equal windows having equal classes, and a function from (owner,
@@ -374,14 +379,13 @@ def removed_windows(keyed: DataFrame, texts: DataFrame, firsts: DataFrame, spec:
             yield _solve_block(block, spec.window, equal_windows)
 
     dealt = bodies.repartition(partitions_of(keyed), "group").sortWithinPartitions("group")
-    solved = dealt.mapInArrow(run, "doc long, at long, d1 long, d2 long, removed boolean")
+    solved = dealt.mapInArrow(run, "doc long, v long, at long, d1 long, d2 long, removed boolean")
     # Parts of a cut anchor: a window's earliest place stays, one row a part and window.
     # Rows already settled pass through the same window, spread by place, so that the
     # whole plan is one query and the texts' exchange serves both of its ends.
-    start, version = F.shiftright("at", 31), F.col("at").bitwiseAND(F.lit(0x7FFF))
-    place = F.struct(F.col("doc"), version.alias("v"), start.alias("s"))
+    place = F.struct("doc", "v", F.shiftright("at", 16).alias("s"))
     later = F.dense_rank().over(Window.partitionBy("d1", "d2").orderBy(place)) > 1
-    return solved.withColumn("later", later).filter("removed or later").select("doc", "at")
+    return solved.withColumn("later", later).filter("removed or later").select("doc", "v", "at")
 
 
 def with_removed(docs: DataFrame, spec: Tokens, equal_windows) -> DataFrame:
@@ -391,9 +395,7 @@ def with_removed(docs: DataFrame, spec: Tokens, equal_windows) -> DataFrame:
     texts = keyed.repartition(partitions_of(docs), "__doc", "__v")
     firsts = first_texts(keyed)
     removed = removed_windows(keyed, texts, firsts, spec, equal_windows)
-    lists = removed.groupBy(F.col("doc").alias("__doc"), F.col("at").bitwiseAND(F.lit(0x7FFF)).alias("__v")).agg(
-        F.collect_list("at").alias("__runs")
-    )
+    lists = removed.groupBy(F.col("doc").alias("__doc"), F.col("v").alias("__v")).agg(F.collect_list("at").alias("__runs"))
     out = texts.join(lists, ["__doc", "__v"], "left").join(firsts.withColumn("__first", F.lit(True)), ["__doc", "__v"], "left")
     runs = F.when(F.col("__first"), F.col("__runs")).otherwise(F.array(F.lit(COPY).cast("long")))
     return out.select(*[F.col(c) for c in docs.columns], runs.alias("__runs"))
@@ -404,8 +406,8 @@ def merged(runs: list[int] | None, window: int, size: int) -> list[tuple[int, in
     if runs and runs[0] == COPY:
         return [(0, size)] if size >= window else []
     out: list = []
-    for at in sorted(runs or (), key=lambda x: x >> 31):
-        a, b = at >> 31, (at >> 31) + (at >> 15 & 0x7FFF) - 1 + window
+    for at in sorted(runs or (), key=lambda x: x >> 16):
+        a, b = at >> 16, (at >> 16) + (at & 0x7FFF) - 1 + window
         if out and a <= out[-1][1]:
             if b > out[-1][1]:
                 out[-1] = (out[-1][0], b)

@@ -70,6 +70,23 @@ def test_hostile_rows(make_docs, hostile, window, spec, solve, tokens, join):
     check(rows, make_docs(rows), window, spec, solve, tokens, join)
 
 
+@pytest.mark.parametrize("window,spec,solve,tokens,join", BOTH)
+def test_texts_of_one_id_are_told_apart(make_docs, monkeypatch, window, spec, solve, tokens, join):
+    # The brute force tells texts apart by their whole hash; the low 15 bits still come first.
+    turned = lambda text: ((h := xxhash.xxh64_intdigest((text or "").encode(), 42)) & 0x7FFF, h >> 15)
+    monkeypatch.setattr(f"{__name__}.version", turned)
+    rng = random.Random(7)
+    passages = [" ".join(f"p{rng.randint(0, 99999)}" for _ in range(30)) for _ in range(40)]
+    rows = []
+    for i in range(3000):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 40))]
+        if i % 3 == 0:
+            own.insert(rng.randrange(len(own)), rng.choice(passages))
+        rows.append((None if i % 10 else 77, " ".join(own)))
+    assert len({r[1] for r in rows if r[0] is None}) > len({version(r[1])[0] for r in rows if r[0] is None})
+    check(rows, make_docs(rows, extra=False), window, spec, solve, tokens, join)
+
+
 @pytest.mark.parametrize("window,spec,solve,tokens,join", BOTH)
 def test_frequent_anchors_are_cut_without_loss(spark, make_docs, window, spec, solve, tokens, join):
     rng = random.Random(5)
