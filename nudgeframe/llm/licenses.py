@@ -1,15 +1,24 @@
 """License scans: Dice coefficient over word bigrams against normalised templates.
 
 A text is normalised (letters lowered; all but letters, digits and dots between digits
-dropped) and cut into units: the whole text, and each of its lines, since notices sit
-inside longer texts. For a unit with ``u`` distinct bigrams and a template with ``t``,
+dropped) and cut into units: the whole text, each of its lines, and windows of words, since
+notices sit inside longer texts, over several lines or within one. For a unit with ``u`` distinct bigrams and a template with ``t``,
 Dice is ``2 common / (u + t)``. Two bounds prune templates, both without loss:
 
 * size: Dice can reach ``d`` only when ``t d / (2 - d) <= u <= t (2 - d) / d``; templates
   are kept in order of size and a unit meets only that range;
 * missing bigrams: a match holds at least ``t d / (2 - d)`` of the template's bigrams, so
   it holds one of any larger set than it may miss. Words touching such a set are the
-  template's keys; a text without a key of any template ends there.
+  template's keys; a text without a key of any template ends there, and windows are
+  sought only for templates with a key, and with enough of their bigrams, in the text.
+
+Windows: for each template and each word it may begin at, the window of best Dice (the
+shortest if several) is found exactly, by the order in which distinct bigrams first occur
+from there; a best window begins and ends with bigrams of the template. Of all windows
+that reach the threshold, the best stay (smaller names, then earlier windows first) that
+share no word with a better one. A window is listed only where it says more than the
+units around it: not if a line that shares a word with it, or the whole text as the same
+template, matches as well or better.
 
 Templates are a parameter, at most ``MOST_TEMPLATES``, and travel with the closure.
 Nothing is shuffled: a document's matches depend on its text alone.
@@ -23,6 +32,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +109,11 @@ class Templates:
         self.least = threshold / (2 - threshold)
         self.rows = sorted((len(g), name, g) for name, text in texts.items() if (g := bigrams(normalised_words(text))))
         self.sizes = [size for size, _, _ in self.rows]
-        self.keys = tuple(sorted({key for _, _, grams in self.rows for key in self._keys(grams)}))
+        self.by_key: dict[str, list[int]] = {}
+        for number, (_, _, grams) in enumerate(self.rows):
+            for key in self._keys(grams):
+                self.by_key.setdefault(key, []).append(number)
+        self.keys = tuple(sorted(self.by_key))
 
     def _keys(self, grams: set) -> list[str]:
         """Longest words first, until they touch more bigrams than a match may miss."""
@@ -126,8 +140,42 @@ class Templates:
                 found.append((-dice, name))
         return min(found) if found else None
 
+    def windows(self, words: list[str]) -> list[tuple]:
+        """(-dice, template, first word, end) of the best windows of ``words`` without common words."""
+        text = list(zip(words, words[1:]))
+        known = set(text)
+        numbers = {n for key in self.by_key.keys() & set(words) for n in self.by_key[key]}
+        found = []
+        for number in numbers:
+            size, name, template = self.rows[number]
+            if len(template & known) < size * self.least - 1e-9:
+                continue
+            most = int(size / self.least + 1e-9)
+            # Distinct bigrams in order of their first place from ``at`` on, the last one first.
+            ahead: dict = {}
+            for at in range(len(text) - 1, -1, -1):
+                ahead.pop(text[at], None)
+                ahead[text[at]] = at
+                if text[at] not in template:
+                    continue
+                common, best, end = 0, 0.0, 0
+                for n, gram in enumerate(islice(reversed(ahead), most), 1):
+                    if gram in template:
+                        common += 1
+                        if (dice := 2 * common / (n + size)) > best:
+                            best, end = dice, ahead[gram] + 2
+                if best >= self.threshold:
+                    found.append((-best, name, at, end))
+        kept, begins = [], []
+        for window in sorted(found):
+            place = bisect_left(begins, window[2:])
+            if (place == 0 or begins[place - 1][1] <= window[2]) and (place == len(begins) or window[3] <= begins[place][0]):
+                begins.insert(place, window[2:])
+                kept.append(window)
+        return kept
+
     def scan(self, text: str) -> list[tuple]:
-        """(unit, template, dice): unit 0 is the whole text, then its lines from 1."""
+        """(unit, template, dice): unit 0 is the whole text, then its lines from 1; -n is a window from the n-th word."""
         lowered = text.lower()
         if not any(key in lowered for key in self.keys):
             return []
@@ -138,6 +186,15 @@ class Templates:
             lowered = unit.lower()
             if any(key in lowered for key in self.keys) and (best := self.best(unit)):
                 out.append((number, best[1], -best[0]))
+        windows = self.windows(normalised_words(text))
+        if windows:
+            ends = list(accumulate(len(normalised_words(line)) for line in lines))
+            spans = [(ends[u - 1] - len(normalised_words(lines[u - 1])), ends[u - 1], d) for u, _, d in out if u]
+            whole = {name: d for u, name, d in out if not u}
+            for worse, name, begin, end in sorted(windows, key=lambda w: w[2]):
+                known = whole.get(name, 0.0) >= -worse or any(a < end and begin < b and d >= -worse for a, b, d in spans)
+                if not known:
+                    out.append((-1 - begin, name, -worse))
         return out
 
 

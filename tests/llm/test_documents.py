@@ -89,6 +89,43 @@ def test_licences_match_brute_force(make_docs, hostile):
     assert named[301] == named[302] == "MIT" and named[303] == "MIT-notice" and named[304] == "CC-BY-NC-4.0-notice" and named[306] is None
 
 
+def all_windows(words, grams):
+    """(-dice, template, first word, end) by the definition, over every window of words."""
+    found = []
+    for name, template in grams.items():
+        for at in range(len(words) - 1):
+            own, best = set(), (0.0, 0)
+            for end in range(at + 2, len(words) + 1):
+                own.add((words[end - 2], words[end - 1]))
+                dice = 2 * len(own & template) / (len(own) + len(template))
+                best = max(best, (dice, -end))
+            if best[0] >= licenses.THRESHOLD:
+                found.append((-best[0], name, at, -best[1]))
+    kept = []
+    for w in sorted(found):
+        if all(w[3] <= k[2] or k[3] <= w[2] for k in kept):
+            kept.append(w)
+    return kept
+
+
+def test_licence_windows_match_brute_force(make_docs):
+    rng = random.Random(14)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "in", "work", "license", "under", "w1", "w2"]) for _ in range(n))
+    wrapped = lambda text, mark: "\n".join(f"{mark} {' '.join(text.split()[i : i + 9])}" for i in range(0, len(text.split()), 9))
+    texts = [f"{prose(200)}\n{wrapped(licenses.TEMPLATES[n], '#')}\n{prose(200)}" for n in ("MIT", "ISC", "Apache-2.0", "GPL-3.0")]
+    texts += [f"{prose(9)}. Released under the MIT License, as {prose(9)} and licensed under CC BY-NC 4.0 {prose(5)}", prose(300)]
+    texts += [f"{prose(20)} released under the MIT license {prose(20)} released under the  MIT license", " ".join(["the license under"] * 90)]
+    scanner = licenses.Templates(licenses.TEMPLATES)
+    grams = {n: licenses.bigrams(licenses.normalised_words(t)) for n, t in licenses.TEMPLATES.items()}
+    for text in texts:
+        words = licenses.normalised_words(text)
+        assert scanner.windows(words) == all_windows(words, grams)
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(make_docs(list(enumerate(texts)))).collect()}
+    assert [out[i]["license"] for i in range(4)] == ["MIT", "ISC", "Apache-2.0", "GPL-3.0"] and all(out[i]["dice"] > 0.9 for i in range(4))
+    assert [m["license"] for m in out[4]["matches"]] == ["MIT-notice", "CC-BY-NC-4.0-notice"] and out[5]["n_matches"] == 0
+    assert out[6]["n_matches"] == 2 and out[7]["license"] is None
+
+
 def test_entropy_classes_and_likeness():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 105, 300_000).astype(np.uint8)
