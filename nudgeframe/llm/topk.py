@@ -16,8 +16,9 @@ each, so every query meets all rows and no task holds a whole side.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no
 part, nor do rows with null vec_id; a vector of another length than most meets only
-its own length; ties go to the smaller vec_id; rows that repeat a vec_id count once,
-with the smallest of their vectors; fewer candidates than k give all; scores are exact
+its own length; ties go to the smaller vec_id; rows that repeat a vec_id
+with the same vector count once, those with other vectors are candidates (and queries) of
+their own under that id; fewer candidates than k give all; scores are exact
 (sums of products that may pass 2^53 are taken in Python integers), and one beyond the
 range of a long ends the job; an empty table gives no rows; extra columns are ignored.
 """
@@ -41,9 +42,10 @@ def usable(vectors: DataFrame) -> DataFrame:
     wide = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite)
-    scaled = F.transform(wide, lambda x: F.floor(x * SCALE).cast("double"))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("x"))
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", "x", F.size("x").alias("dims"))
+    scaled = F.transform("embedding", lambda x: F.floor(x * SCALE).cast("double"))
+    # Rows equal in id and vector are merged, no others.
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), wide.alias("embedding")).distinct()
+    return rows.select("vec_id", scaled.alias("x"), F.size("embedding").alias("dims"))
 
 
 def _blocks(rows: DataFrame, is_query) -> DataFrame:

@@ -89,6 +89,18 @@ def test_top_k_matches_brute_force(spark, scale):
     assert topk.top_k(empty, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_keeps_other_vectors_of_an_id(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1, 200)] + [(i, (9 * rng.normal(size=6)).tolist()) for i in (7, 7, 20, 31, 40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    own = duckdb.connect()
+    own.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert compare(topk.op9_topk(spark, str(tmp_path)), own, topk.SQL.strip()) is None
+    twice = spark.createDataFrame([*rows, rows[3], rows[60]], "vec_id long, embedding array<double>")
+    got = topk.top_k(twice, F.col("vec_id") % 20 == 0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, topk.op9_topk(spark, str(tmp_path)).collect()))
+
+
 def test_components_of_chains_stars_and_repeats(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (7, 6), (7, 6), (2000, 3000)]
