@@ -126,6 +126,14 @@ def test_licence_windows_match_brute_force(make_docs):
     assert out[6]["n_matches"] == 2 and out[7]["license"] is None
 
 
+def test_common_licences_are_told_apart(make_docs):
+    names = ["BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0-notice", "BSL-1.0-notice", "Zlib", "Unlicense"]
+    wrap = lambda text: "\n".join(f" * {' '.join(text.split()[i : i + 11])}" for i in range(0, len(text.split()), 11))
+    rows = [(i, f"def main():\n{wrap(licenses.TEMPLATES[n])}\nreturn the value of it") for i, n in enumerate(names)]
+    out = {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    assert [out[i][0] for i in range(len(names))] == names and all(d == 1.0 for _, d, _ in out.values())
+
+
 def test_entropy_classes_and_likeness():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 105, 300_000).astype(np.uint8)
