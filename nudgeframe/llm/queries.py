@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from nudgeframe.llm import chat, fingerprints, licenses, mixing, sentencepiece, simhash, substring_dedup, suffix_dedup, topk, toxicity
+from nudgeframe.llm import (
+    chat,
+    fingerprints,
+    licenses,
+    mixing,
+    periodic_runs,
+    sentencepiece,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +27,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_topk": topk.op9_topk,
     "op10_sentencepiece": sentencepiece.op10_sentencepiece,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 SQL = {
     "op1_mixing": mixing.SQL,
     "op6_chat_formatting": chat.SQL,
     "op9_topk": topk.SQL,
+    "op13_periodic_runs": periodic_runs.SQL,
 }
