@@ -7,9 +7,11 @@ from nudgeframe.llm import (
     fingerprints,
     licenses,
     mixing,
+    ngram_join,
     periodic_runs,
     sentencepiece,
     simhash,
+    spelling,
     substring_dedup,
     suffix_dedup,
     topk,
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_topk": topk.op9_topk,
     "op10_sentencepiece": sentencepiece.op10_sentencepiece,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_ngram_jaccard": ngram_join.op12_ngram_jaccard,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
@@ -34,5 +38,7 @@ SQL = {
     "op1_mixing": mixing.SQL,
     "op6_chat_formatting": chat.SQL,
     "op9_topk": topk.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_ngram_jaccard": ngram_join.SQL,
     "op13_periodic_runs": periodic_runs.SQL,
 }
