@@ -215,9 +215,11 @@ def near_words(words: DataFrame) -> DataFrame:
     index, probe = _entries(words, "word", indexed), _entries(words, "near", probing)
     alike = F.bit_count(F.col("letters_word").bitwiseXOR(F.col("letters_near"))) <= 2
     met = index.join(probe, [index["key"] == probe["key"], alike, F.levenshtein("word", "near", 1) == 1])
-    met = met.select("word", "n_word", "near", "n_near")
-    back = met.select(F.col("near").alias("word"), F.col("n_near").alias("n_word"), F.col("word").alias("near"), F.col("n_word").alias("n_near"))
-    return met.union(back).distinct()
+    # A pair is met up to a dozen times, from both words: one order, then distinct, then both ways.
+    ends = [F.struct(F.col(w).alias("w"), F.col(f"n_{w}").alias("n")) for w in ("word", "near")]
+    pairs = met.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+    return both.select(F.col("p.a.w").alias("word"), F.col("p.a.n").alias("n_word"), F.col("p.b.w").alias("near"), F.col("p.b.n").alias("n_near"))
 
 
 def _followed(forms: DataFrame) -> DataFrame:
