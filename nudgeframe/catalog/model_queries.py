@@ -1,7 +1,8 @@
 """Explanation, learner, cross-validation and artifact queries.
 
-Fitted models have no SQL rendering; those queries are checked by invariants in
-the tests. Tree sizes are kept small so that every query runs everywhere.
+Fitted models have no SQL rendering; their queries are checked by invariants in the
+tests and by companions with SQL: medians of all training sets, and the score equations
+of the logistic fits.
 """
 
 from __future__ import annotations
@@ -209,12 +210,59 @@ def baseline_ladder(study):
     return learners.trial_results(batch, study.spark)
 
 
+LINEAR_FAMILIES = ("response_model", "two_model", "solo_model", "class_transformation")
+
+
 @AREA.query("cv_audit")
 def cv_audit(study):
-    scores = crossval.fold_scores(_labelled(study), _spec("class_transformation"), 5)
+    """Every linear family over five folds, fitted in shared passes."""
+    scores = crossval.fold_scores(_labelled(study), [_spec(family) for family in LINEAR_FAMILIES], 5)
     return crossval.cv_summary(crossval.fold_metrics(scores))
 
 
+MEDIAN_COLUMNS = ["age", "redeem_delay", "spent", "points"]
+
+
+@AREA.query(
+    "imputed_medians",
+    "clients train purchases",
+    """with f as (select client_id, treatment_flg, (row_number() over (partition by treatment_flg, target order by md5(concat(client_id, ':20260501')), client_id) - 1) % 5 + 1 as fold from train),
+    s as (select client_id, round(sum(purchase_sum), 2) as spent, round(sum(regular_points_received), 2) as points from purchases group by client_id),
+    x as (select f.*, age, datediff('day', first_issue_date::date, first_redeem_date::date)::double as redeem_delay, spent, points from f join clients using (client_id) left join s using (client_id)),
+    l as ("""
+    + " union all ".join(f"select treatment_flg, fold, '{c}' as feature, {c}::double as v from x" for c in MEDIAN_COLUMNS)
+    + """), g as (select arms, left_out from (values ('all'), ('control'), ('treated')) a(arms), range(0, 6) r(left_out))
+    select arms, cast(left_out as int) as left_out, feature, count(v) as n_known, median(v) as median from g join l on fold <> left_out
+      and (arms = 'all' or (arms = 'treated') = (treatment_flg = 1)) group by arms, left_out, feature""",
+)
+def imputed_medians(study):
+    spent = study.purchases.groupBy("client_id").agg(
+        F.round(F.sum("purchase_sum"), 2).alias("spent"), F.round(F.sum("regular_points_received"), 2).alias("points")
+    )
+    delay = F.date_diff(F.col("first_redeem_date"), F.col("first_issue_date")).alias("redeem_delay")
+    rows = study.clients.select("client_id", "age", delay).join(spent, "client_id", "left")
+    return crossval.fold_medians(study.train.join(rows, "client_id"), MEDIAN_COLUMNS)
+
+
+@AREA.query(
+    "score_equations",
+    "train",
+    SPLIT_SQL
+    + """, t as (select treatment_flg, target, case when treatment_flg = target then 1 else 0 end as z from split where split = 'train'),
+    m as (select 'response_model' as run_id, 'model' as model, target as y from t union all select 'solo_model', 'model', target from t
+      union all select 'class_transformation', 'model', z from t union all select 'two_model', 'treated', target from t where treatment_flg = 1
+      union all select 'two_model', 'control', target from t where treatment_flg = 0)
+    select run_id, model, count(*) as n_rows, round(avg(y), 6) as mean_label, round(avg(y), 6) as mean_probability from m group by run_id, model""",
+)
+def score_equations(study):
+    """Mean label and mean probability of every logistic model on its training rows; all families fitted together."""
+    train = cut_lineage(split.stratified_split(_labelled(study)).filter("split = 'train'").drop("split"))
+    names = features.feature_columns(train)
+    settings = [(family, {}) for family in LINEAR_FAMILIES]
+    fitted = learners.fit_linear(train.withColumn("__fold", F.lit(0)), settings, {0: [0]}, 42, learners.Columns(), names)
+    return learners.score_equations({family: models[0] for family, models in zip(LINEAR_FAMILIES, fitted)}, train)
+
+
 @AREA.query("topk_cv_rerank")
 def topk_cv_rerank(study):
     labelled = _labelled(study)

@@ -2,31 +2,97 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nudgeframe.config import Columns, EvalPolicy, SplitPolicy
+from nudgeframe.functions import clean
 from nudgeframe.operators import metrics
-from nudgeframe.operators.learners import TrialSpec, fit_uplift, run_trials, scored, trial_results
+from nudgeframe.operators.features import feature_columns
+from nudgeframe.operators.learners import TrialSpec, fit_linear, fit_uplift, run_trials, scored, trial_results
 from nudgeframe.operators.quality import union
 from nudgeframe.operators.split import kfold, stratified_split
 from nudgeframe.operators.trials import fold_summary
+from nudgeframe.plans.selection import medians
 from nudgeframe.session import cut_lineage
 
 
+def fold_models(folds: DataFrame, specs: list[TrialSpec], n_folds: int, seed: int, columns: Columns = Columns()) -> dict:
+    """{run_id: {fold: model fitted on the other folds}}.
+
+    Logistic learners of all specs and folds are fitted together, in as many passes over
+    the rows as one of them takes; other estimators are fitted one by one.
+    """
+    linear = [s for s in specs if s.family != "random" and s.estimator == "logistic_regression"]
+    parts = {fold: [f for f in range(1, n_folds + 1) if f != fold] for fold in range(1, n_folds + 1)}
+    found = {}
+    if linear:
+        names = feature_columns(folds, columns, ("split", "fold"))
+        rows = folds.withColumn("__fold", F.col("fold"))
+        fitted = fit_linear(rows, [(s.family, s.params) for s in linear], parts, seed, columns, names)
+        found = {s.run_id: models for s, models in zip(linear, fitted)}
+    for spec in specs:
+        if spec.run_id not in found:
+            found[spec.run_id] = {
+                fold: fit_uplift(folds.filter(F.col("fold") != fold), spec.family, spec.estimator, spec.params, seed, columns)
+                for fold in parts
+            }
+    return found
+
+
 def fold_scores(
-    labelled: DataFrame, spec: TrialSpec, n_folds: int = 5, seed: int = 20260501, columns: Columns = Columns()
+    labelled: DataFrame, specs: TrialSpec | list[TrialSpec], n_folds: int = 5, seed: int = 20260501, columns: Columns = Columns()
 ) -> DataFrame:
-    """Out-of-fold scores of one fixed configuration, keyed by run and fold."""
+    """Out-of-fold scores of fixed configurations, keyed by run and fold.
+
+    Linear runs score every row by its own fold's coefficients in one pass for all runs.
+    """
+    specs = [specs] if isinstance(specs, TrialSpec) else specs
     folds = cut_lineage(kfold(labelled, n_folds, seed, columns))
+    models = fold_models(folds, specs, n_folds, seed, columns)
+    kept = [columns.entity, columns.target, columns.treatment]
+    linear = [s for s in specs if s.family != "random" and s.estimator == "logistic_regression"]
     parts = []
-    for fold in range(1, n_folds + 1):
-        model = fit_uplift(folds.filter(F.col("fold") != fold), spec.family, spec.estimator, spec.params, seed, columns)
-        out = scored(model, folds.filter(F.col("fold") == fold), columns)
-        parts.append(out.select(F.lit(spec.run_id).alias("run_id"), F.lit(fold).alias("fold"), "*"))
+    if linear:
+        names = models[linear[0].run_id][1].feature_columns
+        cleaned = folds.withColumns({c: clean.number_or_null(F.col(c)) for c in names})
+        score = lambda run: reduce(lambda c, f: c.when(F.col("fold") == f, run[f].linear_score()), sorted(run), F)
+        runs = F.array(*[F.struct(F.lit(s.run_id).alias("run_id"), score(models[s.run_id]).alias("score")) for s in linear])
+        rows = cleaned.select(*kept, "fold", F.explode(runs).alias("r"))
+        parts.append(rows.select("r.run_id", "fold", *kept, F.col("r.score").alias(columns.score)))
+    for spec in specs:
+        if spec not in linear:
+            for fold, model in models[spec.run_id].items():
+                out = scored(model, folds.filter(F.col("fold") == fold), columns)
+                parts.append(out.select(F.lit(spec.run_id).alias("run_id"), F.lit(fold).alias("fold"), "*"))
     return cut_lineage(union(parts))
 
 
+def fold_medians(labelled: DataFrame, names: list[str], n_folds: int = 5, seed: int = 20260501, columns: Columns = Columns()) -> DataFrame:
+    """(arms, left_out, feature, n_known, median) of every training set of a cross-validated learner.
+
+    ``arms`` is all, treated or control; ``left_out`` is a fold, or 0 where none is. All training
+    sets come from one set of histograms kept by arm and fold.
+    """
+    folds = kfold(labelled, n_folds, seed, columns)
+    arm = F.col(columns.treatment).cast("int")
+    values = [clean.number_or_null(F.col(c)).alias(c) for c in names]
+    rows = cut_lineage(folds.filter(arm.isin(0, 1)).select((arm * (n_folds + 1) + F.col("fold")).alias("cell"), *values))
+    counts = {r["cell"]: r for r in rows.groupBy("cell").agg(*[F.count(c).alias(c) for c in names]).collect()}
+    groups, places = {}, {}
+    for arms, taken in (("all", (0, 1)), ("control", (0,)), ("treated", (1,))):
+        for left_out in range(n_folds + 1):
+            name = f"{arms}:{left_out}"
+            places[name] = (arms, left_out)
+            groups[name] = [a * (n_folds + 1) + f for a in taken for f in range(1, n_folds + 1) if f != left_out]
+    known = {(g, c): sum(counts[k][c] for k in cells if k in counts) for g, cells in groups.items() for c in names}
+    found = medians(rows, names, groups, known)
+    table = [(*places[g], c, known[g, c], value) for (g, c), value in found.items()]
+    return labelled.sparkSession.createDataFrame(table, "arms string, left_out int, feature string, n_known long, median double")
+
+
 def fold_metrics(scores: DataFrame, policy: EvalPolicy = EvalPolicy()) -> DataFrame:
     keys = ["run_id", "fold"]
     sizes = scores.groupBy(*keys).agg(
@@ -56,7 +122,7 @@ def rerank_by_cv(
     ``validation`` holds (run_id, normalized_qini_auc) of the first selection.
     """
     pool = cut_lineage(stratified_split(labelled, policy, columns).filter("split != 'test'").drop("split"))
-    scores = union([fold_scores(pool, spec, n_folds, seed, columns) for spec in candidates])
+    scores = fold_scores(pool, candidates, n_folds, seed, columns)
     summary = cv_summary(fold_metrics(scores))
     wide = summary.filter(F.col("metric").isin("normalized_qini_auc", "qini_auc", "uplift_auc")).groupBy("run_id").agg(
         *[

@@ -1,4 +1,4 @@
-"""Uplift learners on Spark ML and batches of trials.
+"""Uplift learners (batched logistic fits, Spark ML trees) and batches of trials.
 
 Every learner scores by plain DataFrame expressions over fitted pipelines, so a
 scoring pass is one distributed transform. Feature tables should be written (or
@@ -13,21 +13,23 @@ from math import ceil, log2
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nudgeframe.config import Columns, EvalPolicy, SplitPolicy, stable_hash
 from nudgeframe.functions import clean
 from nudgeframe.operators import metrics
 from nudgeframe.operators.features import feature_columns
+from nudgeframe.operators.logistic import ARM as _ARM
+from nudgeframe.operators.logistic import Job, LinearModel, fit_jobs
 from nudgeframe.operators.quality import union
 from nudgeframe.operators.split import stratified_split
+from nudgeframe.plans.selection import medians
 from nudgeframe.session import cut_lineage
 
-_ARM = "__treatment__"
 FAMILIES = ("random", "response_model", "two_model", "solo_model", "class_transformation")
 
 # Default settings of every base estimator.
@@ -102,22 +104,14 @@ def tuning_specs(base: TrialSpec, seeds=(42, 7, 99, 123)) -> list[TrialSpec]:
 
 
 def make_classifier(estimator: str, params: dict, seed: int, n_rows: int):
-    """Spark ML classifier with the estimator's defaults and overrides.
+    """Spark ML tree classifier with the estimator's defaults and overrides.
 
     The three external boosters run as gradient-boosted trees with their presets.
     """
-    if estimator not in DEFAULTS:
+    if estimator not in DEFAULTS or estimator == "logistic_regression":
         raise ValueError(f"unsupported base estimator: {estimator}")
     p = DEFAULTS[estimator] | params
     common = {"featuresCol": "features", "labelCol": "label"}
-    if estimator == "logistic_regression":
-        return LogisticRegression(
-            maxIter=int(p["max_iter"]),
-            regParam=1.0 / (float(p["C"]) * max(1, n_rows)),
-            elasticNetParam=0.0,
-            standardization=False,
-            **common,
-        )
     if estimator == "random_forest":
         return RandomForestClassifier(
             numTrees=int(p["n_estimators"]),
@@ -145,26 +139,27 @@ def make_classifier(estimator: str, params: dict, seed: int, n_rows: int):
 
 @dataclass(frozen=True)
 class ProbabilityModel:
-    """A fitted pipeline, or a constant when training saw a single class."""
+    """A fitted linear model or pipeline, or a constant when training saw a single class."""
 
     inputs: tuple
     pipeline: PipelineModel | None
     constant: float = 0.0
+    linear: LinearModel | None = None
 
     def probability(self, df: DataFrame, name: str) -> DataFrame:
+        if self.linear is not None:
+            return df.withColumn(name, self.linear.probability())
         if self.pipeline is None:
             return df.withColumn(name, F.lit(float(self.constant)))
         out = self.pipeline.transform(df).withColumn(name, vector_to_array("probability")[1])
         return out.select(*df.columns, name)
 
     def importance(self) -> dict[str, float]:
+        if self.linear is not None:
+            return {name: abs(value) for name, value in zip(self.inputs, self.linear.scaled)}
         if self.pipeline is None:
             return {}
-        last = self.pipeline.stages[-1]
-        if hasattr(last, "featureImportances"):
-            values = last.featureImportances.toArray()
-        else:
-            values = abs(last.coefficients.toArray())
+        values = self.pipeline.stages[-1].featureImportances.toArray()
         return {name: float(value) for name, value in zip(self.inputs, values)}
 
 
@@ -173,15 +168,13 @@ def _numeric(df: DataFrame, columns) -> DataFrame:
 
 
 def fit_probability(df: DataFrame, columns: list[str], label, estimator: str, params: dict, seed: int) -> ProbabilityModel:
-    """Median imputation, scaling (logistic only) and the classifier.
-
-    Medians are Spark ML's, within a thousandth of the rows of the exact rank.
+    """Imputation by exact medians, and a tree classifier.
 
     One aggregate tells the class balance and which columns hold any value. The
-    projected training rows are persisted for the fit, since every stage and
-    every optimiser step rereads them.
+    projected training rows are persisted for the fit, since every round of the
+    medians and every tree level rereads them.
     """
-    data = _numeric(df, columns).select(*columns, label.cast("double").alias("label"))
+    data = _numeric(df, columns).select(*columns, label.cast("double").alias("label"), F.lit(0).alias("cell"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fit_pipeline(data, columns, estimator, params, seed)
@@ -197,19 +190,18 @@ def _fit_pipeline(data: DataFrame, columns: list[str], estimator: str, params: d
         F.avg("label").alias("rate"),
         *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)],
     ).first()
-    used = tuple(c for i, c in enumerate(columns) if facts[f"c{i}"])
+    counts = {c: facts[f"c{i}"] for i, c in enumerate(columns)}
+    used = tuple(c for c in columns if counts[c])
     if facts["n"] == 0 or facts["low"] == facts["high"] or not used:
         return ProbabilityModel(used, None, facts["rate"] or 0.0)
+    middle = medians(data, list(used), {"all": [0]}, {("all", c): counts[c] for c in used})
     filled = [f"__in_{c}" for c in used]
+    values = ", ".join(f"coalesce(`{c}`, {middle['all', c]!r}D) as `__in_{c}`" for c in used)
     stages = [
-        Imputer(strategy="median", inputCols=list(used), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="raw_features", handleInvalid="keep"),
+        SQLTransformer(statement=f"select *, {values} from __THIS__"),
+        VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"),
+        make_classifier(estimator, params, seed, facts["n"]),
     ]
-    if estimator == "logistic_regression":
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True))
-    else:
-        stages[-1] = stages[-1].setOutputCol("features")
-    stages.append(make_classifier(estimator, params, seed, facts["n"]))
     return ProbabilityModel(used, Pipeline(stages=stages).fit(data))
 
 
@@ -252,6 +244,15 @@ class UpliftModel:
         both = self.arm_probabilities(frame)
         return both.withColumn(score, F.col("p_treated") - F.col("p_control")).drop("p_treated", "p_control")
 
+    def linear_score(self) -> Column:
+        """Score of a linear learner as one column over its cleaned inputs."""
+        p = lambda m, arm=None: m.linear.probability(arm) if m.linear is not None else F.lit(float(m.constant))
+        if self.family == "two_model":
+            return p(self.treated) - p(self.control)
+        if self.family == "solo_model":
+            return p(self.model, 1.0) - p(self.model, 0.0)
+        return 2 * p(self.model) - 1 if self.family == "class_transformation" else p(self.model)
+
     def native_importance(self) -> dict[str, float]:
         """Tree importances or absolute coefficients, of the treated arm if any."""
         source = self.treated if self.family == "two_model" else self.model
@@ -270,16 +271,21 @@ def fit_uplift(
     """Fit one learner on labelled rows; every other column is a feature."""
     if family not in FAMILIES:
         raise ValueError(f"unsupported learner family: {family}")
+    if family != "random" and estimator not in DEFAULTS:
+        raise ValueError(f"unsupported base estimator: {estimator}")
     names = feature_columns(train, columns, ignore)
     treatment, target = F.col(columns.treatment), F.col(columns.target)
     base = UpliftModel(family, estimator, tuple(names), seed, columns)
     params = params or {}
 
+    if family == "random":
+        return base
+    if estimator == "logistic_regression":
+        return fit_linear(train.withColumn("__fold", F.lit(0)), [(family, params)], {0: [0]}, seed, columns, names)[0][0]
+
     def fit(rows, inputs, label):
         return fit_probability(rows, inputs, label, estimator, params, seed)
 
-    if family == "random":
-        return base
     if family == "two_model":
         return replace(
             base,
@@ -293,6 +299,64 @@ def fit_uplift(
     return replace(base, model=fit(train, names, target))
 
 
+def fit_linear(
+    train: DataFrame, settings: list[tuple[str, dict]], parts: dict, seed: int, columns: Columns, names: list[str]
+) -> list[dict]:
+    """Logistic learners of every (family, params) on every part, all in shared passes.
+
+    ``train`` has ``__fold``; a part is a list of the folds it trains on. The result holds, for
+    each setting, {part: UpliftModel}.
+    """
+    # Fixed by the families: label, arms and inputs of each model of a family.
+    plans = {
+        "response_model": {"model": ("target", (0, 1), False)},
+        "two_model": {"treated": ("target", (1,), False), "control": ("target", (0,), False)},
+        "solo_model": {"model": ("target", (0, 1), True)},
+        "class_transformation": {"model": ("transformed", (0, 1), False)},
+    }
+    treatment, target = F.col(columns.treatment), F.col(columns.target)
+    rows = _numeric(train, names).select(
+        treatment.cast("int").alias("arm"), F.col("__fold").alias("fold"), target.cast("double").alias("target"),
+        clean.class_transform(target, treatment).cast("double").alias("transformed"), *names,
+    )
+    jobs, places = [], []
+    for n, (family, params) in enumerate(settings):
+        p = DEFAULTS["logistic_regression"] | params
+        for part, folds in parts.items():
+            for role, (label, arms, with_arm) in plans[family].items():
+                cells = frozenset((arm, fold) for arm in arms for fold in folds)
+                jobs.append(Job(label, cells, with_arm, float(p["C"]), int(p["max_iter"])))
+                places.append((n, part, role))
+    models = [{part: UpliftModel(family, "logistic_regression", tuple(names), seed, columns) for part in parts} for family, _ in settings]
+    for (n, part, role), fitted in zip(places, fit_jobs(rows, names, jobs)):
+        own = ProbabilityModel(fitted.inputs, None, fitted.constant or 0.0, None if fitted.constant is not None else fitted)
+        models[n][part] = replace(models[n][part], **{role: own})
+    return models
+
+
+def score_equations(models: dict[str, UpliftModel], train: DataFrame, columns: Columns = Columns()) -> DataFrame:
+    """(run_id, model, n_rows, mean_label, mean_probability) of linear learners on their training rows.
+
+    The free intercept of a fitted logistic model makes the two means equal.
+    """
+    treatment, target = F.col(columns.treatment), F.col(columns.target)
+    names = sorted({c for m in models.values() for c in m.feature_columns})
+    rows = _numeric(train, names).filter(target.isNotNull() & treatment.isNotNull())
+    entries = []
+    for run_id, model in models.items():
+        for role in ("treated", "control", "model"):
+            own = getattr(model, role)
+            if own is None:
+                continue
+            label = clean.class_transform(target, treatment) if model.family == "class_transformation" else target
+            among = {"treated": treatment == 1, "control": treatment == 0}.get(role, F.lit(True))
+            p = own.linear.probability() if own.linear is not None else F.lit(float(own.constant))
+            entries.append(F.when(among, F.struct(F.lit(run_id).alias("run_id"), F.lit(role).alias("model"), label.cast("double").alias("y"), p.alias("p"))))
+    each = rows.withColumn(_ARM, treatment.cast("double")).select(F.explode(F.array(*entries)).alias("e")).filter("e is not null")
+    means = [F.round(F.avg(f"e.{c}"), 6).alias(name) for c, name in (("y", "mean_label"), ("p", "mean_probability"))]
+    return each.groupBy("e.run_id", "e.model").agg(F.count(F.lit(1)).alias("n_rows"), *means)
+
+
 def importance_table(model: UpliftModel, spark, run_id: str = "model") -> DataFrame:
     rows = [(run_id, name, value) for name, value in model.native_importance().items()]
     return spark.createDataFrame(rows, "run_id string, feature string, importance double").orderBy(
