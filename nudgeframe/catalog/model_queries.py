@@ -16,6 +16,7 @@ from nudgeframe.catalog.registry import Area
 from nudgeframe.config import RECIPE_FAMILIES, Recipe, recipe_family
 from nudgeframe.operators import crossval, explain, facts, features, learners, metrics, policy, split
 from nudgeframe.operators.learners import TrialSpec
+from nudgeframe.operators.logistic import LinearModel
 from nudgeframe.session import cut_lineage, shared_folder
 from nudgeframe.sources import artifacts, ledger
 
@@ -221,14 +222,27 @@ def cv_audit(study):
 
 
 MEDIAN_COLUMNS = ["age", "redeem_delay", "spent", "points"]
+PLAIN_SQL = """
+    f as (select client_id, treatment_flg, target, (row_number() over (partition by treatment_flg, target order by md5(concat(client_id, ':20260501')), client_id) - 1) % 5 + 1 as fold from train),
+    s as (select client_id, round(sum(purchase_sum), 2) as spent, round(sum(regular_points_received), 2) as points from purchases group by client_id),
+    x as (select f.*, age::double as age, datediff('day', first_issue_date::date, first_redeem_date::date)::double as redeem_delay, spent, points
+      from f join clients using (client_id) left join s using (client_id))"""
+
+
+def _plain_features(study):
+    """Labelled rows with four columns, some of them null."""
+    spent = study.purchases.groupBy("client_id").agg(
+        F.round(F.sum("purchase_sum"), 2).alias("spent"), F.round(F.sum("regular_points_received"), 2).alias("points")
+    )
+    delay = F.date_diff(F.col("first_redeem_date"), F.col("first_issue_date")).alias("redeem_delay")
+    rows = study.clients.select("client_id", "age", delay).join(spent, "client_id", "left")
+    return study.train.join(rows, "client_id")
 
 
 @AREA.query(
     "imputed_medians",
     "clients train purchases",
-    """with f as (select client_id, treatment_flg, (row_number() over (partition by treatment_flg, target order by md5(concat(client_id, ':20260501')), client_id) - 1) % 5 + 1 as fold from train),
-    s as (select client_id, round(sum(purchase_sum), 2) as spent, round(sum(regular_points_received), 2) as points from purchases group by client_id),
-    x as (select f.*, age, datediff('day', first_issue_date::date, first_redeem_date::date)::double as redeem_delay, spent, points from f join clients using (client_id) left join s using (client_id)),
+    f"""with {PLAIN_SQL},
     l as ("""
     + " union all ".join(f"select treatment_flg, fold, '{c}' as feature, {c}::double as v from x" for c in MEDIAN_COLUMNS)
     + """), g as (select arms, left_out from (values ('all'), ('control'), ('treated')) a(arms), range(0, 6) r(left_out))
@@ -236,12 +250,7 @@ MEDIAN_COLUMNS = ["age", "redeem_delay", "spent", "points"]
       and (arms = 'all' or (arms = 'treated') = (treatment_flg = 1)) group by arms, left_out, feature""",
 )
 def imputed_medians(study):
-    spent = study.purchases.groupBy("client_id").agg(
-        F.round(F.sum("purchase_sum"), 2).alias("spent"), F.round(F.sum("regular_points_received"), 2).alias("points")
-    )
-    delay = F.date_diff(F.col("first_redeem_date"), F.col("first_issue_date")).alias("redeem_delay")
-    rows = study.clients.select("client_id", "age", delay).join(spent, "client_id", "left")
-    return crossval.fold_medians(study.train.join(rows, "client_id"), MEDIAN_COLUMNS)
+    return crossval.fold_medians(_plain_features(study), MEDIAN_COLUMNS)
 
 
 @AREA.query(
@@ -293,6 +302,54 @@ def permutation_importance(study):
     return explain.permutation_importance(*_fitted(study))
 
 
+# Stated coefficients, so that SQL can follow a learner: feature, weight and filling value for each arm.
+STATED = (("age", 0.02, 40.0, -0.01, 38.0), ("redeem_delay", -0.004, 60.0, 0.002, 75.0), ("spent", 0.00001, 3000.0, 0.00002, 2500.0))
+INTERCEPTS = (-0.7, 0.1)
+
+
+def _stated_model():
+    names = tuple(row[0] for row in STATED)
+
+    def arm(k):
+        weights, medians = tuple(r[1 + 2 * k] for r in STATED), tuple(r[2 + 2 * k] for r in STATED)
+        return learners.ProbabilityModel(names, None, 0.0, LinearModel(names, medians, weights, INTERCEPTS[k], weights))
+
+    return learners.UpliftModel("two_model", "logistic_regression", names, 42, treated=arm(0), control=arm(1))
+
+
+def _stated_sql(swap: bool):
+    value = lambda c, fill: f"coalesce({'case when feature = ' + chr(39) + c + chr(39) + ' then donor else ' + c + ' end' if swap else c}, {fill})"
+    arms = []
+    for k in (0, 1):
+        terms = "".join(f" + {r[1 + 2 * k]}::double * {value(r[0], r[2 + 2 * k])}" for r in STATED)
+        arms.append(f"1 / (1 + exp(-({INTERCEPTS[k]}::double{terms})))")
+    return f"{arms[0]} - {arms[1]}"
+
+
+PERMUTED_SQL = (
+    f"with {PLAIN_SQL}, l as ("
+    + " union all ".join(f"select client_id, '{r[0]}' as feature, {r[0]} as v from x" for r in STATED)
+    + f"""), r as (select client_id, feature, row_number() over (partition by feature order by client_id) as i from l),
+    d as (select feature, v as donor, row_number() over (partition by feature order by md5(concat(feature, ':42:', client_id)), client_id) as i from l),
+    w as (select x.*, feature, donor, {_stated_sql(False)} as base, {_stated_sql(True)} as uplift from r join d using (feature, i) join x using (client_id))"""
+)
+
+
+@AREA.query(
+    "permutation_changes",
+    "clients train purchases",
+    PERMUTED_SQL + " select feature, count(*) as n_rows, round(avg(abs(uplift - base)), 6) as mean_abs_uplift_change, round(avg(uplift - base), 6) as mean_uplift_change from w group by feature",
+)
+def permutation_changes(study):
+    """Score changes of a learner with stated coefficients when a feature is shuffled."""
+    moved = explain.moved_scores(_stated_model(), _plain_features(study), [r[0] for r in STATED])
+    change = F.col("uplift") - F.col("base")
+    return moved.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(F.abs(change)), 6).alias("mean_abs_uplift_change"),
+        F.round(F.avg(change), 6).alias("mean_uplift_change"),
+    )
+
+
 @AREA.query("native_importance")
 def native_importance(study):
     model, _ = _fitted(study, "two_model", "random_forest")

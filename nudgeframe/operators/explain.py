@@ -132,41 +132,101 @@ def sample_rows(df: DataFrame, n: int | None, seed=42) -> DataFrame:
     return df.orderBy(clean.hash_order(F.col(ENTITY), seed), ENTITY).limit(n)
 
 
-def permuted_copies(sample: DataFrame, columns: list[str], seed=42) -> DataFrame:
-    """Every row once per feature, that feature's value taken from another row.
+def swapped(sample: DataFrame, columns: list[str], seed=42) -> DataFrame:
+    """(id, feature, own, donor): every row once per feature, with another row's value of it.
 
     Receivers and donors are numbered by ``running``, which never puts a feature's
-    rows into one task.
+    rows into one task; only narrow rows travel.
     """
     shuffled = F.md5(F.concat("feature", F.lit(f":{seed}:"), ENTITY)).alias("__shuffle")
     long = melted(sample, [ENTITY], columns).select("*", shuffled)
     one = {"i": F.lit(1).cast("long")}
-    receivers = running(long, ["feature"], [(ENTITY, False)], one).select(ENTITY, "feature", "i")
-    donors = running(long, ["feature"], [("__shuffle", False), (ENTITY, False)], one).select("feature", "value", "i")
-    swapped = receivers.join(donors, ["feature", "i"]).select(ENTITY, "feature", F.col("value").alias("__swap"))
-    return swapped.join(sample, ENTITY).select(
+    receivers = running(long, ["feature"], [(ENTITY, False)], one).select(ENTITY, "feature", F.col("value").alias("own"), "i")
+    donors = running(long, ["feature"], [("__shuffle", False), (ENTITY, False)], one).select("feature", F.col("value").alias("donor"), "i")
+    return receivers.join(donors, ["feature", "i"]).select(ENTITY, "feature", "own", "donor")
+
+
+def permuted_copies(sample: DataFrame, columns: list[str], seed=42) -> DataFrame:
+    """Whole rows for learners that need them: each row once per feature, that feature's value swapped."""
+    return swapped(sample, columns, seed).join(sample, ENTITY).select(
         "feature",
         *[c for c in sample.columns if c not in columns],
-        *[F.when(F.col("feature") == c, F.col("__swap")).otherwise(clean.number_or_null(F.col(c))).alias(c) for c in columns],
+        *[F.when(F.col("feature") == c, F.col("donor")).otherwise(clean.number_or_null(F.col(c))).alias(c) for c in columns],
     )
 
 
+def _linear_parts(model) -> list | None:
+    """(fitted model, arm) of a linear learner's probabilities, or None for other learners."""
+    if model.family == "two_model":
+        parts = [(model.treated, None), (model.control, None)]
+    elif model.family == "solo_model":
+        parts = [(model.model, 1.0), (model.model, 0.0)]
+    else:
+        parts = [(model.model, None)]
+    fitted = [p is not None and (p.linear is not None or p.pipeline is None) for p, _ in parts]
+    return parts if all(fitted) else None
+
+
+def _score_of(model, probabilities: list[Column]) -> Column:
+    if len(probabilities) == 2:
+        return probabilities[0] - probabilities[1]
+    return 2 * probabilities[0] - 1 if model.family == "class_transformation" else probabilities[0]
+
+
+def moved_scores(model, frame: DataFrame, columns: list[str], keep: tuple | list = (), seed=42) -> DataFrame:
+    """(feature, id, keep..., base, uplift): the score with one feature's values shuffled.
+
+    In a linear learner a swapped value changes one term of the margin, so rows
+    carry their margins and the two values only. Other learners score whole copies.
+    """
+    parts = _linear_parts(model)
+    if parts is None:
+        scored = cut_lineage(model.score(frame.select(ENTITY, *keep, *columns)))
+        sample, base = scored.drop(SCORE), scored.select(ENTITY, F.col(SCORE).alias("base"))
+        moved = model.score(permuted_copies(sample, columns, seed)).select("feature", ENTITY, *keep, SCORE)
+        return moved.join(base, ENTITY).select("feature", ENTITY, *keep, "base", SCORE)
+    cleaned = frame.select(ENTITY, *keep, *[clean.number_or_null(F.col(c)).alias(c) for c in columns])
+    names = [f"__m{k}" for k in range(len(parts))]
+    margins = [p.linear.margin(arm) if p.linear else F.lit(0.0) for p, arm in parts]
+    rows = cut_lineage(cleaned.select("*", *[m.alias(n) for m, n in zip(margins, names)]))
+
+    def of(part, margin):
+        return 1 / (1 + F.exp(-margin)) if part.linear else F.lit(float(part.constant))
+
+    def term(part, feature):
+        if part.linear is None or feature not in part.linear.inputs:
+            return 0.0, 0.0
+        place = part.linear.inputs.index(feature)
+        return float(part.linear.weights[place]), float(part.linear.medians[place])
+
+    # A row a feature.
+    table = [(c, *[x for p, _ in parts for x in term(p, c)]) for c in columns]
+    schema = "feature string, " + ", ".join(f"__w{k} double, __f{k} double" for k in range(len(parts)))
+    terms = frame.sparkSession.createDataFrame(table, schema)
+    pairs = swapped(rows.select(ENTITY, *columns), columns, seed).join(rows.select(ENTITY, *keep, *names), ENTITY).join(terms, "feature")
+    shifted = [
+        F.col(n) + F.col(f"__w{k}") * (F.coalesce("donor", f"__f{k}") - F.coalesce("own", f"__f{k}")) for k, n in enumerate(names)
+    ]
+    base = _score_of(model, [of(p, F.col(n)) for (p, _), n in zip(parts, names)])
+    after = _score_of(model, [of(p, m) for (p, _), m in zip(parts, shifted)])
+    return pairs.select("feature", ENTITY, *keep, base.alias("base"), after.alias(SCORE))
+
+
 def permutation_sensitivity(model, frame: DataFrame, top_n: int = 10, max_samples: int | None = None, seed=42) -> DataFrame:
     """Mean absolute score change when a feature's values are shuffled.
 
-    All features are scored in one transform of the (sample x feature) rows.
+    All features are scored in one pass of narrow rows (whole rows for tree learners).
     """
     columns = [c for c in model.feature_columns if c in frame.columns]
-    scored = cut_lineage(model.score(sample_rows(frame.select(ENTITY, *columns), max_samples, seed)))
-    sample, base = scored.drop(SCORE), scored.select(ENTITY, F.col(SCORE).alias("base"))
+    sample = cut_lineage(sample_rows(frame.select(ENTITY, *columns), max_samples, seed))
     usable = usable_features(melted(sample, [], columns))
-    moved = model.score(permuted_copies(sample, columns, seed)).select("feature", ENTITY, SCORE)
     change = (
-        moved.join(base, ENTITY)
+        moved_scores(model, sample, columns, seed=seed)
         .join(usable, "feature", "left_semi")
         .groupBy("feature")
         .agg(F.round(F.avg(F.abs(F.col(SCORE) - F.col("base"))), 6).alias("mean_abs_uplift_change"))
     )
+    scored = model.score(sample)
     long = melted(scored.withColumnRenamed(SCORE, "base"), ["base"], columns).filter(F.col("value").isNotNull())
     association = spearman(long, ["feature"], "value", "base").select("feature", "correlation")
     return (
@@ -186,9 +246,9 @@ def permutation_importance(model, labelled: DataFrame, max_samples: int | None =
     """Drop in normalised Qini when a feature's values are shuffled."""
     columns = [c for c in model.feature_columns if c in labelled.columns]
     picked = sample_rows(labelled.select(ENTITY, TREATMENT, TARGET, *columns), max_samples, seed)
-    scored = cut_lineage(model.score(picked))
-    base = metrics.normalized_qini(scored)
-    moved = metrics.normalized_qini(model.score(permuted_copies(scored.drop(SCORE), columns, seed)), ["feature"])
+    moved = cut_lineage(moved_scores(model, picked, columns, [TREATMENT, TARGET], seed))
+    base = metrics.normalized_qini(model.score(picked).select(ENTITY, TREATMENT, TARGET, SCORE))
+    moved = metrics.normalized_qini(moved.drop("base"), ["feature"])
     drop = base.scalar() - F.col("normalized_qini_auc")
     return moved.select("feature", F.round(drop, 6).alias("normalized_qini_drop")).orderBy(
         F.col("normalized_qini_drop").desc(), "feature"

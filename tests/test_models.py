@@ -122,6 +122,21 @@ def test_permuted_copies_keep_each_feature_multiset(planted):
     assert sorted(moved.filter("feature = 'z'").select("client_id", "x").collect()) == sorted(sample.select("client_id", "x").collect())
 
 
+@pytest.mark.parametrize("family", ["two_model", "solo_model", "class_transformation", "response_model"])
+def test_moved_scores_of_linear_learners_equal_whole_copies(planted, family, monkeypatch):
+    model = learners.fit_uplift(planted, family, params=FAST)
+    columns = ["x", "z", "hole"]
+    narrow = explain.moved_scores(model, planted, columns, ["target"])
+    assert narrow.columns == ["feature", "client_id", "target", "base", "uplift"]
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["feature"], r["client_id"]): (r["base"], r["uplift"]) for r in narrow.collect()}
+    monkeypatch.setattr(explain, "_linear_parts", lambda model: None)
+    whole = explain.moved_scores(model, planted, columns, ["target"])
+    assert len(got) == 3600 and "__swap" not in plan
+    for r in whole.collect():
+        assert got[r["feature"], r["client_id"]] == pytest.approx((r["base"], r["uplift"]), abs=1e-12)
+
+
 def test_driver_flags(spark):
     rows = [("a", "age_clean", 9.0), ("a", "days_to_first_redeem", 5.0), ("b", "purchase_sum", 9.0), ("b", "age_clean", 1.0)]
     df = spark.createDataFrame(rows, "run_id string, feature string, importance double")
