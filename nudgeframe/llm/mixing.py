@@ -12,9 +12,10 @@ in which the budget ends, and only that bucket's rows are sorted. What remains i
 one cut per source, so documents themselves are never shuffled.
 
 Defined cases: null text has size 0; a null, non-finite or non-positive weight
-sorts after all others; sources of size 0 have target 0; rows of one key (repeated
-rows) are taken together; an empty table gives no rows. Extra columns are kept by
-``materialise`` and ignored otherwise.
+sorts after all others; sources of size 0 have target 0; rows that share an id, or have
+none, are told apart by their text, and rows equal in both are numbered, so each has a
+key of its own; an empty table gives no rows. Extra columns are kept by ``materialise``
+(names beginning with ``__mix_`` are refused) and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -41,8 +42,27 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.abs(mean - F.lit(6.0)))
 
 
-def sampling_key(doc_id: Column, weight: Column) -> Column:
-    digest = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds __mix_id, which tells rows apart by id, text and number among equal ones.
+
+    Only rows that repeat another's id and text are shuffled to be numbered.
+    """
+    text = F.substring(F.md5(F.coalesce(F.col("text"), F.lit(""))), 1, 16)
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)
+    named = docs.withColumn("__mix_id", name)
+    repeated = cut(named.groupBy(F.col("__mix_id").alias("__mix_name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__mix_name"))
+    number = F.lit(1)
+    if repeated.head(1):
+        named = join_lookup(named, repeated, F.col("__mix_id") == F.col("__mix_name"), "left")
+        single = named.filter("__mix_name is null").withColumn("__mix_number", number)
+        order = Window.partitionBy("__mix_name").orderBy("__mix_id")
+        several = named.filter("__mix_name is not null").withColumn("__mix_number", F.row_number().over(order))
+        named, number = single.unionByName(several), F.col("__mix_number")
+    return named.select(*[F.col(c) for c in docs.columns], F.concat_ws(":", "__mix_id", number.cast("string")).alias("__mix_id"))
+
+
+def sampling_key(name: Column, weight: Column) -> Column:
+    digest = F.md5(F.concat(F.lit(f"{SEED}:"), name))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
     usable = (weight > 0) & (weight < F.lit(float("inf")))
     return F.when(usable, -F.log(uniform) / weight).otherwise(F.lit(float("inf")))
@@ -91,9 +111,10 @@ def plan_mix(docs: DataFrame, weight: Column | None = None) -> tuple[DataFrame,
     ``weight`` is a quality column of ``docs``; by default it comes from the text.
     """
     size = word_count(F.col("text"))
-    rows = docs.select("doc_id", "source", "text", size.alias("size"), (F.lit(None) if weight is None else weight).cast("double").alias("w"))
-    chosen = quality_weight(F.col("text"), F.col("size")) if weight is None else F.col("w")
-    sized = cut(rows.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), chosen).alias("key")))
+    chosen = quality_weight(F.col("text"), size) if weight is None else weight
+    # Narrow before rows are numbered: only equal ones, without their text, are shuffled.
+    rows = docs.select("doc_id", "text", "source", size.alias("size"), chosen.cast("double").alias("w"))
+    sized = cut(numbered(rows).select("doc_id", "source", "size", sampling_key(F.col("__mix_id"), F.col("w")).alias("key")))
     sized = sized.withColumn("bucket", _bucket(F.col("key")))
     per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
@@ -129,10 +150,11 @@ def plan_mix(docs: DataFrame, weight: Column | None = None) -> tuple[DataFrame,
     return sized, cut(cuts)
 
 
-def copies(key: Column) -> Column:
-    """Times the mix takes a row, given the columns of ``cuts``."""
-    inside = (_bucket(key) < F.col("edge_bucket")) | (key <= F.col("cut_key"))
-    return F.col("epochs") + F.when((F.col("rest") > 0) & inside, F.lit(1)).otherwise(F.lit(0))
+def copies(key: Column, cuts: str = "") -> Column:
+    """Times the mix takes a row, given the columns of ``cuts`` under the prefix named."""
+    of = lambda name: F.col(f"{cuts}{name}")
+    inside = (_bucket(key) < of("edge_bucket")) | (key <= of("cut_key"))
+    return of("epochs") + F.when((of("rest") > 0) & inside, F.lit(1)).otherwise(F.lit(0))
 
 
 def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -145,11 +167,15 @@ def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
 
 def materialise(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it."""
-    _, cuts = plan_mix(docs)
-    key = sampling_key(F.col("doc_id"), quality_weight(F.col("text"), word_count(F.col("text"))))
-    source = F.col("source")
-    out = join_lookup(docs.withColumn("__mix_key", key), cuts, source.eqNullSafe(F.col("cut_source")), "inner")
-    times = copies(F.col("__mix_key"))
+    clash = [c for c in docs.columns if c.lower().startswith("__mix_")]
+    if clash:
+        raise ValueError(f"documents already have the columns {clash}")
+    _, cuts = plan_mix(docs.select("doc_id", "text", "source"))
+    cuts = cuts.select(F.struct("*").alias("__mix_cut"))
+    key = sampling_key(F.col("__mix_id"), quality_weight(F.col("text"), word_count(F.col("text"))))
+    rows = numbered(docs).withColumn("__mix_key", key)
+    out = join_lookup(rows, cuts, F.col("source").eqNullSafe(F.col("__mix_cut.cut_source")), "inner")
+    times = copies(F.col("__mix_key"), "__mix_cut.")
     out = out.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
     return out.select(*[F.col(c) for c in docs.columns])
 
@@ -159,13 +185,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
+with named as (
+  select *, coalesce(doc_id::varchar, 'null') || ':' || substr(md5(coalesce(text, '')), 1, 16) as name from documents
+), told_apart as (
+  select *, name || ':' || row_number() over (partition by name) as full_name from named
+), sized as (
+  select doc_id, source, full_name, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
     coalesce(length(text), 0) as n,
-    (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
-  from documents
+    (('0x' || substr(md5('mix:' || full_name), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+  from told_apart
 ), keyed as (
-  select doc_id, source, size, -ln(u) / (1.0 / (1.0 + abs(n / greatest(size, 1) - 6.0))) as k from sized
+  select doc_id, source, size, full_name, -ln(u) / (1.0 / (1.0 + abs(n / greatest(size, 1) - 6.0))) as k from sized
 ), sources as (
   select source, source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w
   from (select source, sum(size)::bigint as source_size from keyed group by source)
@@ -182,7 +212,7 @@ with sized as (
   select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from targets
 ), running as (
   select doc_id, size, source_size, target, epochs, target - epochs * source_size as rest,
-    sum(size) over (partition by k.source order by k.k) as upto
+    sum(size) over (partition by k.source order by k.k, full_name rows between unbounded preceding and current row) as upto
   from keyed k join budget b on k.source is not distinct from b.source
 )
 select doc_id, size::bigint as size, source_size, target,

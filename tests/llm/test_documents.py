@@ -45,6 +45,29 @@ def test_mix_matches_the_definition(make_docs, hostile):
     assert sorted(map(repr, out)) == sorted(map(repr, again))
 
 
+def test_rows_without_ids_meet_their_target(make_docs):
+    """Half of the rows have no id, some are equal in all: each is taken on its own."""
+    rows = [(i, f"w{i} " * 10, "a") for i in range(600)]
+    rows += [(None, f"v{i % 500} " * 10, "b") for i in range(600)] + [(7, "same words all over again", "c")] * 200
+    out = mixing.mix(make_docs(rows)).collect()
+    for source, size in (("a", 10), ("b", 10), ("c", 5)):
+        mine = [r for r in out if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= size
+        assert all(r["taken"] <= 3 * r["size"] for r in mine)
+    assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix(make_docs(rows).repartition(7)).collect()))
+    whole = mixing.materialise(make_docs(rows)).groupBy("source").count().collect()
+    taken = {s: sum(r["copies"] for r in out if r["source"] == s) for s in "abc"}
+    assert {r["source"]: r["count"] for r in whole} == taken
+
+
+def test_materialise_survives_columns_of_any_name(make_docs, spark):
+    docs = make_docs([(i, f"w{i}", "a") for i in range(20)])
+    for name in ("target", "epochs", "rest", "edge_bucket", "cut_key", "cut_source", "source_size", "n", "size", "w"):
+        assert name in mixing.materialise(docs.drop(name).withColumn(name, docs["lang"])).columns
+    with pytest.raises(ValueError):
+        mixing.materialise(docs.withColumn("__mix_key", docs["lang"]))
+
+
 def test_materialised_mix_repeats_rows(make_docs, hostile):
     docs = make_docs(hostile)
     out = mixing.materialise(docs)
