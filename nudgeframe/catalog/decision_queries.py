@@ -110,14 +110,13 @@ def elbow_threshold(study):
     "recommended_cutoff",
     "model_scores",
     TARGETING_SQL
-    + """, x as (select *, coalesce(roi > 0 and lift_rate is not null, false) as good from pol where run_id = 'm2')
+    + """, x as (select *, coalesce(roi > 0 and lift_rate is not null, false) as good from pol)
     select run_id, threshold_pct, n_targeted, lift_rate, incremental_conversions, total_cost, estimated_revenue_lift, roi,
       case when good then 'highest positive return' else 'highest lift, no positive return' end as rationale
-    from x order by good desc, case when good then roi end desc nulls last, lift_rate desc nulls last, threshold_pct limit 1""",
+    from x qualify row_number() over (partition by run_id order by good desc, case when good then roi end desc nulls last, lift_rate desc nulls last, threshold_pct) = 1""",
 )
 def recommended_cutoff(study):
-    table = policy.targeting_policies(study.model_scores, by=["run_id"]).filter("run_id = 'm2'")
-    return policy.recommended_cutoff(table)
+    return policy.recommended_cutoff(policy.targeting_policies(study.model_scores, by=["run_id"]), ["run_id"])
 
 
 @AREA.query(

@@ -354,8 +354,8 @@ def first_seen_dedupe(study):
 
 
 FOLD_SQL = (
-    """with fs as (select client_id, treatment_flg, target, uplift, run_id || '-' || cast((row_number() over (partition by run_id, treatment_flg, target
-        order by md5(concat(client_id, ':9')), client_id) - 1) % 3 + 1 as varchar) as fold_id from model_scores where run_id in ('m1', 'm2', 'm3')), """
+    """with kf as (select client_id, (row_number() over (partition by treatment_flg, target order by md5(concat(client_id, ':9')), client_id) - 1) % 3 + 1 as fold from train),
+      fs as (select client_id, treatment_flg, target, uplift, run_id || '-' || cast(fold as varchar) as fold_id from model_scores join kf using (client_id)), """
     + ranked_sql("fs", "fold_id").strip()[len("with "):]
     + ", "
     + normalised_sql("fs", "fold_id")
@@ -369,20 +369,19 @@ FOLD_SQL = (
 
 
 def _fold_metrics(study):
-    scores = study.model_scores.filter(F.col("run_id").isin("m1", "m2", "m3"))
     folds = split.kfold(study.train, 3, seed=9).select("client_id", "fold")
-    keyed = scores.join(folds, "client_id")
+    keyed = study.model_scores.join(folds, "client_id")
     return metrics.metric_bundle(keyed, ["run_id", "fold"])
 
 
-@AREA.query("fold_metric_summary", "model_scores", FOLD_SQL + " select * from sm")
+@AREA.query("fold_metric_summary", "model_scores train", FOLD_SQL + " select * from sm")
 def fold_metric_summary(study):
     return trials.fold_summary(_fold_metrics(study), ["qini_auc", "uplift_auc", "normalized_qini_auc"], ["run_id"])
 
 
 @AREA.query(
     "cv_test_gap",
-    "model_scores",
+    "model_scores train",
     FOLD_SQL
     + ", "
     + normalised_sql("model_scores", "run_id").replace("act_", "full_act_").replace("act as", "full_act as").replace(

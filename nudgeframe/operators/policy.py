@@ -206,8 +206,8 @@ def segment_profiles(segmented: DataFrame, features: DataFrame, columns: list[st
     )
 
 
-def recommended_cutoff(policies: DataFrame) -> DataFrame:
-    """Best positive return (then lift, then the smaller cutoff), else best lift."""
+def recommended_cutoff(policies: DataFrame, by: tuple | list = ()) -> DataFrame:
+    """A row per group: best positive return (then lift, then the smaller cutoff), else best lift."""
     usable = F.col("roi").isNotNull() & F.col("lift_rate").isNotNull() & (F.col("roi") > 0)
     profitable = F.coalesce(usable, F.lit(False))
     order = [
@@ -217,7 +217,8 @@ def recommended_cutoff(policies: DataFrame) -> DataFrame:
         F.col("threshold_pct").asc(),
     ]
     reason = F.when(profitable, "highest positive return").otherwise("highest lift, no positive return")
-    return policies.orderBy(*order).limit(1).withColumn("rationale", reason)
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return policies.withColumn("__place", first).filter("__place = 1").drop("__place").withColumn("rationale", reason)
 
 
 def gain_grid(scores: DataFrame, cutoffs, scenarios: dict[str, float]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nudgeframe.config import Columns
 from nudgeframe.functions import clean
 from nudgeframe.operators.quality import melted
+from nudgeframe.plans.distinct import distinct_counts
 from nudgeframe.plans.prefix import exact_quantiles
 from nudgeframe.session import cut_lineage
 
@@ -76,13 +77,11 @@ def purchase_summary(purchases: DataFrame) -> DataFrame:
     """Distinct counts and the spend distribution over all purchase lines."""
     spend = purchases.select(clean.number_or_null(F.col("purchase_sum")).alias("spend"))
     quantiles = exact_quantiles(spend, [], "spend", {"p50": 0.5, "p95": 0.95})
-    counts = purchases.agg(
-        F.count_distinct("client_id").alias("unique_customers"),
-        F.count_distinct("transaction_id").alias("transactions"),
-        F.count_distinct("product_id").alias("unique_products"),
-        F.count_distinct("store_id").alias("unique_stores"),
-        F.round(F.avg(clean.number_or_null(F.col("purchase_sum"))), 6).alias("purchase_sum_mean"),
-    )
+    value = clean.number_or_null(F.col("purchase_sum"))
+    ids = {"unique_customers": "client_id", "transactions": "transaction_id", "unique_products": "product_id", "unique_stores": "store_id"}
+    found = distinct_counts(purchases, [], {k: F.col(c) for k, c in ids.items()}, {"sums": ("sum", value), "known": ("count", value)})
+    mean = F.round(F.col("sums") / F.nullif(F.col("known").cast("double"), F.lit(0.0)), 6)
+    counts = found.select(*ids, mean.alias("purchase_sum_mean"))
     return counts.withColumn("q", quantiles.select(F.struct("p50", "p95")).scalar()).select(
         *counts.columns,
         F.round("q.p50", 6).alias("purchase_sum_median"),

@@ -38,6 +38,11 @@ def test_pinned_history_is_pushed_to_a_pruned_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
 
 
+@pytest.mark.parametrize("name", ["purchase_summary", "ingest_mode_features"])
+def test_distinct_counts_do_not_widen_rows(name, spark):
+    assert "Expand" not in plan_of(QUERIES[name](spark, SMALL_DIR))
+
+
 def test_large_rankings_use_bucketed_windows(spark, split_small_inputs):
     plan = plan_of(QUERIES["qini_auc"](spark, SMALL_DIR))
     assert "hashpartitioning(__bucket" in plan and "SinglePartition" in plan  # offsets only

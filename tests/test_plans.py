@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nudgeframe.plans.distinct import distinct_counts
 from nudgeframe.plans.prefix import average_ranks, exact_quantiles, running
 from nudgeframe.plans.rank_correlation import spearman
 from nudgeframe.plans.skew import find_heavy_keys, skew_join
@@ -100,3 +101,12 @@ def test_spearman_with_ties_and_constants(spark):
     got = {r["k"]: r for r in spearman(df, ["k"], "x", "y").collect()}
     assert got["a"]["correlation"] == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1])
     assert got["a"]["n"] == 200 and got["flat"]["correlation"] is None
+
+
+def test_distinct_counts_with_nulls_and_totals(spark):
+    rows = [("a", 1, "x", 2.0), ("a", 1, None, 3.0), ("a", None, "y", None), (None, 2, "x", 1.0), ("b", None, None, None)]
+    df = spark.createDataFrame(rows, "g string, i int, s string, v double")
+    kinds, totals = {"ints": F.col("i"), "texts": F.col("s")}, {"low": ("min", F.col("v")), "sums": ("sum", F.col("v")), "known": ("count", F.col("v"))}
+    got = {r[0]: tuple(r)[1:] for r in distinct_counts(df, ["g"], kinds, totals).collect()}
+    assert got == {"a": (1, 2, 2.0, 5.0, 2), None: (1, 1, 1.0, 1.0, 1), "b": (0, 0, None, None, 0)}
+    assert [tuple(r) for r in distinct_counts(df.limit(0), [], kinds, totals).collect()] == [(0, 0, None, None, None)]
