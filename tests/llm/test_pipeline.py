@@ -56,7 +56,9 @@ def mixed(rows):
         rest = target[s] - epochs * sizes[s]
 
         def key(r):
-            digest = hashlib.md5(f"{mixing.SEED}:{r[0]}".encode()).hexdigest()[:13]
+            # Ids are distinct at this stage: every row is the first of its id and text.
+            name = f"{r[0]}:{hashlib.md5(r[1].encode()).hexdigest()[:16]}:1"
+            digest = hashlib.md5(f"{mixing.SEED}:{name}".encode()).hexdigest()[:13]
             mean = len(r[1]) / max(size_of(r[1]), 1)
             return -math.log((int(digest, 16) + 0.5) / 2**52) * (1 + abs(mean - 6))
 
