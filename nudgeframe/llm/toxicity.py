@@ -2,9 +2,9 @@
 
 1. The lexicon is learned from labelled documents: words whose share among toxic
    documents is far above their share among clean ones, and word beginnings shared
-   by several such words. Labels are read for a bounded sample of at most
-   ``SAMPLE_ROWS`` rows, chosen by hash; rows whose crc32(doc_id) mod 4 is 2 are held
-   out and never read.
+   by several such words. They come from a sample of at most ``SAMPLE_ROWS`` different
+   labelled texts, chosen by hash of id and text; an id is toxic if any of its labels
+   says so. Rows whose crc32(doc_id) mod 4 is 2 are held out and never read.
 2. ``TermMatcher`` intersects the lexicon trie with the Levenshtein automaton of
    each term. A state is the set of (trie node, edits so far) reachable by the
    letters read; states are numbered when first met and their transitions kept, so
@@ -16,13 +16,14 @@
    a verb of reporting, more next to a second person.
 4. A logistic fit on the sample turns the weighed hits into a score.
 
-Scoring reads texts only; lexicon, exclusions and coefficients are broadcast with
-the closure and bounded by ``MOST_TERMS`` and ``MOST_EXCLUDED``.
+Scoring reads texts only. Lexicon and exclusions are words of the sample, so its bound
+is theirs; they and the coefficients travel with the closure.
 
 Defined cases: null and empty texts have no hits and get the score of a document
-without hits; null doc_id is not held out; repeated rows are scored alike; without
-any usable label the lexicon is empty and every score is 0; extra columns are
-ignored.
+without hits; null doc_id is not held out; rows equal in id and text count once in the
+sample and are scored alike; without any usable label the lexicon is empty and every
+score is 0; extra columns are kept, and a column that has the score's name is refused
+by ``score`` and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -39,8 +40,6 @@ from nudgeframe.llm.common import cut, read, with_column
 
 #: Bound of the labelled sample that the lexicon and the fit read.
 SAMPLE_ROWS = 20_000
-MOST_TERMS = 4_000
-MOST_EXCLUDED = 50_000
 LEAST_DOCUMENTS = 4
 LEAST_LIFT = 20.0
 LEAST_STEM_LIFT = 150.0
@@ -52,7 +51,8 @@ THRESHOLD = 0.3
 WINDOW = 5
 
 WORD = re.compile(r"\w+")
-QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]")
+QUOTE_MARK = re.compile(r"[\"“”„«»\n]")
+CLOSING = {'"': '"', "“": "”", "«": "»", "„": "“”"}
 # Cues of reported and of direct speech.
 REPORTING = frozenset("said says wrote writes quoted quote called term word slur insult sagte wort zitat dit mot dijo palabra".split())
 ADDRESSING = frozenset("you your youre du dein dich ihr sie tu toi ton vous votre eres usted tus".split())
@@ -146,6 +146,33 @@ class TermMatcher:
         return None if found is None or found[0] and word in self.excluded else found
 
 
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """Disjoint spans between paired quotation marks of one line, of any length, in order.
+
+    Every mark is read once: it closes the kinds of quotation open in its line that it
+    fits, else it opens one. A mark that nothing closes quotes nothing.
+    """
+    spans: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}
+    for found in QUOTE_MARK.finditer(text):
+        mark, at = found.group(), found.start()
+        if mark == "\n":
+            opened.clear()
+            continue
+        closed = [kind for kind in opened if mark in CLOSING[kind]]
+        if not closed:
+            if mark in CLOSING:
+                opened.setdefault(mark, at)
+            continue
+        begin = min(opened.pop(kind) for kind in closed)
+        while spans and spans[-1][0] >= begin:
+            spans.pop()
+        if spans and spans[-1][1] > begin:
+            begin = spans.pop()[0]
+        spans.append((begin, at + 1))
+    return spans
+
+
 def context_factors(text: str, tokens: list, at: int) -> tuple[float, bool]:
     """(weight of the hit at token ``at``, whether it is reported speech); ``tokens`` are (word, start)."""
     near = {word for word, _ in tokens[max(0, at - WINDOW) : at + WINDOW + 1]}
@@ -184,7 +211,7 @@ class Scorer:
         if not any(map(hit, set(WORD.findall(text)))):
             return 0.0, 0.0, 0.0
         tokens = [(m.group(), m.start()) for m in WORD.finditer(text)]
-        spans = [m.span() for m in QUOTED.finditer(text)]
+        spans = quoted_spans(text)
         exact = fuzzy = reported = 0.0
         span = 0
         for at, (word, start) in enumerate(tokens):
@@ -219,6 +246,10 @@ def _texts(column) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def _begins_with(word: str, stems: set) -> bool:
+    return any(word[:n] in stems for n in range(STEM_LENGTHS[0], STEM_LENGTHS[1] + 1))
+
+
 def _words_of(batches):
     """(word, toxic) once for each word of each document."""
     for batch in batches:
@@ -230,28 +261,54 @@ def _words_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], ["word", "toxic"])
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple:
-    """Newton steps for intercept and slopes; misspelling and exact slopes are kept non-negative."""
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30, offset=0.0) -> tuple:
+    """Newton steps for an intercept and ridge-penalised slopes, beside a fixed ``offset`` of each row."""
     x = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(x.shape[1])
     penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ beta + offset, -30, 30)))
         step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + penalty, x.T @ (y - p) - penalty @ beta)
         beta += np.clip(step, -2, 2)
     return tuple(float(b) for b in beta)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """Lexicon and coefficients from at most ``SAMPLE_ROWS`` labelled documents outside the held-out quarter."""
+def bounded_fit(x: np.ndarray, y: np.ndarray) -> tuple:
+    """(intercept, exact, misspelled, reported): slopes held to their signs, then the intercept fitted to them."""
+    _, exact, fuzzy, reported = logistic_fit(x, y)
+    slopes = (max(exact, 0.0), max(fuzzy, LEAST_FUZZY * exact, 0.0), min(reported, 0.0))
+    (intercept,) = logistic_fit(np.empty((len(y), 0)), y, offset=x @ np.array(slopes))
+    return (intercept, *slopes)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of at most ``SAMPLE_ROWS`` different labelled texts outside the held-out quarter, cut.
+
+    The first limit bounds the ids, whose labels may then be broadcast; the second, over
+    narrow rows, bounds the texts where ids repeat.
+    """
     chosen = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
+        .groupBy("doc_id")
+        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(SAMPLE_ROWS)
+    )
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("same"))
+    keys = (
+        texts.drop("text")
+        .join(F.broadcast(chosen), "doc_id")
+        .distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "same")
         .limit(SAMPLE_ROWS)
     )
-    # The sample's bound is SAMPLE_ROWS ids, so it is broadcast and texts are not shuffled.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = texts.join(F.broadcast(keys), ["doc_id", "same"]).groupBy("doc_id", "same", "toxic").agg(F.min("text").alias("text"))
+    return cut(sample.select("text", "toxic"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """Lexicon and coefficients of ``labelled_sample``."""
+    sample = labelled_sample(docs, labels)
     counts = sample.mapInArrow(_words_of, "word string, toxic int").groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
     )
@@ -263,24 +320,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     telling = (F.col("bad") >= LEAST_DOCUMENTS) & (lift >= LEAST_LIFT)
     pure = (lift >= LEAST_STEM_LIFT) & (F.col("words") >= LEAST_STEM_WORDS)
     counts = cut(counts)
-    terms = [
-        r["word"] for r in counts.filter(telling).orderBy(lift.desc(), F.col("bad").desc(), "word").limit(MOST_TERMS).collect()
-    ]
+    terms = sorted(r["word"] for r in counts.filter(telling).select("word").collect())
     beginnings = F.transform(F.sequence(*map(F.lit, STEM_LENGTHS)), lambda n: F.substring(F.col("word"), F.lit(1), n))
     found = (
         counts.select(F.explode(F.array_distinct(beginnings)).alias("stem"), "word", "bad", "good")
         .groupBy("stem")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("words"))
         .filter(pure & (F.length("stem") >= STEM_LENGTHS[0]))
-        .orderBy(F.length("stem"), "stem")
-        .limit(MOST_TERMS)
+        .select("stem")
         .collect()
     )
-    stems: list[str] = []
-    for row in found:
-        if not row["stem"].startswith(tuple(stems)):
-            stems.append(row["stem"])
-    terms = [t for t in terms if not t.startswith(tuple(stems))]
+    stems: set[str] = set()
+    for stem in sorted((r["stem"] for r in found), key=lambda stem: (len(stem), stem)):
+        if not _begins_with(stem, stems):
+            stems.add(stem)
+    terms = [t for t in terms if not _begins_with(t, stems)]
     if not terms and not stems:
         return Scorer()
 
@@ -292,9 +346,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     clean = counts.filter(F.col("good") > 0).select("word")
     near = cut(clean.mapInArrow(confused, "word string, term string").distinct())
-    rigid = {r["term"] for r in near.groupBy("term").count().filter(F.col("count") > MOST_RESEMBLING).select("term").collect()}  # terms only
-    excluded = [r["word"] for r in near.filter(~F.col("term").isin(sorted(rigid))).orderBy("word").limit(MOST_EXCLUDED).collect()]
-    scorer = Scorer(terms=tuple(terms), excluded=tuple(excluded), rigid=tuple(sorted(rigid)), stems=tuple(stems))
+    rigid = near.groupBy("term").count().filter(F.col("count") > MOST_RESEMBLING).select("term")
+    excluded = sorted(r["word"] for r in near.join(rigid, "term", "left_anti").select("word").distinct().collect())
+    scorer = Scorer(tuple(terms), tuple(excluded), tuple(sorted(r["term"] for r in rigid.collect())), tuple(sorted(stems)))
 
     def featured(batches):
         for batch in batches:
@@ -303,28 +357,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     rows = sample.mapInArrow(featured, "exact double, fuzzy double, reported double, toxic int").collect()  # SAMPLE_ROWS at most
     data = np.array([tuple(r) for r in rows], float)
-    scorer.coefficients = logistic_fit(data[:, :3], data[:, 3])
-    b0, exact, fuzzy, reported = scorer.coefficients
-    scorer.coefficients = (b0, exact, max(fuzzy, LEAST_FUZZY * exact), min(reported, 0.0))
+    scorer.coefficients = bounded_fit(data[:, :3], data[:, 3])
     return scorer
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """All columns of ``docs`` and ``toxicity`` (0 to 1)."""
+def score(docs: DataFrame, scorer: Scorer, name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and the score (0 to 1) under ``name``."""
+    if name in docs.columns:
+        raise ValueError(f"the documents have a column {name}; choose another name for the score")
     at = docs.columns.index("text")
-    schema = with_column(docs, "toxicity", "double")
+    schema = with_column(docs, name, "double")
 
     def scored(batches):
         for batch in batches:
             values = scorer.scores(_texts(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, name])
 
     return docs.mapInArrow(scored, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic."""
-    return score(docs, train(docs, labels)).filter(F.col("toxicity") < THRESHOLD).drop("toxicity")
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    name = max(docs.columns, key=len) + "_toxicity"
+    return score(docs, train(docs, labels), name).filter(F.col(name) < THRESHOLD).drop(name)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,57 @@ def test_toxicity_reads_context_and_survives_hostile_rows(spark, make_docs, host
     assert toxicity.train(make_docs(rows, extra=False), table.filter("toxic = 0")).scores(["worthless"]).tolist() == [0.0]
 
 
+def test_quotations_of_any_length_are_reported_speech():
+    scorer = toxicity.Scorer(terms=("worthless",))
+    for n in (2, 50, 300, 20_000):
+        inside = "x " * n + "worthless " + "y " * n
+        for text in (f'"{inside}"', f"“{inside}”", f"«{inside}»", f"„{inside}“"):
+            assert scorer.features(text)[2] > 0, (n, text[:3])
+        for text in (inside, f'"{inside}', f'"x" {inside} "y"', f'"{inside}\n"'):
+            assert scorer.features(text)[2] == 0, (n, text[:3])
+    assert toxicity.quoted_spans('5" «a» „b“ c "" d') == [(1, 14)]
+    assert toxicity.quoted_spans("" ) == [] and toxicity.quoted_spans("“a «b» c” »") == [(0, 9)]
+
+
+def test_toxicity_sample_stays_within_its_bound(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 50)
+    free = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(free)] + [(free[0], 1)] * 500, "doc_id long, toxic int")
+    # One id with many texts, one text many times, and every other id.
+    rows = [(free[0], f"text {n}") for n in range(400)] + [(free[1], "same")] * 400 + [(i, f"word{i}") for i in range(1000)]
+    docs = make_docs(rows, extra=False)
+    taken = toxicity.labelled_sample(docs, labels).collect()
+    assert len(taken) == 50
+    toxic = {i: k % 2 for k, i in enumerate(free)} | {free[0]: 1}
+    held = {f"word{i}" for i in range(1000)} - {f"word{i}" for i in free}
+    assert not held & {r["text"] for r in taken} and sum(r["text"] == "same" for r in taken) <= 1
+    assert all(r["toxic"] == toxic[int(r["text"][4:])] for r in taken if r["text"].startswith("word"))
+    again = toxicity.labelled_sample(docs.repartition(5), labels.repartition(3)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, taken))
+
+
+def test_toxicity_keeps_columns_that_clash(spark, make_docs):
+    docs = make_docs([(1, "a b"), (2, None), (None, "c")])
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    with pytest.raises(ValueError):
+        toxicity.score(docs, toxicity.Scorer())
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """At least 0.9 of the toxic documents that no label was read for, few false alarms."""
+    folder = "/root/testdata/sf0.1"
+    out = toxicity.op8_toxicity(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    counts = {(r["toxic"], r["predicted"]): r["count"] for r in out.filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    found, missed = counts.get((1, 1), 0), counts.get((1, 0), 0)
+    assert found >= 0.9 * (found + missed) > 50, counts
+    assert counts.get((0, 1), 0) <= 0.01 * counts[(0, 0)], counts
+    ids = [r["doc_id"] for r in out.filter("held_out").select("doc_id").collect()]
+    assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in ids)
+
+
 TEXTS = [None, "", " ", "a", "  two  spaces ", "\n\n\tx", "漢字 ☃ 𝄞 é́", "x" * 3000, "ab" * 400, "<0x41></s><s>", " " * 300 + "q", "foo\x00bar, baz.", "l'été… «oui», d'accord"]
 
 
