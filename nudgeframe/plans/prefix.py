@@ -131,6 +131,69 @@ def average_ranks(df: DataFrame, by: list[str], value: str, weight: str | None =
     )
 
 
+def tied_ranks(cells: DataFrame, by: list[str], value: str, tiebreak: str, weight: str, name: str) -> DataFrame:
+    """``cells`` with the tie-averaged rank of ``value`` as ``name`` and its group's weight as ``total_<name>``.
+
+    ``weight`` counts the rows a cell stands for; ``value`` and ``tiebreak`` are known and
+    tell the cells of a group apart. Large inputs are placed by both, so a value shared by
+    many cells spans buckets instead of filling one. Only a bucket's first and last value
+    can do so: their ties are summed over the buckets' ends, two small rows a bucket, and no
+    table of ranks is joined on values.
+    """
+    small = is_small(cells)
+    rows = cells.withColumn(_BUCKET, F.lit(0)) if small else _bucketed(cells, by, [(value, False), (tiebreak, False)])
+    bucket = Window.partitionBy(*by, _BUCKET)
+    ordered = bucket.orderBy(F.col(value).asc())
+    local = rows.select(
+        *cells.columns,
+        _BUCKET,
+        F.sum(weight).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("__upto"),
+        F.sum(weight).over(ordered.rangeBetween(Window.currentRow, Window.currentRow)).alias("__ties"),
+        *([F.sum(weight).over(bucket).alias(f"total_{name}")] if small else []),
+    )
+
+    def middle(start, ties):
+        return F.col(start) + (F.col(ties) + 1) / F.lit(2.0)
+
+    if small:
+        ranks = local.withColumn("__start", F.col("__upto") - F.col("__ties"))
+        return ranks.select(*cells.columns, middle("__start", "__ties").alias(name), f"total_{name}")
+
+    ends = local.groupBy(*by, _BUCKET).agg(
+        F.sum(weight).alias("__n"),
+        F.min(value).alias("__first"),
+        F.min_by("__ties", value).alias("__first_ties"),
+        F.max(value).alias("__last"),
+        F.max_by("__ties", value).alias("__last_ties"),
+    )
+    # One row a bucket beyond one per group.
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ends.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).withColumn(
+        f"total_{name}", F.sum("__n").over(group)
+    )
+    first = F.struct(F.lit(True).alias("low"), F.col("__first").alias("end"), F.col("__before").alias("start"), F.col("__first_ties").alias("ties"))
+    last_start = F.col("__before") + F.col("__n") - F.col("__last_ties")
+    last = F.struct(F.lit(False).alias("low"), F.col("__last").alias("end"), last_start.alias("start"), F.col("__last_ties").alias("ties"))
+    one_value = F.col("__first").eqNullSafe(F.col("__last"))
+    values = placed.select(*by, _BUCKET, "__before", f"total_{name}", F.inline(F.when(one_value, F.array(first)).otherwise(F.array(first, last))))
+    same_value = Window.partitionBy(*by, "end")
+    values = values.withColumn("__start", F.min("start").over(same_value)).withColumn("__all", F.sum("ties").over(same_value))
+    rank = middle("__start", "__all")
+    offsets = values.groupBy(*[F.col(c).alias(f"__k_{c}") for c in (*by, _BUCKET)]).agg(
+        F.max("__before").alias("__before"),
+        F.max(f"total_{name}").alias(f"total_{name}"),
+        F.min("end").alias("__first"),
+        F.max("end").alias("__last"),
+        F.max(F.when(F.col("low"), rank)).alias("__first_rank"),
+        F.max(F.when(~F.col("low"), rank)).alias("__last_rank"),
+    )
+    joined = local.join(offsets, _same(local, offsets, (*by, _BUCKET)))
+    inner = F.col("__before") + F.col("__upto") - F.col("__ties") + (F.col("__ties") + 1) / F.lit(2.0)
+    ranked = F.when(F.col(value) == F.col("__first"), F.col("__first_rank")).when(F.col(value) == F.col("__last"), F.col("__last_rank"))
+    return joined.select(*cells.columns, ranked.otherwise(inner).alias(name), f"total_{name}")
+
+
 def exact_quantiles(
     df: DataFrame,
     by: list[str],

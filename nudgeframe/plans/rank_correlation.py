@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nudgeframe.plans.prefix import average_ranks
-from nudgeframe.plans.sizing import is_small
-from nudgeframe.plans.skew import HeavyKeys, find_heavy_keys, skew_join
+from nudgeframe.plans.prefix import tied_ranks
 
 
 def pearson(x: Column, y: Column, weight: Column) -> Column:
@@ -20,25 +18,17 @@ def pearson(x: Column, y: Column, weight: Column) -> Column:
 
 
 def spearman(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """(keys..., n, correlation) with tie-averaged ranks.
+    """(keys..., n, correlation) with tie-averaged ranks; rows with an unknown side do not count.
 
-    Equal (left, right) pairs merge before the rank tables are joined on, so a
-    value shared by many rows shrinks the join instead of skewing it. The rank
-    tables and group sizes derive from the same merged cells, whose shuffle Spark
-    reuses. Ranks are centred on the group's mean rank to keep the sums well
-    conditioned.
+    Equal (left, right) pairs merge first. Two passes over the merged cells, each in the
+    order of one side, attach the ranks; nothing is joined on values, so a value shared
+    by many cells is no hot key. Ranks are centred on the group's mean rank to keep the
+    sums well conditioned.
     """
-    cells = rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("m"))
-    sizes = cells.groupBy(*keys).agg(F.sum("m").alias("n"))
-
-    def ranks(side):
-        return average_ranks(cells, keys, side, "m").select(*keys, side, F.col("avg_rank").alias(f"rank_{side}"))
-
-    # Cells are distinct pairs, so a join on (keys, value) has no more rows a key than
-    # the other side has values; the table of group sizes is small enough for Spark's check.
-    hot = HeavyKeys() if is_small(rows) else find_heavy_keys(rows, [*keys, left])
-    ranked = skew_join(cells, ranks(left), [*keys, left], "inner", [right], hot)
-    ranked = ranked.join(ranks(right), [*keys, right]).join(sizes, keys) if keys else ranked.join(ranks(right), [right]).crossJoin(sizes)
-    middle = (F.col("n") + 1) / F.lit(2.0)
-    correlation = pearson(F.col(f"rank_{left}") - middle, F.col(f"rank_{right}") - middle, F.col("m").cast("double"))
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), correlation.alias("correlation"))
+    known = rows.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
+    cells = known.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("__m"))
+    ranked = tied_ranks(cells, keys, left, right, "__m", "__left").drop("total___left")
+    ranked = tied_ranks(ranked, keys, right, left, "__m", "__right")
+    middle = (F.col("total___right") + 1) / F.lit(2.0)
+    correlation = pearson(F.col("__left") - middle, F.col("__right") - middle, F.col("__m").cast("double"))
+    return ranked.groupBy(*keys).agg(F.sum("__m").alias("n"), correlation.alias("correlation"))

@@ -103,6 +103,30 @@ def test_spearman_with_ties_and_constants(spark):
     assert got["a"]["n"] == 200 and got["flat"]["correlation"] is None
 
 
+@pytest.mark.parametrize("keyed", [True, False])
+def test_spearman_of_values_that_span_buckets(spark, keyed, split_small_inputs):
+    """One value of each side is shared by most cells; groups may be null, values NaN or negative zero."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(600) < 0.6, 3.0, rng.integers(0, 400, 600).astype(float))
+    y = np.where(rng.random(600) < 0.4, -1.0, rng.integers(0, 300, 600).astype(float))
+    x[:3], y[3:5], x[5], x[6] = np.nan, np.nan, -0.0, 0.0
+    groups = np.array([None if i % 3 == 0 else "a" if i % 3 == 1 else "b" for i in range(600)]) if keyed else np.full(600, "all")
+    rows = [(g, float(i), float(j)) for g, i, j in zip(groups, x, y)] + [("a" if keyed else "all", None, 1.0), ("a" if keyed else "all", 2.0, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(4)
+    keys = ["k"] if keyed else []
+    got = {r["k"] if keyed else "all": r for r in spearman(df, keys, "x", "y").collect()}
+
+    def ranks(v):
+        v = np.where(np.isnan(v), 1e9, v)
+        return np.array([(v < i).sum() + ((v == i).sum() + 1) / 2 for i in v])
+
+    assert set(got) == set(groups)
+    for group, row in got.items():
+        at = np.array([g == group for g in groups])
+        assert row["n"] == at.sum()
+        assert row["correlation"] == pytest.approx(np.corrcoef(ranks(x[at]), ranks(y[at]))[0, 1])
+
+
 def test_distinct_counts_with_nulls_and_totals(spark):
     rows = [("a", 1, "x", 2.0), ("a", 1, None, 3.0), ("a", None, "y", None), (None, 2, "x", 1.0), ("b", None, None, None)]
     df = spark.createDataFrame(rows, "g string, i int, s string, v double")
