@@ -219,7 +219,21 @@ def segment_rank_statistics(study):
     return policy.segment_rank_test(segmented, table, PROFILE_COLUMNS, with_p=False)
 
 
-@AREA.query("segment_rank_test")
+def _erfc_sql() -> str:
+    """The same series as ``policy.two_sided_p``, over x and t."""
+    series = f"{policy.ERFC[0]}::double"
+    for c in policy.ERFC[1:]:
+        series = f"({series} * t + {c}::double)"
+    return f"case when t * exp({series} - x * x) > 1 then 1.0::double else t * exp({series} - x * x) end"
+
+
+@AREA.query(
+    "segment_rank_test",
+    "arm_scores clients train",
+    f"""select * exclude (x, t, p), round(p, 5) as p_value, round(p, 5) < 0.05::double as significant
+    from (select *, {_erfc_sql()} as p from (select *, 1.0::double / (1.0::double + x / 2) as t
+      from (select *, case when z is not null then greatest(z, 0) / sqrt(2.0::double) end as x from ({RANK_TEST_SQL}))))""",
+)
 def segment_rank_test(study):
     table = features.client_features(study.train, study.clients)
     return policy.segment_rank_test(policy.five_way_segments(study.arm_scores), table, PROFILE_COLUMNS)

@@ -196,9 +196,14 @@ class Study:
 
     @property
     def waves(self) -> DataFrame:
-        """One wave per customer over that customer's trials."""
+        """One wave per customer; most list two of the customer's trials and name the later one champion."""
         key = F.col("c_custkey")
-        return self.raw("customer").select(
+        own = self.raw("orders").filter("o_orderkey % 3 <> 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+            F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")
+        )
+        first, last = (F.concat(F.lit("r"), F.col(c).cast("string")) for c in ("lo", "hi"))
+        none = F.array().cast("array<string>")
+        return self.raw("customer").join(own, "c_custkey", "left").select(
             key.cast("string").alias("experiment_id"),
             F.concat(F.lit("w"), key.cast("string")).alias("wave_id"),
             F.when(key % 17 == 0, "blocked").when(key % 19 == 0, "failed").otherwise("completed").alias("status"),
@@ -211,6 +216,11 @@ class Study:
             (key % 4).cast("int").alias("champion_stability_runs"),
             (key % 6 == 0).alias("policy_threshold_stable"),
             F.when(key % 3 == 0, key % 2 == 0).alias("robustness_stable"),
+            F.when((key % 5 == 0) | F.col("lo").isNull(), none)
+            .when(F.col("lo") == F.col("hi"), F.array(first))
+            .otherwise(F.array(first, last))
+            .alias("trial_ids"),
+            F.when(key % 11 == 0, "elsewhere").when(key % 7 != 0, last).alias("champion_run_id"),
         )
 
 
@@ -312,8 +322,11 @@ SQL_VIEWS = {
              else ['recipe_comparison'] end as valid_next_actions,
         cast(c_custkey % 4 as integer) as champion_stability_runs,
         c_custkey % 6 = 0 as policy_threshold_stable,
-        case when c_custkey % 3 = 0 then c_custkey % 2 = 0 end as robustness_stable
-      from customer""",
+        case when c_custkey % 3 = 0 then c_custkey % 2 = 0 end as robustness_stable,
+        case when c_custkey % 5 = 0 or lo is null then [] when lo = hi then ['r' || lo] else ['r' || lo, 'r' || hi] end as trial_ids,
+        case when c_custkey % 11 = 0 then 'elsewhere' when c_custkey % 7 <> 0 then 'r' || hi end as champion_run_id
+      from customer left join (select o_custkey as c_custkey, min(o_orderkey) as lo, max(o_orderkey) as hi from orders
+        where o_orderkey % 3 <> 0 group by all) using (c_custkey)""",
 }
 
 _NEEDS = {

@@ -260,25 +260,25 @@ def family_metric_mean(study):
 
 
 WAVE_SQL = """
-    top as (select *, row_number() over (partition by experiment_id order by qini_auc desc, seq) as i from trials
-      where status = 'success' and qini_auc is not null),
-    pair as (select experiment_id, max(case when i = 1 then run_id end) as champion_run_id, max(case when i = 1 then qini_auc end) as champion_metric,
-        max(case when i = 2 then qini_auc end) as runner_up_metric from top where i <= 2 group by experiment_id),
-    bg as (select g.experiment_id, key, gain, row_number() over (partition by g.experiment_id order by gain desc, pos) as i
-      from gains g join top t on t.run_id = g.run_id and t.i = 1 where gain is not null),
-    ev as (select waves.*, champion_run_id, champion_metric, runner_up_metric, key as best_policy_gain_key, gain as best_policy_gain,
-        round(champion_metric - runner_up_metric, 6) as metric_delta
-      from waves left join pair using (experiment_id) left join (select * from bg where i = 1) using (experiment_id))"""
-
-
-@AREA.query("wave_evidence", "waves gains", f"with {WAVE_SQL} select * from ev")
+    pool as (select w.wave_id, w.champion_run_id as named, t.* from waves w join trials t
+      on t.experiment_id = w.experiment_id and (len(w.trial_ids) = 0 or list_contains(w.trial_ids, t.run_id))),
+    ru as (select wave_id, qini_auc as runner_up_metric from pool where qini_auc is not null
+      qualify row_number() over (partition by wave_id order by qini_auc desc, seq) = 2),
+    ch as (select wave_id, qini_auc as champion_metric from pool where run_id = named),
+    bg as (select p.wave_id, g.key as best_policy_gain_key, g.gain as best_policy_gain from pool p join gains g using (run_id)
+      where p.run_id = p.named and g.gain is not null qualify row_number() over (partition by p.wave_id order by g.gain desc, g.pos) = 1),
+    ev as (select *, round(champion_metric - runner_up_metric, 6) as metric_delta
+      from waves left join ch using (wave_id) left join ru using (wave_id) left join bg using (wave_id))"""
+
+
+@AREA.query("wave_evidence", "waves trials gains", f"with {WAVE_SQL} select * from ev")
 def wave_evidence(study):
     return trials.wave_evidence(study.waves, study.trials)
 
 
 @AREA.query(
     "wave_outcome",
-    "waves gains",
+    "waves trials gains",
     f"""with {WAVE_SQL}, x as (select *, coalesce(champion_metric >= 0.05 and best_policy_gain >= 0, false) as sup,
         coalesce(champion_metric <= -0.01 and (best_policy_gain is null or best_policy_gain <= 0), false) as con,
         status in ('blocked', 'failed') or blocked_reason is not null as blk,

@@ -296,35 +296,66 @@ def family_means(trials: DataFrame, by=()) -> DataFrame:
     )
 
 
+def wave_trials(waves: DataFrame, trials: DataFrame) -> DataFrame:
+    """The ledger rows of each wave: (experiment, wave_id, seq, run_id, qini_auc, policy_gain).
+
+    A wave that lists ``trial_ids`` covers those of its experiment's trials, one that
+    lists none the whole experiment. Lists become rows, so membership is an equi-join.
+    """
+    ledger = trials.select(EXPERIMENT, "seq", "run_id", "qini_auc", "policy_gain")
+    listed = F.coalesce(F.size("trial_ids"), F.lit(0)) > 0
+    chosen = waves.filter(listed).select(EXPERIMENT, "wave_id", F.explode(F.array_distinct("trial_ids")).alias("run_id"))
+    whole = waves.filter(~listed).select(EXPERIMENT, "wave_id")
+    return chosen.join(ledger, [EXPERIMENT, "run_id"]).unionByName(whole.join(ledger, EXPERIMENT))
+
+
 def wave_evidence(waves: DataFrame, trials: DataFrame) -> DataFrame:
-    """Champion, runner-up and best policy gain of every wave's experiment.
+    """Champion, runner-up and best policy gain of every wave, from its own trials.
 
-    The two best scores come from a row number limited to 2, the policy gain from
-    the champion's own map, so no experiment's trials meet in one task.
+    Waves with ``trial_ids`` and ``champion_run_id`` are judged by the champion they name
+    (null where they name none, or one outside their trials) against the second best
+    finite score of their trials. Waves without these columns are judged by the two best
+    successful trials of their experiment. Row numbers are limited to 2, so no wave's
+    trials meet in one task.
     """
-    score_order = Window.partitionBy(EXPERIMENT).orderBy(F.col("qini_auc").desc(), "seq")
+    wave = [EXPERIMENT, "wave_id"]
+    scoped = {"trial_ids", "champion_run_id"} <= set(waves.columns)
+    if scoped:
+        pool = wave_trials(waves, trials)
+        named = waves.select(*wave, F.col("champion_run_id").alias("run_id"))
+        champion = (
+            pool.join(named, [*wave, "run_id"])
+            .groupBy(*wave)
+            .agg(F.min_by(F.struct("qini_auc", "policy_gain"), "seq").alias("c"))
+            .select(*wave, F.col("c.qini_auc").alias("champion_metric"), F.col("c.policy_gain").alias("policy_gain"))
+        )
+    else:
+        pool = waves.select(*wave).join(trials.filter(success()), EXPERIMENT)
+    finite = F.col("qini_auc").isNotNull() & ~F.isnan("qini_auc") & (F.abs("qini_auc") < float("inf"))
+    order = Window.partitionBy(*wave).orderBy(F.col("qini_auc").desc(), "seq")
     top = (
-        trials.filter(success() & F.col("qini_auc").isNotNull())
-        .select(EXPERIMENT, "seq", "run_id", "qini_auc", "policy_gain")
-        .withColumn("i", F.row_number().over(score_order))
+        pool.filter(finite)
+        .select(*wave, "seq", "run_id", "qini_auc", "policy_gain")
+        .withColumn("i", F.row_number().over(order))
         .filter("i <= 2")
     )
+    second = top.filter("i = 2").select(*wave, F.col("qini_auc").alias("runner_up_metric"))
+    if not scoped:
+        champion = top.filter("i = 1").select(
+            *wave, F.col("run_id").alias("champion_run_id"), F.col("qini_auc").alias("champion_metric"), "policy_gain"
+        )
     gain = F.max_by(F.struct("key", "gain"), F.struct("gain", -F.col("position")))
-    pair = top.groupBy(EXPERIMENT).agg(
-        F.max(F.when(F.col("i") == 1, F.col("run_id"))).alias("champion_run_id"),
-        F.max(F.when(F.col("i") == 1, F.col("qini_auc"))).alias("champion_metric"),
-        F.max(F.when(F.col("i") == 2, F.col("qini_auc"))).alias("runner_up_metric"),
-    )
     best_gain = (
-        gain_rows(top.filter("i = 1"), [EXPERIMENT])
-        .filter(F.col("gain").isNotNull())
-        .groupBy(EXPERIMENT)
+        gain_rows(champion, wave)
+        .filter(F.col("gain").isNotNull() & ~F.isnan("gain") & (F.abs("gain") < float("inf")))
+        .groupBy(*wave)
         .agg(gain.alias("g"))
-        .select(EXPERIMENT, F.col("g.key").alias("best_policy_gain_key"), F.col("g.gain").alias("best_policy_gain"))
+        .select(*wave, F.col("g.key").alias("best_policy_gain_key"), F.col("g.gain").alias("best_policy_gain"))
     )
     return (
-        waves.join(pair, EXPERIMENT, "left")
-        .join(best_gain, EXPERIMENT, "left")
+        waves.join(champion.drop("policy_gain"), wave, "left")
+        .join(second, wave, "left")
+        .join(best_gain, wave, "left")
         .withColumn("metric_delta", F.round(F.col("champion_metric") - F.col("runner_up_metric"), 6))
     )
 

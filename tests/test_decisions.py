@@ -1,5 +1,7 @@
 """Splits, folds, policies, robustness and trial-table rules."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,14 @@ def test_rank_test_p_value(spark):
     assert found["flat"]["p_value"] is None or found["flat"]["p_value"] == 1.0
 
 
+def test_two_sided_p_follows_erfc(spark):
+    zs = [0.0, 1e-9, 0.1, 0.5, 1.0, 1.96, 2.5758, 4.0, 8.0, 30.0, -1.5, None]
+    found = spark.createDataFrame([(z,) for z in zs], "z double").select("z", policy.two_sided_p(F.col("z")).alias("p")).collect()
+    for row in found:
+        want = None if row["z"] is None else math.erfc(abs(row["z"]) / math.sqrt(2))
+        assert row["p"] == (None if want is None else pytest.approx(want, rel=2e-7, abs=1e-300))
+
+
 RUNS = "run_id string, client_id string, uplift double"
 
 
@@ -273,3 +283,29 @@ def test_negative_champion_contradicts(spark):
     ledger = spark.createDataFrame([trial(1, -0.05, policy_gain={"top_10pct_zero": -1.0})], TRIAL)
     row = trials.wave_outcomes(trials.wave_evidence(waves, ledger)).first()
     assert row["hypothesis_status"] == "contradicted" and row["should_stop"] and row["next_action"] == "stop"
+
+
+def test_wave_covers_its_own_trials_and_champion(spark):
+    """The best trial of the experiment (4) is foreign to wave a; wave b lists none; c and d name no champion of theirs."""
+    schema = WAVE + ", trial_ids array<string>, champion_run_id string"
+    runs = [trial(i, q, policy_gain={"k": float(i)}) for i, q in enumerate([0.1, 0.3, None, 0.9], start=1)]
+    ledger = spark.createDataFrame(runs, TRIAL)
+    ids = {r["seq"]: r["run_id"] for r in ledger.collect()}
+    common = ("completed", None, False, ["go"], 0, False, None)
+    waves = spark.createDataFrame(
+        [
+            ("e", "a", *common, [ids[1], ids[2], ids[3], ids[2], "unknown"], ids[1]),
+            ("e", "b", *common, [], ids[2]),
+            ("e", "c", *common, [ids[1]], None),
+            ("e", "d", *common, [ids[1], ids[2]], ids[4]),
+            ("other", "x", *common, [ids[1]], ids[1]),
+            ("e", "n", *common, None, ids[3]),
+        ],
+        schema,
+    )
+    got = {r["wave_id"]: r for r in trials.wave_evidence(waves, ledger).collect()}
+    assert {w: (r["champion_metric"], r["runner_up_metric"], r["metric_delta"]) for w, r in got.items()} == {
+        "a": (0.1, 0.1, 0.0), "b": (0.3, 0.3, 0.0), "c": (None, None, None), "d": (None, 0.1, None), "x": (None, None, None),
+        "n": (None, 0.3, None),
+    }
+    assert got["a"]["best_policy_gain"] == 1.0 and got["b"]["best_policy_gain"] == 2.0 and got["d"]["best_policy_gain"] is None
