@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from nudgeframe.catalog.decision_queries import SPLIT_SQL
 from nudgeframe.catalog.feature_queries import client_sql
 from nudgeframe.catalog.inputs import PINNED
+from nudgeframe.catalog.metric_queries import CUTOFFS_SQL, ranked_sql, rate_sql, top_sql
 from nudgeframe.catalog.registry import Area
 from nudgeframe.config import RECIPE_FAMILIES, Recipe, recipe_family
-from nudgeframe.operators import crossval, explain, facts, features, learners, metrics, policy, split
+from nudgeframe.operators import crossval, explain, facts, features, learners, policy, quality, split
 from nudgeframe.operators.learners import TrialSpec
 from nudgeframe.operators.logistic import LinearModel
 from nudgeframe.session import cut_lineage, shared_folder
@@ -524,9 +525,39 @@ def split_roundtrip(study):
     return study.spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@AREA.query("trial_outputs")
+OUTPUT_TOTALS = {
+    "scores": ("uplift", 4), "diagnostics": ("treated", 0), "metrics": ("n", 0), "uplift_at_k": ("uplift_at_k", 4),
+    "policy_gain": ("gain", 4), "decile_table": ("n", 0), "qini_curve": ("qini", 3), "uplift_curve": ("uplift", 3),
+}
+OUTPUTS_SQL = f"""{SPLIT_SQL},
+    ms as (select s.split as surface, m.* from model_scores m join (select client_id, split from split where split <> 'train') s using (client_id)),
+    runs as (select surface, run_id, count(*) as n, sum(treatment_flg) as nt from ms group by all),
+    ok as (select ms.* from ms join runs using (surface, run_id) where nt between 1 and runs.n - 1),
+    {ranked_sql("ok", "surface, run_id").strip().removeprefix("with")},
+    k as (select surface, run_id, cutoff, max(n) as n, {rate_sql(top_sql("cutoff"))} as r from rk, {CUTOFFS_SQL} group by all)
+    select surface, 'scores' as table_name, run_id, count(*) as n_rows, round(sum(uplift)::double, 4) as total from ms group by all
+    union all select surface, 'diagnostics', run_id, 1, nt::double from runs
+    union all select surface, 'metrics', run_id, 1, case when nt between 1 and n - 1 then n end::double from runs
+    union all select surface, 'uplift_at_k', run_id, count(*), round(sum(r), 4) from k group by all
+    union all select surface, 'policy_gain', run_id, count(*), round(sum(round(r * ceil(n * cutoff) - ceil(n * cutoff) * cost, 6)), 4)
+      from k, (values (0.0::double), (0.05::double), (0.2::double)) c(cost) group by all
+    union all select surface, 'decile_table', run_id, least(10, max(n)), max(n)::double from rk group by all
+    union all select surface, 'qini_curve', run_id, count(*), round(sum(qini), 3) from pts group by all
+    union all select surface, 'uplift_curve', run_id, count(*), round(sum(uplift_rate), 3) from pts group by all"""
+
+
+@AREA.query("trial_outputs", "train model_scores", OUTPUTS_SQL)
 def trial_outputs(study):
-    outputs = metrics.evaluate(study.model_scores, by=["run_id"])
+    """Every table of the validation and the held-out surface, as read back: rows and a total per run."""
     folder = artifacts.scratch_folder(study.spark)
-    paths = artifacts.write_trial_outputs(outputs, folder)
-    return study.spark.read.parquet(paths["decile_table"])
+    parts = split.stratified_split(study.train).select("client_id", "split")
+    found = []
+    for surface in ("validation", "test"):
+        scores = study.model_scores.join(parts.filter(F.col("split") == surface).select("client_id"), "client_id")
+        artifacts.write_trial_outputs(scores, folder, surface)
+        tables = artifacts.read_trial_outputs(study.spark, folder, surface)
+        for name, (column, digits) in OUTPUT_TOTALS.items():
+            total = F.round(F.sum(F.col(column).cast("double")), digits).alias("total")
+            sums = tables[name].groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"), total)
+            found.append(sums.select(F.lit(surface).alias("surface"), F.lit(name).alias("table_name"), "run_id", "n_rows", "total"))
+    return quality.union(found)

@@ -377,22 +377,29 @@ def metric_bundle(scores: DataFrame, by=(), cutoffs=(0.05, 0.10, 0.20, 0.30)) ->
     return areas.withColumn("normalized_qini_auc", normal.scalar())
 
 
+def sound_scores(scores: DataFrame, by) -> DataFrame:
+    """The rows of groups whose scores break no rule."""
+    sound = score_problems(scores, by).filter("problem is null").select(*[F.col(c).alias(f"__ok_{c}") for c in by])
+    same = reduce(lambda a, b: a & b, [scores[c].eqNullSafe(sound[f"__ok_{c}"]) for c in by])
+    return scores.join(sound, same, "left_semi")
+
+
 def metric_bundle_with_problems(scores: DataFrame, by, cutoffs=(0.05, 0.10, 0.20, 0.30)) -> DataFrame:
     """``metric_bundle`` for groups that can be judged; the others have null metrics and their ``problem``."""
     judged = score_problems(scores, by).select(*by, "problem")
-    sound = judged.filter("problem is null").select(*[F.col(c).alias(f"__ok_{c}") for c in by])
-    same = reduce(lambda a, b: a & b, [scores[c].eqNullSafe(sound[f"__ok_{c}"]) for c in by])
-    bundle = metric_bundle(scores.join(sound, same).select(*scores.columns), by, cutoffs)
-    return bundle.join(judged, list(by), "right")
+    return metric_bundle(sound_scores(scores, by), by, cutoffs).join(judged, list(by), "right")
 
 
 def evaluate(scores: DataFrame, policy: EvalPolicy = EvalPolicy(), by=()) -> dict[str, DataFrame]:
     """Every metric, curve and table of a ranking as lazy DataFrames.
 
-    Write or persist ``scores`` first when they come from a fitted model.
+    Write or persist ``scores`` first when they come from a fitted model. Of groups that
+    cannot be judged only the metrics speak, by their ``problem``; a single ranking fails.
     """
+    metrics = metric_bundle_with_problems(scores, by, policy.cutoffs) if by else metric_bundle(scores, by, policy.cutoffs)
+    scores = sound_scores(scores, by) if by else scores
     return {
-        "metrics": metric_bundle(scores, by, policy.cutoffs),
+        "metrics": metrics,
         "uplift_at_k": uplift_at_k(scores, policy.cutoffs, by),
         "policy_gain": policy_gain(scores, policy, by),
         "decile_table": decile_table(scores, by=by),

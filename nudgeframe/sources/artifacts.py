@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from nudgeframe.config import Columns, Recipe, stable_hash
+from nudgeframe.config import Columns, EvalPolicy, Recipe, stable_hash
 from nudgeframe.functions import clean
-from nudgeframe.operators import facts, features, quality
+from nudgeframe.operators import facts, features, metrics, quality
 from nudgeframe.session import shared_folder
 
 METADATA_SCHEMA = (
@@ -154,14 +154,47 @@ def write_split(split: DataFrame, path: str, file_format: str = "parquet") -> st
     return path
 
 
-def write_trial_outputs(outputs: dict[str, DataFrame], folder: str, surface: str = "validation") -> dict[str, str]:
-    """One table per output (scores, metrics, curves, deciles), partitioned by run."""
-    paths = {}
-    for name, df in outputs.items():
-        path = f"{folder}/{surface}/{name}"
-        df.write.mode("overwrite").partitionBy("run_id").parquet(path)
-        paths[name] = path
-    return paths
+MANIFEST_SCHEMA = "table_name string, path string, n_rows long, columns array<string>"
+
+
+def _write_counted(table: DataFrame, path: str) -> int:
+    """Write a table by run; its rows are counted by the write itself."""
+    seen = Observation()
+    table.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite").partitionBy("run_id").parquet(path)
+    return seen.get["n_rows"]
+
+
+def write_trial_outputs(scores: DataFrame, folder: str, surface: str = "validation", policy: EvalPolicy = EvalPolicy()) -> None:
+    """Customer scores, their diagnostics and all tables judged from them, partitioned by run.
+
+    The scores are written first and everything else is judged from the written rows. A
+    manifest with the row count of every table comes last: where it is, the surface
+    (validation, held-out test, ...) is complete.
+    """
+    spark, base = scores.sparkSession, f"{folder}/{surface}"
+    counts = {"scores": _write_counted(scores, f"{base}/scores")}
+    # Partition values would be guessed: run ids are text.
+    written = spark.read.schema(scores.schema).parquet(f"{base}/scores")
+    tables = {"diagnostics": metrics.score_problems(written, ["run_id"])} | metrics.evaluate(written, policy, ["run_id"])
+    counts |= {name: _write_counted(table, f"{base}/{name}") for name, table in tables.items()}
+    columns = {"scores": scores.columns} | {name: table.columns for name, table in tables.items()}
+    rows = [(name, f"{base}/{name}", n, columns[name]) for name, n in counts.items()]
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{base}/manifest")
+
+
+def read_trial_outputs(spark: SparkSession, folder: str, surface: str = "validation") -> dict[str, DataFrame]:
+    """The tables of a complete surface by name, and its ``manifest``."""
+    try:
+        manifest = spark.read.schema(MANIFEST_SCHEMA).json(f"{folder}/{surface}/manifest")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            raise ValueError(f"the outputs of {surface} in {folder} are missing or unfinished") from error
+        raise
+    found = {"manifest": manifest}
+    for row in manifest.collect():  # one row a table
+        table = spark.read.parquet(row["path"])
+        found[row["table_name"]] = table.select(*[F.col(c).cast("string").alias(c) if c == "run_id" else F.col(c) for c in row["columns"]])
+    return found
 
 
 def write_submission(scores: DataFrame, path: str, columns: Columns = Columns()) -> str:

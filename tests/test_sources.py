@@ -110,3 +110,20 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session)
+
+
+def test_trial_outputs_count_their_rows_and_isolate_bad_runs(spark, tmp_path):
+    rows = [(run, f"c{i}", i % 2, i % 3 % 2, float(i % 7)) for run in ("1", "02") for i in range(40)]
+    rows += [("one_arm", f"c{i}", 1, 0, 0.5) for i in range(5)]
+    scores = spark.createDataFrame(rows, "run_id string, client_id string, treatment_flg int, target int, uplift double")
+    folder = str(tmp_path)
+    with pytest.raises(ValueError, match="unfinished"):
+        artifacts.read_trial_outputs(spark, folder)
+    artifacts.write_trial_outputs(scores, folder)
+    found = artifacts.read_trial_outputs(spark, folder)
+    listed = {r["table_name"]: r["n_rows"] for r in found.pop("manifest").collect()}
+    assert listed == {name: table.count() for name, table in found.items()}
+    assert sorted(map(tuple, found["scores"].collect())) == sorted(rows)
+    problems = {r["run_id"]: (r["problem"], r["n"]) for r in found["metrics"].collect()}
+    assert problems == {"1": (None, 40), "02": (None, 40), "one_arm": ("both arms are required", None)}
+    assert listed["decile_table"] == 20 and listed["qini_curve"] == 80 and listed["diagnostics"] == 3
