@@ -20,6 +20,7 @@ from nudgeframe.operators.learners import TrialSpec
 from nudgeframe.operators.logistic import LinearModel
 from nudgeframe.session import cut_lineage, shared_folder
 from nudgeframe.sources import artifacts, ledger
+from nudgeframe.sources import tables as source_tables
 
 AREA = Area()
 
@@ -159,11 +160,15 @@ def _tables(study):
     }
 
 
-def _labelled(study):
-    """Labelled features of the model recipe, from an artifact named by the contents of all tables."""
+def _model_artifact(study):
     folder = f"{shared_folder(study.spark)}/features"
     tables = _tables(study)
-    built = artifacts.build_artifacts([MODEL_RECIPE], tables, folder, artifacts.dataset_fingerprint(tables))[0]
+    return artifacts.build_artifacts([MODEL_RECIPE], tables, folder, artifacts.dataset_fingerprint(tables))[0]
+
+
+def _labelled(study, built=None):
+    """Labelled features of the model recipe, from an artifact named by the contents of all tables."""
+    built = built or _model_artifact(study)
     return features.labelled_features(study.spark.read.parquet(built["artifact_path"]), study.train)
 
 
@@ -287,6 +292,64 @@ def champion_test_once(study):
     return crossval.select_and_open_test(_labelled(study), specs, top_k=3, n_folds=5)["test"]
 
 
+def _selection(study):
+    """The stages of a selection over all linear families, kept by artifact and settings: a second query resumes the first."""
+    built = _model_artifact(study)
+    specs = [_spec("random"), *[_spec(family) for family in LINEAR_FAMILIES]]
+    data = built["feature_artifact_id"]
+    folder = f"{shared_folder(study.spark)}/selection-{crossval.selection_settings(specs, data)}"
+    return crossval.staged_selection(_labelled(study, built), specs, folder, data)
+
+
+@AREA.query("clean_selection")
+def clean_selection(study):
+    """Screened runs, finalists over folds, their tuned settings, the champion and its one test row."""
+    return _selection(study)
+
+
+@AREA.query(
+    "selection_stages",
+    "train",
+    SPLIT_SQL
+    + """, n as (select count(*) filter (where split = 'validation') as va, count(*) filter (where split = 'test') as te, count(*) as n from split)
+    select stage, cast(runs as bigint) as n_runs, cast(case stage when 'screen' then va when 'test' then te else n - te end as bigint) as n_customers
+    from n, (values ('screen', 5), ('folds', 3), ('tuned', 3), ('champion', 1), ('test', 1)) v(stage, runs)""",
+)
+def selection_stages(study):
+    """Runs and judged customers of every stage; each run of a stage is judged on the same customers."""
+    rows = _selection(study).filter("status = 'success'").groupBy("stage", "n").agg(F.count(F.lit(1)).alias("n_runs"))
+    return rows.select("stage", "n_runs", F.col("n").alias("n_customers"))
+
+
+TRIAL_ROWS = (("random", "logistic_regression"), *[(family, "logistic_regression") for family in LINEAR_FAMILIES],
+              ("two_model", "random_forest"), ("response_model", "gradient_boosting"))
+TRIAL_NAMES_SQL = ", ".join(f"('{family}_{estimator}')" for family, estimator in TRIAL_ROWS)
+
+
+@AREA.query(
+    "trial_rows",
+    "train",
+    SPLIT_SQL
+    + f""" select run_id, 'success' as status, count(*) as n_rows, sum(treatment_flg) as treated, sum(target) as responders, count(*) as in_range
+    from split, (values {TRIAL_NAMES_SQL}) v(run_id) where split = 'validation' group by run_id""",
+)
+def trial_rows(study):
+    """The validation rows every learner scores: each customer once, scores within their range."""
+    batch = learners.run_trials(_labelled(study), [_spec(family, estimator) for family, estimator in TRIAL_ROWS])
+    states = study.spark.createDataFrame([(r["run_id"], r["status"]) for r in batch.records], "run_id string, status string")
+    rows = batch.scores.groupBy("run_id").agg(
+        F.count_distinct("client_id").alias("n_rows"), F.sum("treatment_flg").alias("treated"),
+        F.sum("target").alias("responders"), F.count_if(F.col("uplift").between(-1, 1)).alias("in_range"),
+    )
+    return states.join(rows, "run_id", "left")
+
+
+@AREA.query("submission_rows", "scoring", "select client_id, true as in_range from scoring")
+def submission_rows(study):
+    """The rows of a written submission: every scoring customer once, with a score within its range."""
+    return submission(study).select("client_id", F.col("uplift").between(-1, 1).alias("in_range"))
+
+
 def _fitted(study, family="two_model", estimator="logistic_regression"):
     parts = cut_lineage(split.stratified_split(_labelled(study)))
     model = learners.fit_uplift(parts.filter("split = 'train'"), family, estimator)
@@ -525,6 +588,64 @@ def split_roundtrip(study):
     return study.spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@AREA.query(
+    "modeling_parts",
+    "clients train purchases",
+    SPLIT_SQL
+    + """, sums as (select client_id, round(sum(purchase_sum), 2) as spent, round(sum(regular_points_received), 2) as points from purchases group by client_id)
+    select split, client_id, treatment_flg, target, age::double as age, datediff('day', first_issue_date::date, first_redeem_date::date)::double as redeem_delay,
+      spent, points from split join clients using (client_id) left join sums using (client_id)""",
+)
+def modeling_parts(study):
+    """The modeling table of every part, as read back after its manifest was written."""
+    folder = artifacts.scratch_folder(study.spark)
+    labelled = _plain_features(study).withColumn("redeem_delay", F.col("redeem_delay").cast("double"))
+    artifacts.write_modeling_parts(labelled, folder)
+    parts = [artifacts.read_modeling_part(study.spark, folder, p).withColumn("split", F.lit(p)) for p in artifacts.SPLIT_PARTS]
+    return quality.union(parts)
+
+
+CSV_COLUMNS = ("client_id", "age", "first_issue_date", "gender")
+CSV_KINDS = {"age": "number", "first_issue_date": "timestamp"}
+CSV_SQL = """
+    k as (select client_id, cast(client_id as bigint) as k, case when k % 23 = 7 then '' else client_id end as id,
+      case when k % 13 = 2 then 'unknown' else coalesce(cast(cast(age as bigint) as varchar), '') end as age,
+      case when k % 11 = 4 then 'never' else coalesce(strftime(first_issue_date, '%Y-%m-%d'), '') end as issued, coalesce(gender, '') as gender from clients),
+    l as (select *, case when k % 19 = 5 then client_id when k % 17 = 3 then concat_ws(',', id, age, issued, gender, 'moved') end as line from k),
+    p as (select 'wrong_number_of_fields' as problem, line as example from l where line is not null
+      union all select 'missing_key', null from l where line is null and id = ''
+      union all select 'unreadable_age', nullif(id, '') from l where line is null and age = 'unknown'
+      union all select 'unreadable_first_issue_date', nullif(id, '') from l where line is null and issued = 'never'
+      union all select 'readable', null from l where line is null and id <> '' and age <> 'unknown' and issued <> 'never')"""
+
+
+@AREA.query(
+    "csv_read_problems",
+    "clients",
+    f"with {CSV_SQL} select 'clients' as table_name, problem, count(*) as n_rows, min(example) as example from p group by problem",
+)
+def csv_read_problems(study):
+    """Clients written as CSV, some lines of them broken, and what reading finds."""
+    key = F.col("client_id").cast("long")
+    fields = [
+        F.when(key % 23 == 7, "").otherwise(F.col("client_id")),
+        F.when(key % 13 == 2, "unknown").otherwise(F.coalesce(F.col("age").cast("long").cast("string"), F.lit(""))),
+        F.when(key % 11 == 4, "never").otherwise(F.coalesce(F.date_format("first_issue_date", "yyyy-MM-dd"), F.lit(""))),
+        F.coalesce("gender", F.lit("")),
+    ]
+    line = F.when(key % 19 == 5, F.col("client_id")).when(key % 17 == 3, F.concat_ws(",", *fields, F.lit("moved")))
+    lines = study.clients.select(line.otherwise(F.concat_ws(",", *fields)).alias(",".join(CSV_COLUMNS)))
+    path = f"{artifacts.scratch_folder(study.spark)}/clients"
+    lines.write.options(header=True, sep="\u0001").csv(path)  # whole lines: nothing is quoted
+    rows = source_tables.read_csv_lines(study.spark, path, CSV_COLUMNS)
+    found = source_tables.csv_problems(rows, "clients", "client_id", CSV_KINDS).drop("n_files")
+    kept = source_tables.readable_rows(rows, "client_id", CSV_KINDS).agg(
+        F.lit("clients").alias("table_name"), F.lit("readable").alias("problem"),
+        F.count("client_id").alias("n_rows"), F.lit(None).cast("string").alias("example"),
+    )
+    return found.unionByName(kept)
+
+
 OUTPUT_TOTALS = {
     "scores": ("uplift", 4), "diagnostics": ("treated", 0), "metrics": ("n", 0), "uplift_at_k": ("uplift_at_k", 4),
     "policy_gain": ("gain", 4), "decile_table": ("n", 0), "qini_curve": ("qini", 3), "uplift_curve": ("uplift", 3),

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nudgeframe.config import Columns, EvalPolicy, SplitPolicy
+from nudgeframe.config import Columns, EvalPolicy, SplitPolicy, stable_hash
 from nudgeframe.functions import clean
 from nudgeframe.operators import metrics
 from nudgeframe.operators.features import feature_columns
-from nudgeframe.operators.learners import TrialSpec, fit_linear, fit_uplift, run_trials, scored, trial_results
+from nudgeframe.operators.learners import TrialSpec, fit_linear, fit_uplift, run_trials, scored, trial_results, tuning_specs
 from nudgeframe.operators.quality import union
 from nudgeframe.operators.split import kfold, stratified_split
 from nudgeframe.operators.trials import fold_summary
 from nudgeframe.plans.selection import medians
 from nudgeframe.session import cut_lineage
+from nudgeframe.sources.stages import StageRecord
 
 
 def fold_models(folds: DataFrame, specs: list[TrialSpec], n_folds: int, seed: int, columns: Columns = Columns()) -> dict:
@@ -170,3 +173,121 @@ def select_and_open_test(
     model = fit_uplift(pool, winner.family, winner.estimator, winner.params, winner.split_seed, columns)
     test = scored(model, parts.filter("split = 'test'"), columns).select(F.lit(winner.run_id).alias("run_id"), "*")
     return {"validation": results, "leaderboard": board, "test_scores": test, "test": metrics.metric_bundle(test, ["run_id"])}
+
+
+SELECTION_STAGES = ("screen", "folds", "tuned", "champion", "test")
+_CHOSEN = "normalized_qini_auc"
+
+
+def selection_settings(
+    specs: list[TrialSpec], data: str, top_k: int = 3, n_folds: int = 5, policy: SplitPolicy = SplitPolicy(), fold_seed: int = 20260501
+) -> str:
+    """A hash of all that a staged selection depends on; ``data`` names the labelled rows."""
+    return stable_hash([[asdict(s) for s in specs], data, top_k, n_folds, asdict(policy), fold_seed])
+
+
+def _stage_rows(specs: list[TrialSpec], judged: DataFrame) -> DataFrame:
+    """The runs of a stage with settings, state and result; ``judged`` has one row a run."""
+    rows = [(s.run_id, s.family, s.estimator, json.dumps(s.params, sort_keys=True), s.split_seed) for s in specs]
+    schema = "run_id string, uplift_learner_family string, base_estimator string, params string, split_seed int"
+    found = judged.select("run_id", "status", "error", "n", _CHOSEN, "deviation")
+    return judged.sparkSession.createDataFrame(rows, schema).join(found, "run_id")
+
+
+def _fold_stage(pool: DataFrame, specs: list[TrialSpec], n_folds: int, seed: int, columns: Columns) -> DataFrame:
+    """Every spec's mean over folds; one that fails leaves the others alone.
+
+    Logistic learners share their passes; other estimators are fitted one by one.
+    """
+    linear = [s for s in specs if s.family != "random" and s.estimator == "logistic_regression"]
+    failed, scores = {}, []
+    for group in ([linear] if linear else []) + [[s] for s in specs if s not in linear]:
+        try:
+            scores.append(fold_scores(pool, group, n_folds, seed, columns))
+        except Exception as error:  # one broken configuration must not end the stage
+            failed |= {s.run_id: str(error) for s in group}
+    state = pool.sparkSession.createDataFrame([(s.run_id, failed.get(s.run_id)) for s in specs], "run_id string, error string")
+    if not scores:
+        empty = {"n": F.lit(None).cast("long"), _CHOSEN: F.lit(None).cast("double"), "deviation": F.lit(None).cast("double")}
+        return _stage_rows(specs, state.withColumns(empty | {"status": F.lit("failed")}))
+    each = metrics.metric_bundle_with_problems(union(scores), ["run_id", "fold"])
+    found = each.groupBy("run_id").agg(
+        F.sum("n").alias("n"), F.min("problem").alias("problem"),
+        F.round(F.avg(_CHOSEN), 6).alias(_CHOSEN), F.round(F.stddev_samp(_CHOSEN), 6).alias("deviation"),
+    )
+    judged = state.join(found, "run_id", "left").withColumn("error", F.coalesce("error", "problem"))
+    return _stage_rows(specs, judged.withColumn("status", F.when(F.col("error").isNull(), "success").otherwise("failed")))
+
+
+def _best(table: DataFrame, k: int) -> list:
+    """The k best judged runs; the test part is not among what they are judged by."""
+    usable = table.filter((F.col("status") == "success") & (F.col("uplift_learner_family") != "random"))
+    rows = usable.orderBy(F.col(_CHOSEN).desc_nulls_last(), "run_id").limit(k).collect()
+    if not rows:
+        raise ValueError("no successful run to choose from")
+    return rows
+
+
+def _as_spec(row) -> TrialSpec:
+    return TrialSpec(row["run_id"], row["uplift_learner_family"], row["base_estimator"], json.loads(row["params"]), row["split_seed"])
+
+
+def staged_selection(
+    labelled: DataFrame,
+    specs: list[TrialSpec],
+    folder: str,
+    data: str,
+    top_k: int = 3,
+    n_folds: int = 5,
+    policy: SplitPolicy = SplitPolicy(),
+    fold_seed: int = 20260501,
+    columns: Columns = Columns(),
+) -> DataFrame:
+    """Screen, fold averages, tuning, champion and one look at the test part, as one table.
+
+    Every spec is judged on the validation part (screen); the ``top_k`` best that are not
+    random by folds of the train and validation parts (folds); the best of these of each
+    estimator with all parameter sets of its grid (tuned). The champion has the highest mean
+    of both; refitted on train and validation it is scored on the test part. Each stage is
+    written once to ``folder``: a rerun resumes behind the last one recorded, and once the
+    test part was opened, no earlier stage can be built again.
+    """
+    if any(s.split_seed != policy.seed for s in specs):
+        raise ValueError("all runs must share the split of the policy: another split would show them the test part")
+    settings = selection_settings(specs, data, top_k, n_folds, policy, fold_seed)
+    record = StageRecord(labelled.sparkSession, folder, settings, SELECTION_STAGES)
+    parts = None
+
+    def part(wanted: str) -> DataFrame:
+        nonlocal parts
+        parts = cut_lineage(stratified_split(labelled, policy, columns)) if parts is None else parts
+        return parts.filter(wanted).drop("split")
+
+    def screen():
+        results = trial_results(run_trials(labelled, specs, policy, columns=columns), labelled.sparkSession)
+        return _stage_rows(specs, results.withColumn("deviation", F.lit(None).cast("double")))
+
+    def tuned():
+        leaders = {}
+        for row in _best(record.table("folds"), top_k):
+            leaders.setdefault(row["base_estimator"], _as_spec(row))
+        grid = [s for leader in leaders.values() for s in tuning_specs(leader, (leader.split_seed,))]
+        return _fold_stage(part("split <> 'test'"), grid, n_folds, fold_seed, columns)
+
+    def champion():
+        both = record.table("folds").unionByName(record.table("tuned"))
+        return both.filter(F.col("run_id") == _best(both, 1)[0]["run_id"])
+
+    def test():
+        spec = _as_spec(record.table("champion").first())
+        model = fit_uplift(part("split <> 'test'"), spec.family, spec.estimator, spec.params, spec.split_seed, columns)
+        scores = scored(model, part("split = 'test'"), columns).select(F.lit(spec.run_id).alias("run_id"), "*")
+        state = {"status": F.lit("success"), "error": F.lit(None).cast("string"), "deviation": F.lit(None).cast("double")}
+        return _stage_rows([spec], metrics.metric_bundle(scores, ["run_id"]).withColumns(state))
+
+    def folds():
+        finalists = [_as_spec(row) for row in _best(record.table("screen"), top_k)]
+        return _fold_stage(part("split <> 'test'"), finalists, n_folds, fold_seed, columns)
+
+    builders = {"screen": screen, "folds": folds, "tuned": tuned, "champion": champion, "test": test}
+    return union([record.run(stage, builders[stage]).select(F.lit(stage).alias("stage"), "*") for stage in SELECTION_STAGES])

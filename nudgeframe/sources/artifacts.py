@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nudgeframe.config import Columns, EvalPolicy, Recipe, stable_hash
+from nudgeframe.config import Columns, EvalPolicy, Recipe, SplitPolicy, stable_hash
 from nudgeframe.functions import clean
 from nudgeframe.operators import facts, features, metrics, quality
+from nudgeframe.operators.split import stratified_split
 from nudgeframe.session import shared_folder
 
 METADATA_SCHEMA = (
@@ -158,10 +159,12 @@ MANIFEST_SCHEMA = "table_name string, path string, n_rows long, columns array<st
 
 
 def _write_counted(table: DataFrame, path: str) -> int:
-    """Write a table by run; its rows are counted by the write itself."""
-    seen = Observation()
-    table.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite").partitionBy("run_id").parquet(path)
-    return seen.get["n_rows"]
+    """Write a table by run and count what was written, which reads file footers only.
+
+    A session that ever used an Observation cannot score forests: their summaries hold it.
+    """
+    table.write.mode("overwrite").partitionBy("run_id").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path).count()
 
 
 def write_trial_outputs(scores: DataFrame, folder: str, surface: str = "validation", policy: EvalPolicy = EvalPolicy()) -> None:
@@ -182,14 +185,18 @@ def write_trial_outputs(scores: DataFrame, folder: str, surface: str = "validati
     spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{base}/manifest")
 
 
-def read_trial_outputs(spark: SparkSession, folder: str, surface: str = "validation") -> dict[str, DataFrame]:
-    """The tables of a complete surface by name, and its ``manifest``."""
+def _manifest(spark: SparkSession, path: str, what: str) -> DataFrame:
     try:
-        manifest = spark.read.schema(MANIFEST_SCHEMA).json(f"{folder}/{surface}/manifest")
+        return spark.read.schema(MANIFEST_SCHEMA).json(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            raise ValueError(f"the outputs of {surface} in {folder} are missing or unfinished") from error
+            raise ValueError(f"{what} are missing or unfinished") from error
         raise
+
+
+def read_trial_outputs(spark: SparkSession, folder: str, surface: str = "validation") -> dict[str, DataFrame]:
+    """The tables of a complete surface by name, and its ``manifest``."""
+    manifest = _manifest(spark, f"{folder}/{surface}/manifest", f"the outputs of {surface} in {folder}")
     found = {"manifest": manifest}
     for row in manifest.collect():  # one row a table
         table = spark.read.parquet(row["path"])
@@ -197,6 +204,40 @@ def read_trial_outputs(spark: SparkSession, folder: str, surface: str = "validat
     return found
 
 
+SPLIT_PARTS = ("train", "validation", "test")
+
+
+def write_modeling_parts(
+    labelled: DataFrame, folder: str, policy: SplitPolicy = SplitPolicy(), columns: Columns = Columns()
+) -> DataFrame:
+    """The modeling table of every part of a split, and a manifest of its parts.
+
+    The rows of each part, null ids and labels other than 0 and 1 are counted in what was
+    written, in one narrow scan. ``folder`` is a new one. Bad rows raise ValueError and leave it without a manifest,
+    which is written last: where it is, all parts are complete. Returns the manifest.
+    """
+    spark = labelled.sparkSession
+    path = write_split(stratified_split(labelled, policy, columns), f"{folder}/parts")
+    labels = [F.coalesce(F.col(c).cast("double").isin(0.0, 1.0), F.lit(False)) for c in (columns.treatment, columns.target)]
+    counts = [F.count_if(F.col("split") == part).alias(part) for part in SPLIT_PARTS]
+    bad = [F.count_if(F.col(columns.entity).isNull()).alias("null_ids"), F.count_if(~(labels[0] & labels[1])).alias("bad_labels")]
+    found = spark.read.parquet(path).agg(*counts, *bad).first()
+    if found["null_ids"] or found["bad_labels"]:
+        raise ValueError(f"modeling rows without an id: {found['null_ids']}, with bad labels: {found['bad_labels']}")
+    rows = [(part, f"{folder}/parts/split={part}", found[part], labelled.columns) for part in SPLIT_PARTS]
+    manifest = spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    return manifest
+
+
+def read_modeling_part(spark: SparkSession, folder: str, part: str) -> DataFrame:
+    """One part of a complete modeling table; a part without rows is an empty table."""
+    _manifest(spark, f"{folder}/manifest", f"the modeling parts in {folder}")
+    if part not in SPLIT_PARTS:
+        raise ValueError(f"no such part: {part}")
+    return spark.read.parquet(f"{folder}/parts").filter(F.col("split") == part).drop("split")
+
+
 def write_submission(scores: DataFrame, path: str, columns: Columns = Columns()) -> str:
     """Exactly (entity, score), as CSV with a header."""
     scores.select(columns.entity, columns.score).write.mode("overwrite").option("header", True).csv(path)

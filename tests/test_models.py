@@ -169,3 +169,35 @@ def test_an_empty_validation_part_is_replaced_by_the_test_part(planted):
     policy = learners.SplitPolicy(train=0.5, validation=0.0, test=0.5, min_rows_per_partition=1)
     batch = learners.run_trials(planted, [TrialSpec("a", "random")], policy)
     assert 550 <= batch.scores.count() <= 650
+
+
+def test_staged_selection_resumes_and_opens_the_test_part_once(planted, tmp_path, monkeypatch):
+    specs = [TrialSpec("r", "random"), TrialSpec("a", "two_model", params=FAST), TrialSpec("b", "class_transformation", params=FAST),
+             TrialSpec("bad", "two_model", "svm")]
+    monkeypatch.setitem(learners.TUNING_GRIDS, "logistic_regression", ({"C": 0.3, "max_iter": 10}, {"C": 3.0, "max_iter": 10}))
+    folder, real, opened = str(tmp_path), crossval.scored, []
+
+    def interrupted(*args):
+        opened.append(1)
+        if len(opened) == 1:
+            raise RuntimeError("lost")
+        return real(*args)
+
+    select = lambda: crossval.staged_selection(planted, specs, folder, "planted", top_k=2, n_folds=3)
+    monkeypatch.setattr(crossval, "scored", interrupted)
+    with pytest.raises(RuntimeError, match="lost"):
+        select()
+    monkeypatch.setattr(crossval, "run_trials", None)  # the screen is not built again
+    rows = select().collect()
+    by_stage = {stage: [r for r in rows if r["stage"] == stage] for stage in crossval.SELECTION_STAGES}
+    assert {stage: len(found) for stage, found in by_stage.items()} == {"screen": 4, "folds": 2, "tuned": 2, "champion": 1, "test": 1}
+    assert {r["run_id"]: r["status"] for r in by_stage["screen"]} == {"r": "success", "a": "success", "b": "success", "bad": "failed"}
+    assert {r["n"] for r in by_stage["folds"] + by_stage["tuned"]} == {1020} and by_stage["test"][0]["n"] == 180
+    best = max(by_stage["folds"] + by_stage["tuned"], key=lambda r: r["normalized_qini_auc"])
+    assert by_stage["champion"][0]["normalized_qini_auc"] == best["normalized_qini_auc"]
+    assert by_stage["test"][0]["run_id"] == by_stage["champion"][0]["run_id"]
+    assert sorted(select().collect()) == sorted(rows) and len(opened) == 2
+    with pytest.raises(ValueError, match="other settings"):
+        crossval.staged_selection(planted, specs, folder, "planted", top_k=1, n_folds=3)
+    with pytest.raises(ValueError, match="share the split"):
+        crossval.staged_selection(planted, [TrialSpec("a", "two_model", split_seed=7)], folder, "planted")

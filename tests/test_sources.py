@@ -10,6 +10,8 @@ from nudgeframe.config import Recipe
 from nudgeframe.operators import split
 from nudgeframe.session import shared_folder
 from nudgeframe.sources import artifacts, ledger
+from nudgeframe.sources import tables as source_tables
+from nudgeframe.sources.stages import StageRecord
 from tests.conftest import SMALL_DIR
 
 
@@ -127,3 +129,67 @@ def test_trial_outputs_count_their_rows_and_isolate_bad_runs(spark, tmp_path):
     problems = {r["run_id"]: (r["problem"], r["n"]) for r in found["metrics"].collect()}
     assert problems == {"1": (None, 40), "02": (None, 40), "one_arm": ("both arms are required", None)}
     assert listed["decile_table"] == 20 and listed["qini_curve"] == 80 and listed["diagnostics"] == 3
+
+
+def test_modeling_parts_are_complete_or_refused(spark, tmp_path):
+    rows = [(f"c{i}", i % 2, i // 2 % 2, float(i)) for i in range(40)]
+    schema = "client_id string, treatment_flg int, target int, x double"
+    folder = str(tmp_path / "good")
+    with pytest.raises(ValueError, match="unfinished"):
+        artifacts.read_modeling_part(spark, folder, "train")
+    manifest = artifacts.write_modeling_parts(spark.createDataFrame(rows, schema), folder)
+    listed = {r["table_name"]: r["n_rows"] for r in manifest.collect()}
+    parts = {p: artifacts.read_modeling_part(spark, folder, p) for p in artifacts.SPLIT_PARTS}
+    assert listed == {p: t.count() for p, t in parts.items()} and sum(listed.values()) == 40
+    assert sorted(map(tuple, artifacts.quality.union(parts.values()).collect())) == sorted(rows)
+    with pytest.raises(ValueError, match="no such part"):
+        artifacts.read_modeling_part(spark, folder, "holdout")
+    bad = str(tmp_path / "bad")
+    with pytest.raises(ValueError, match="without an id: 1, with bad labels: 2"):
+        artifacts.write_modeling_parts(spark.createDataFrame([*rows, (None, 1, None, 0.0), ("z", 1, 2, 0.0)], schema), bad)
+    with pytest.raises(ValueError, match="unfinished"):
+        artifacts.read_modeling_part(spark, bad, "train")
+
+
+def test_broken_csv_lines_become_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('client_id,age,day,city\n1,2,,M\n3\n4,5,,F,x\n,5,,\n\n6,"a b",2020-01-01,"F,G"\n')
+    (tmp_path / "b.csv").write_text("client_id,age,day,city\n7,nan,soon,\n8\n")
+    rows = source_tables.read_csv_lines(spark, str(tmp_path), ("client_id", "age", "day", "city"))
+    assert rows.count() == 7
+    kinds = {"age": "number", "day": "timestamp"}
+    found = {r["problem"]: tuple(r)[2:] for r in source_tables.csv_problems(rows, "t", "client_id", kinds).collect()}
+    assert found == {
+        "wrong_number_of_fields": (3, 2, "3"), "missing_key": (1, 1, None),
+        "unreadable_age": (2, 2, "6"), "unreadable_day": (1, 1, "7"),
+    }
+    assert [tuple(r) for r in source_tables.readable_rows(rows, "client_id", kinds).collect()] == [("1", "2", None, "M")]
+    assert source_tables.csv_problems(rows, "t", "client_id").count() == 2
+    assert source_tables.csv_problems(rows.limit(0), "t", "client_id", kinds).count() == 0
+    with pytest.raises(source_tables.TableReadError, match="missing"):
+        source_tables.read_csv_lines(spark, str(tmp_path / "none"), ("a",))
+
+
+def test_stages_are_written_once_in_order(spark, tmp_path):
+    record = StageRecord(spark, str(tmp_path), "s1", ("first", "second", "last"))
+    built = []
+
+    def build(n):
+        def table():
+            built.append(n)
+            return spark.range(n)
+
+        return table
+
+    with pytest.raises(ValueError, match=r"second comes after \['first'\]"):
+        record.run("second", build(2))
+    assert record.run("first", build(1)).count() == 1
+    assert record.run("first", build(9)).count() == 1 and built == [1]
+    again = StageRecord(spark, str(tmp_path), "s1", ("first", "second", "last"))
+    again.run("second", build(2))
+    again.run("last", build(3))
+    assert again.finished() == {"first": 1, "second": 2, "last": 3} and built == [1, 2, 3]
+    with pytest.raises(ValueError, match="other settings"):
+        StageRecord(spark, str(tmp_path), "s2", ("first", "second", "last")).finished()
+    (tmp_path / "record" / "second").rename(tmp_path / "gone")
+    with pytest.raises(ValueError, match=r"sealed since \['last'\]"):
+        again.run("second", build(2))
