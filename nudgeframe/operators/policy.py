@@ -273,11 +273,13 @@ def segment_rank_test(segmented: DataFrame, features: DataFrame, columns: list[s
         F.round(F.sum(n_a * value), 6).alias("sum_a"),
         F.round(F.sum((ties - n_a) * value), 6).alias("sum_b"),
         F.sum(ties.cast("double") * ties * ties - ties).alias("tie_term"),
+        F.count(F.lit(1)).alias("n_values"),
     ).filter((F.col("na") > 5) & (F.col("nb") > 5))
     na, nb = F.col("na"), F.col("nb")
     n = na + nb
     u = F.col("rank_sum") - na * (na + 1) / 2
-    variance = na * nb / 12 * (n + 1 - F.col("tie_term") / (n * (n - 1)))
+    # One value has no variance; in doubles the tie term of many rows leaves a remainder of either sign.
+    variance = F.when(F.col("n_values") > 1, na * nb / 12 * (n + 1 - F.col("tie_term") / (n * (n - 1))))
     # Continuity-corrected distance of the larger U from its mean.
     gap = F.greatest(u, na * nb - u) - na * nb / 2 - 0.5
     mean_a, mean_b = F.col("sum_a") / na, F.col("sum_b") / nb
