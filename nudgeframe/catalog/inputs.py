@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nudgeframe.functions import clean
+from nudgeframe.plans.sizing import spread, tasks_for
 
 _BASE = "1997-01-01 00:00:00"
 PINNED = "1998-06-30T00:00:00"
@@ -68,6 +69,8 @@ class Study:
             F.col("l_partkey").cast("string").alias("product_id"),
             F.col("l_quantity").alias("product_quantity"),
         )
+        tasks = tasks_for(lines)
+        lines, orders = (spread(side, "o_orderkey", tasks=tasks) for side in (lines, orders))
         return lines.join(orders, "o_orderkey").drop("o_orderkey")
 
     @property

@@ -9,7 +9,7 @@ from nudgeframe.config import Columns, Recipe
 from nudgeframe.functions import clean
 from nudgeframe.operators import facts
 from nudgeframe.operators.facts import ISSUE, KEY, TIME
-from nudgeframe.plans.sizing import fits_broadcast
+from nudgeframe.plans.sizing import fits_broadcast, spread, tasks_for
 from nudgeframe.plans.skew import skew_join
 
 # Output columns of one purchase block, before the suffix.
@@ -187,8 +187,12 @@ def product_aggregates(
         clean.number_or_zero(F.col("is_own_trademark")).alias("own"),
         clean.number_or_zero(F.col("is_alcohol")).alias("alcohol"),
     )
-    per_product = lines.groupBy(KEY, "product_id").agg(F.sum("product_quantity").alias("q"))
-    joined = skew_join(per_product, catalogue, ["product_id"], "left", [KEY], probe=probe)
+    # Lines of a client and product rarely repeat: they are dealt before they merge, and each
+    # later step keeps its number of tasks, so none holds more as the tables grow.
+    tasks = tasks_for(lines)
+    dealt = spread(lines.select(KEY, "product_id", "product_quantity"), KEY, "product_id", tasks=tasks)
+    per_product = dealt.groupBy(KEY, "product_id").agg(F.sum("product_quantity").alias("q"))
+    joined = skew_join(per_product, catalogue, ["product_id"], "left", [KEY], probe=probe, tasks=tasks)
     kinds = {"product": F.col("product_id"), **{k: F.col(k) for k in ("level_1", "segment", "brand")}}
     exploded = joined.select(
         KEY,
@@ -198,8 +202,8 @@ def product_aggregates(
         F.explode(
             F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])
         ).alias("item"),
-    )
-    per_value = exploded.groupBy(KEY, "item.kind", "item.value").agg(
+    ).select(KEY, "q", "own_q", "alcohol_q", "item.*")
+    per_value = spread(exploded, KEY, "kind", "value", tasks=tasks).groupBy(KEY, "kind", "value").agg(
         F.sum("q").alias("q"), F.sum("own_q").alias("own_q"), F.sum("alcohol_q").alias("alcohol_q")
     )
     is_product = F.col("kind") == "product"

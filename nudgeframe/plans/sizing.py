@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 
 SMALL_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 2_000_000
+#: Input bytes (as stored) for each task of a step whose rows widen or fill hash tables.
+TASK_BYTES = 4 * 1024 * 1024
 
 _SMALL_KEY = "spark.nudgeframe.smallBytes"
 _ROWS_KEY = "spark.nudgeframe.rowsPerTask"
+_TASK_KEY = "spark.nudgeframe.taskBytes"
 
 
 def _setting(df: DataFrame, key: str, default: int) -> int:
@@ -36,6 +39,24 @@ def is_small(df: DataFrame) -> bool:
     return input_bytes(df) <= _setting(df, _SMALL_KEY, SMALL_BYTES)
 
 
+def spread(df: DataFrame, *on: str, tasks: int | None = None) -> DataFrame:
+    """``df`` dealt by ``on`` over as many tasks as its input asks for, so that a task's share stays the same.
+
+    Adaptive execution merges small partitions by their compressed bytes, which says little
+    about the memory of sorts and hash tables; it leaves a stated number alone. Inputs
+    that the session's own number of partitions divides finely enough stay as they are.
+    ``tasks`` passes on a number found before.
+    """
+    tasks = tasks_for(df) if tasks is None else tasks
+    return df.repartition(tasks, *on) if tasks else df
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Number of tasks for steps over the input of ``df``, or 0 where Spark's own number will do."""
+    tasks = -(-input_bytes(df) // _setting(df, _TASK_KEY, TASK_BYTES))
+    return tasks if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark would broadcast ``df`` under its own threshold."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

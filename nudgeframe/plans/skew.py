@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nudgeframe.plans.sizing import fits_broadcast, is_small, rows_per_task
+from nudgeframe.plans.sizing import fits_broadcast, is_small, rows_per_task, spread
 from nudgeframe.session import cut_lineage
 
 _SALT = "__salt"
@@ -58,6 +58,7 @@ def skew_join(
     salt_by: list[str] | None = None,
     heavy: HeavyKeys | None = None,
     probe: DataFrame | None = None,
+    tasks: int = 0,
 ) -> DataFrame:
     """Join ``fact`` to ``dim``; rows of heavy keys are salted over many tasks.
 
@@ -66,21 +67,25 @@ def skew_join(
     of salts and only those keys' lookup rows are repeated. The table of heavy keys
     has a row for each key that fills a task; Spark broadcasts it under its own
     check, else it is joined by hash. Known heavy keys skip the search; ``probe``
-    names a cheaper frame to search in.
+    names a cheaper frame to search in. ``tasks`` is the number of tasks of a shuffled
+    join whose rows widen behind it (0: Spark's own).
     """
-    if is_small(fact) or fits_broadcast(dim):
+    if fits_broadcast(dim):
         return fact.join(dim, on, how)
+    if is_small(fact):
+        return spread(fact, *on, tasks=tasks).join(spread(dim, *on, tasks=tasks), on, how)
     if heavy is None:
         heavy = find_heavy_keys(fact if probe is None else probe, on)
     if not heavy.any:
-        return fact.join(dim, on, how)
-    spread = salt_by or [c for c in fact.columns if c not in on] or on
+        return spread(fact, *on, tasks=tasks).join(spread(dim, *on, tasks=tasks), on, how)
+    salted_by = salt_by or [c for c in fact.columns if c not in on] or on
     zero, salts = F.lit(0).cast("long"), F.col("__salts")
     salted = fact.join(heavy.table, F.xxhash64(*[fact[c] for c in on]) == F.col("__h"), "left").withColumn(
-        _SALT, F.when(salts.isNull(), zero).otherwise(F.pmod(F.xxhash64(*spread), salts))
+        _SALT, F.when(salts.isNull(), zero).otherwise(F.pmod(F.xxhash64(*salted_by), salts))
     )
     repeated = dim.join(heavy.table, F.xxhash64(*[dim[c] for c in on]) == F.col("__h"), "left").withColumn(
         _SALT, F.explode(F.when(salts.isNull(), F.array(zero)).otherwise(F.sequence(zero, salts - 1)))
     )
     salted, repeated = salted.drop("__h", "__salts"), repeated.drop("__h", "__salts")
+    salted, repeated = (spread(side, *on, _SALT, tasks=tasks) for side in (salted, repeated))
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)

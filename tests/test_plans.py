@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nudgeframe.operators.features import product_aggregates
 from nudgeframe.plans.distinct import distinct_counts
 from nudgeframe.plans.prefix import average_ranks, exact_quantiles, running
 from nudgeframe.plans.rank_correlation import spearman
+from nudgeframe.plans.sizing import tasks_for
 from nudgeframe.plans.skew import find_heavy_keys, skew_join
 
 
@@ -134,3 +136,26 @@ def test_distinct_counts_with_nulls_and_totals(spark):
     got = {r[0]: tuple(r)[1:] for r in distinct_counts(df, ["g"], kinds, totals).collect()}
     assert got == {"a": (1, 2, 2.0, 5.0, 2), None: (1, 1, 1.0, 1.0, 1), "b": (0, 0, None, None, 0)}
     assert [tuple(r) for r in distinct_counts(df.limit(0), [], kinds, totals).collect()] == [(0, 0, None, None, None)]
+
+
+def test_widening_steps_state_their_tasks(spark, split_small_inputs):
+    """Product steps over much input keep a number of tasks that grows with it; the rows stay the same."""
+    lines = spark.range(4000).select(
+        (F.col("id") % 37).cast("string").alias("client_id"), (F.col("id") % 101).cast("string").alias("product_id"),
+        (F.col("id") % 5).cast("double").alias("product_quantity"),
+    )
+    products = spark.range(90).select(
+        F.col("id").cast("string").alias("product_id"), (F.col("id") % 7).alias("level_1"), (F.col("id") % 11).alias("segment_id"),
+        (F.col("id") % 13).alias("brand_id"), (F.col("id") % 2).alias("is_own_trademark"), (F.col("id") % 3).alias("is_alcohol"),
+    )
+    plain = product_aggregates(lines, products, diversity=True)
+    want = sorted(map(tuple, plain.collect()))
+    spark.conf.set("spark.nudgeframe.taskBytes", "1000")
+    try:
+        dealt = product_aggregates(lines, products, diversity=True)
+        assert tasks_for(lines) == 32
+        plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") >= 3 and "], 32" in plan
+        assert sorted(map(tuple, dealt.collect())) == want
+    finally:
+        spark.conf.unset("spark.nudgeframe.taskBytes")
