@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nudgeframe.plans.selection import medians
+from nudgeframe.session import over_all_cores
 
 #: Largest change of a coefficient at which a fit ends.
 TOLERANCE = 1e-9
@@ -167,7 +168,7 @@ def fit_jobs(rows: DataFrame, columns: list[str], jobs: list[Job]) -> list[Linea
     cell = (F.col("arm") * folds + F.col("fold")).cast("int").alias("cell")
     rows = rows.filter(F.col("target").isNotNull() & F.col("arm").isNotNull())
     rows = rows.select(cell, *[F.col(c).cast("double").alias(c) for c in LABELS], *columns, F.col("arm").cast("double").alias(ARM))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = over_all_cores(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         seen = _moments(rows, inputs)
         cells = [[arm * folds + fold for arm, fold in job.cells] for job in jobs]

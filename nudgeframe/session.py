@@ -49,3 +49,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def over_all_cores(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cores, for frames that are read many times.
+
+    A split is laid out by its few strata, and adaptive execution merges narrow rows to few
+    partitions; a fit over them would leave most cores idle in every pass.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nudgeframe.functions import clean
-from nudgeframe.operators import crossval, explain, learners, metrics
+from nudgeframe.operators import crossval, explain, learners, logistic, metrics
 from nudgeframe.operators.learners import TrialSpec
 from nudgeframe.session import cut_lineage
 
@@ -201,3 +201,21 @@ def test_staged_selection_resumes_and_opens_the_test_part_once(planted, tmp_path
         crossval.staged_selection(planted, specs, folder, "planted", top_k=1, n_folds=3)
     with pytest.raises(ValueError, match="share the split"):
         crossval.staged_selection(planted, [TrialSpec("a", "two_model", split_seed=7)], folder, "planted")
+
+
+def test_fits_use_every_core(spark, planted, monkeypatch):
+    """A split is laid out by its few strata; the rows of a fit are dealt over the cores all the same."""
+    found = []
+
+    def note(rows, *_):
+        found.append(rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        raise InterruptedError
+
+    monkeypatch.setattr(learners, "_fit_pipeline", note)
+    monkeypatch.setattr(logistic, "_moments", note)
+    for estimator in ("gradient_boosting", "logistic_regression"):
+        with pytest.raises(InterruptedError):
+            learners.fit_uplift(planted.coalesce(1), "solo_model", estimator)
+    cores = spark.sparkContext.defaultParallelism
+    assert [len(rows) for rows in found] == [cores, cores]
+    assert all(max(r["n"] for r in rows) <= 2 * 1200 / cores for rows in found)

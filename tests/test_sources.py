@@ -193,3 +193,12 @@ def test_stages_are_written_once_in_order(spark, tmp_path):
     (tmp_path / "record" / "second").rename(tmp_path / "gone")
     with pytest.raises(ValueError, match=r"sealed since \['last'\]"):
         again.run("second", build(2))
+
+
+def test_fingerprint_adds_digests_as_longs(spark, tables):
+    """Decimals meet once a task, not once a row; the sums are those of the decimals."""
+    df = artifacts.content_fingerprint({"train": tables["train"]})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal(20,0)" in plan and not any("conv(" in line and "decimal" in line for line in plan.splitlines())
+    empty = artifacts.content_fingerprint({"t": tables["train"].filter("false")}).first()
+    assert tuple(empty) == ("t", 0, "0-0-0-0")
