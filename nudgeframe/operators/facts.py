@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nudgeframe.functions import clean
-from nudgeframe.plans.sizing import fits_broadcast, is_small
+from nudgeframe.plans.sizing import fits_broadcast, is_small, spread, tasks_for
 from nudgeframe.plans.skew import NONE, HeavyKeys, find_heavy_keys, skew_join
 
 KEY = "client_id"
@@ -101,7 +101,7 @@ def within_policy(
     facts: DataFrame, lookup: DataFrame, policy: str, salt_by=None, hot: HeavyKeys | None = None
 ) -> DataFrame:
     """Cohort rows allowed by the temporal policy."""
-    joined = skew_join(facts, lookup, [KEY], "inner", salt_by, hot)
+    joined = skew_join(facts, lookup, [KEY], "inner", salt_by, hot, tasks=tasks_for(facts))
     return joined.filter(temporal_condition(policy)).drop(ISSUE)
 
 
@@ -114,8 +114,9 @@ def until(facts: DataFrame, reference: str | None) -> DataFrame:
 
 def collapse(lines: DataFrame) -> DataFrame:
     """Purchase lines to transactions. Transaction attributes repeat on every
-    line, hence max; quantities add up. Null keys form groups of their own."""
-    return lines.groupBy(*TRANSACTION_KEY).agg(
+    line, hence max; quantities add up. Null keys form groups of their own.
+    Much input is dealt first over tasks that grow with it."""
+    return spread(lines, *TRANSACTION_KEY).groupBy(*TRANSACTION_KEY).agg(
         F.max("purchase_sum").alias("purchase_sum"),
         F.sum("product_quantity").alias("product_quantity"),
         *[F.max(name).alias(name) for name in POINTS],

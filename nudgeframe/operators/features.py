@@ -112,7 +112,7 @@ def purchase_aggregates(
             return F.lit(0.0)
         return F.when(time >= start, column).otherwise(F.lit(0.0))
 
-    per_transaction = transactions.groupBy(KEY, "transaction_id").agg(
+    per_transaction = spread(transactions, KEY, "transaction_id").groupBy(KEY, "transaction_id").agg(
         F.max(TIME).alias("last"),
         *[
             F.sum(gated(column, suffix, start)).alias(f"{name}_{suffix}")

@@ -18,6 +18,7 @@ TASK_BYTES = 4 * 1024 * 1024
 _SMALL_KEY = "spark.nudgeframe.smallBytes"
 _ROWS_KEY = "spark.nudgeframe.rowsPerTask"
 _TASK_KEY = "spark.nudgeframe.taskBytes"
+_UNKNOWN = 2**62
 
 
 def _setting(df: DataFrame, key: str, default: int) -> int:
@@ -52,9 +53,14 @@ def spread(df: DataFrame, *on: str, tasks: int | None = None) -> DataFrame:
 
 
 def tasks_for(df: DataFrame) -> int:
-    """Number of tasks for steps over the input of ``df``, or 0 where Spark's own number will do."""
-    tasks = -(-input_bytes(df) // _setting(df, _TASK_KEY, TASK_BYTES))
-    return tasks if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+    """Number of tasks for steps over the input of ``df``, or 0 where Spark's own number will do.
+
+    Rows that come from no stored table have no known size (Spark reports the largest
+    long) and keep Spark's number.
+    """
+    size = input_bytes(df)
+    tasks = -(-size // _setting(df, _TASK_KEY, TASK_BYTES))
+    return tasks if size < _UNKNOWN and tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
 
 
 def fits_broadcast(df: DataFrame) -> bool:

@@ -231,3 +231,20 @@ def test_a_client_listed_twice_keeps_the_earliest_issue_date(spark):
     out = {r["client_id"]: r for r in features.client_features(clients.select("client_id").distinct(), clients).collect()}
     assert len(out) == 2 and out["a"]["age_clean"] == 30.0 and out["a"]["issue_month"] == 1
     assert feature_modes.token_features("demographic", clients, spark.createDataFrame([], PURCHASE), "gender").count() == 2
+
+
+def test_tasks_stated_for_much_input_keep_the_rows(spark):
+    key = F.col("id")
+    numbers = {name: (key % 7).cast("double") for name in (*facts.POINTS, "purchase_sum", "product_quantity")}
+    lines = spark.range(2000).select(
+        (key % 13).cast("string").alias("client_id"), (key % 130).cast("string").alias("transaction_id"),
+        F.timestamp_seconds(key % 130).alias("transaction_datetime"), *[v.alias(k) for k, v in numbers.items()],
+    )
+    want = sorted(map(str, features.purchase_aggregates(facts.collapse(lines)).collect()))
+    spark.conf.set("spark.nudgeframe.taskBytes", "1000")
+    try:
+        dealt = features.purchase_aggregates(facts.collapse(lines))
+        assert dealt._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+        assert sorted(map(str, dealt.collect())) == want
+    finally:
+        spark.conf.unset("spark.nudgeframe.taskBytes")
