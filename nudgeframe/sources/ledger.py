@@ -34,7 +34,8 @@ def conform(records: DataFrame) -> DataFrame:
 
 
 def append(records: DataFrame, path: str) -> None:
-    conform(records).write.mode("append").json(path)
+    """Add records as gzipped JSON lines; parts written as plain text before stay readable beside them."""
+    conform(records).write.mode("append").json(path, compression="gzip")
 
 
 def load(spark: SparkSession, *paths: str) -> DataFrame:
@@ -58,7 +59,7 @@ def patched(ledger: DataFrame, patches: DataFrame, key: str = "run_id") -> DataF
 
 def rewrite(ledger: DataFrame, path: str) -> DataFrame:
     """Write a patched ledger as a new version and read it back."""
-    conform(ledger).write.mode("errorifexists").json(path)
+    conform(ledger).write.mode("errorifexists").json(path, compression="gzip")
     return load(ledger.sparkSession, path)
 
 

@@ -60,6 +60,19 @@ def test_ledger_append_load_and_patch(spark, tmp_path):
         ledger.patched(loaded, patches.withColumnRenamed("verdict", "mood"))
 
 
+def test_ledger_bytes_written_stay_below_the_records_text(spark, tmp_path):
+    rows = [(f"e{i % 50}", i, f"r{i}", "two_model_logistic_regression", {"top_10pct_zero_cost": float(i % 101)}) for i in range(2000)]
+    records = spark.createDataFrame(rows, "experiment_id string, seq long, run_id string, template_name string, policy_gain map<string,double>").coalesce(1)
+    ledger.conform(records).write.json(str(tmp_path / "ledger"))  # a ledger begun as plain text
+    text = sum(p.stat().st_size for p in (tmp_path / "ledger").glob("part-*"))
+    ledger.append(records.withColumn("seq", F.col("seq") + 2000), str(tmp_path / "ledger"))
+    loaded = ledger.load(spark, str(tmp_path / "ledger"))
+    assert sum(p.stat().st_size for p in (tmp_path / "ledger").glob("part-*")) < 1.25 * text
+    assert loaded.agg(F.count_distinct("seq")).first()[0] == 4000
+    ledger.rewrite(loaded.coalesce(1), str(tmp_path / "ledger_v2"))
+    assert sum(p.stat().st_size for p in (tmp_path / "ledger_v2").glob("part-*")) < 0.5 * text
+
+
 def test_plan_documents(spark, tmp_path):
     plan = {"plan_id": "p", "trial_specs": [{"spec_id": "s1", "params": {"max_depth": 3, "lr": 0.1}}, {"spec_id": "s2", "params": {}}]}
     (tmp_path / "plan.json").write_text(json.dumps(plan, indent=2))
