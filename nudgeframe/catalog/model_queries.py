@@ -160,16 +160,11 @@ def _tables(study):
     }
 
 
-def _model_artifact(study):
-    folder = f"{shared_folder(study.spark)}/features"
-    tables = _tables(study)
-    return artifacts.build_artifacts([MODEL_RECIPE], tables, folder, artifacts.dataset_fingerprint(tables))[0]
-
-
-def _labelled(study, built=None):
-    """Labelled features of the model recipe, from an artifact named by the contents of all tables."""
-    built = built or _model_artifact(study)
-    return features.labelled_features(study.spark.read.parquet(built["artifact_path"]), study.train)
+def _labelled(study):
+    """Labelled features of the model recipe, written once for the query."""
+    path = f"{artifacts.scratch_folder(study.spark)}/features"
+    ids = facts.cohort_ids(study.train, study.scoring, "train")
+    return features.labelled_features(artifacts.written_features(_features(study, "train"), ids, path), study.train)
 
 
 def _spec(family, estimator="logistic_regression", run_id=None):
@@ -293,12 +288,12 @@ def champion_test_once(study):
 
 
 def _selection(study):
-    """The stages of a selection over all linear families, kept by artifact and settings: a second query resumes the first."""
-    built = _model_artifact(study)
+    """The stages of a selection over all linear families, kept by the labelled rows and settings: a second query resumes the first."""
+    labelled = _labelled(study)
     specs = [_spec("random"), *[_spec(family) for family in LINEAR_FAMILIES]]
-    data = built["feature_artifact_id"]
+    data = artifacts.dataset_fingerprint({"labelled": labelled})
     folder = f"{shared_folder(study.spark)}/selection-{crossval.selection_settings(specs, data)}"
-    return crossval.staged_selection(_labelled(study, built), specs, folder, data)
+    return crossval.staged_selection(labelled, specs, folder, data)
 
 
 @AREA.query("clean_selection")

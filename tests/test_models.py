@@ -3,10 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from nudgeframe.catalog import registry
 from nudgeframe.functions import clean
 from nudgeframe.operators import crossval, explain, learners, logistic, metrics
 from nudgeframe.operators.learners import TrialSpec
 from nudgeframe.session import cut_lineage
+from nudgeframe.sources import artifacts
+from tests.conftest import SMALL_DIR
 
 FAST = {"max_iter": 10}
 
@@ -219,3 +222,12 @@ def test_fits_use_every_core(spark, planted, monkeypatch):
     cores = spark.sparkContext.defaultParallelism
     assert [len(rows) for rows in found] == [cores, cores]
     assert all(max(r["n"] for r in rows) <= 2 * 1200 / cores for rows in found)
+
+
+def test_learner_queries_do_not_digest_the_facts(spark, monkeypatch):
+    def digest(tables):
+        raise AssertionError(f"digest of {sorted(tables)}")
+
+    monkeypatch.setattr(artifacts, "content_fingerprint", digest)
+    scores = registry.queries()["learner_scores_response_model_logistic_regression"](spark, SMALL_DIR)
+    assert scores.count() > 0
