@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict
-from functools import reduce
+from functools import cache, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nudgeframe.config import Columns, EvalPolicy, SplitPolicy, stable_hash
@@ -48,12 +49,16 @@ def fold_models(folds: DataFrame, specs: list[TrialSpec], n_folds: int, seed: in
 def fold_scores(
     labelled: DataFrame, specs: TrialSpec | list[TrialSpec], n_folds: int = 5, seed: int = 20260501, columns: Columns = Columns()
 ) -> DataFrame:
-    """Out-of-fold scores of fixed configurations, keyed by run and fold.
+    """Out-of-fold scores of fixed configurations, keyed by run and fold."""
+    specs = [specs] if isinstance(specs, TrialSpec) else specs
+    return score_folds(cut_lineage(kfold(labelled, n_folds, seed, columns)), specs, n_folds, seed, columns)
+
+
+def score_folds(folds: DataFrame, specs: list[TrialSpec], n_folds: int, seed: int, columns: Columns = Columns()) -> DataFrame:
+    """``fold_scores`` of rows already dealt and written.
 
     Linear runs score every row by its own fold's coefficients in one pass for all runs.
     """
-    specs = [specs] if isinstance(specs, TrialSpec) else specs
-    folds = cut_lineage(kfold(labelled, n_folds, seed, columns))
     models = fold_models(folds, specs, n_folds, seed, columns)
     kept = [columns.entity, columns.target, columns.treatment]
     linear = [s for s in specs if s.family != "random" and s.estimator == "logistic_regression"]
@@ -194,19 +199,19 @@ def _stage_rows(specs: list[TrialSpec], judged: DataFrame) -> DataFrame:
     return judged.sparkSession.createDataFrame(rows, schema).join(found, "run_id")
 
 
-def _fold_stage(pool: DataFrame, specs: list[TrialSpec], n_folds: int, seed: int, columns: Columns) -> DataFrame:
+def _fold_stage(spark: SparkSession, folds: Callable[[], DataFrame], specs: list[TrialSpec], n_folds: int, seed: int, columns: Columns) -> DataFrame:
     """Every spec's mean over folds; one that fails leaves the others alone.
 
-    Logistic learners share their passes; other estimators are fitted one by one.
+    ``folds`` gives the dealt rows, written once for all stages. Logistic learners share their passes; other estimators are fitted one by one.
     """
     linear = [s for s in specs if s.family != "random" and s.estimator == "logistic_regression"]
     failed, scores = {}, []
     for group in ([linear] if linear else []) + [[s] for s in specs if s not in linear]:
         try:
-            scores.append(fold_scores(pool, group, n_folds, seed, columns))
+            scores.append(score_folds(folds(), group, n_folds, seed, columns))
         except Exception as error:  # one broken configuration must not end the stage
             failed |= {s.run_id: str(error) for s in group}
-    state = pool.sparkSession.createDataFrame([(s.run_id, failed.get(s.run_id)) for s in specs], "run_id string, error string")
+    state = spark.createDataFrame([(s.run_id, failed.get(s.run_id)) for s in specs], "run_id string, error string")
     if not scores:
         empty = {"n": F.lit(None).cast("long"), _CHOSEN: F.lit(None).cast("double"), "deviation": F.lit(None).cast("double")}
         return _stage_rows(specs, state.withColumns(empty | {"status": F.lit("failed")}))
@@ -256,15 +261,22 @@ def staged_selection(
         raise ValueError("all runs must share the split of the policy: another split would show them the test part")
     settings = selection_settings(specs, data, top_k, n_folds, policy, fold_seed)
     record = StageRecord(labelled.sparkSession, folder, settings, SELECTION_STAGES)
-    parts = None
+    spark = labelled.sparkSession
+
+    # The split and the folds are written once, by the first stage of a run that needs them.
+    @cache
+    def split() -> DataFrame:
+        return cut_lineage(stratified_split(labelled, policy, columns))
 
     def part(wanted: str) -> DataFrame:
-        nonlocal parts
-        parts = cut_lineage(stratified_split(labelled, policy, columns)) if parts is None else parts
-        return parts.filter(wanted).drop("split")
+        return split().filter(wanted).drop("split")
+
+    @cache
+    def dealt() -> DataFrame:
+        return cut_lineage(kfold(part("split <> 'test'"), n_folds, fold_seed, columns))
 
     def screen():
-        results = trial_results(run_trials(labelled, specs, policy, columns=columns), labelled.sparkSession)
+        results = trial_results(run_trials(labelled, specs, policy, columns=columns, splits={policy.seed: split()}), spark)
         return _stage_rows(specs, results.withColumn("deviation", F.lit(None).cast("double")))
 
     def tuned():
@@ -272,7 +284,7 @@ def staged_selection(
         for row in _best(record.table("folds"), top_k):
             leaders.setdefault(row["base_estimator"], _as_spec(row))
         grid = [s for leader in leaders.values() for s in tuning_specs(leader, (leader.split_seed,))]
-        return _fold_stage(part("split <> 'test'"), grid, n_folds, fold_seed, columns)
+        return _fold_stage(spark, dealt, grid, n_folds, fold_seed, columns)
 
     def champion():
         both = record.table("folds").unionByName(record.table("tuned"))
@@ -287,7 +299,7 @@ def staged_selection(
 
     def folds():
         finalists = [_as_spec(row) for row in _best(record.table("screen"), top_k)]
-        return _fold_stage(part("split <> 'test'"), finalists, n_folds, fold_seed, columns)
+        return _fold_stage(spark, dealt, finalists, n_folds, fold_seed, columns)
 
     builders = {"screen": screen, "folds": folds, "tuned": tuned, "champion": champion, "test": test}
     return union([record.run(stage, builders[stage]).select(F.lit(stage).alias("stage"), "*") for stage in SELECTION_STAGES])

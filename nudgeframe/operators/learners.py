@@ -379,21 +379,41 @@ class TrialBatch:
     records: list
 
 
+def _fit_together(train: DataFrame, specs: list[TrialSpec], columns: Columns) -> dict[str, UpliftModel]:
+    """{run_id: model} of the logistic specs among those of one seed, or nothing where they are to be fitted alone.
+
+    A setting that cannot be fitted ends the passes of all, so each is then fitted, or fails, alone.
+    """
+    linear = [s for s in specs if s.family in FAMILIES[1:] and s.estimator == "logistic_regression"]
+    if len(linear) < 2 or len({s.run_id for s in linear}) < len(linear):
+        return {}
+    names = feature_columns(train, columns, ("split", "fold"))
+    rows = train.withColumn("__fold", F.lit(0))
+    try:
+        fitted = fit_linear(rows, [(s.family, s.params) for s in linear], {0: [0]}, linear[0].split_seed, columns, names)
+    except Exception:
+        return {}
+    return {s.run_id: models[0] for s, models in zip(linear, fitted)}
+
+
 def run_trials(
     labelled: DataFrame,
     specs: list[TrialSpec],
     policy: SplitPolicy = SplitPolicy(),
     score_held_out: bool = False,
     columns: Columns = Columns(),
+    splits: dict[int, DataFrame] | None = None,
 ) -> TrialBatch:
     """Fit every spec on its seed's train part and score its validation part.
 
-    Only the loop over a few specs runs on the driver; a spec that fails, in fitting or
+    Logistic specs of a seed are fitted together, in as many passes as one of them takes.
+    ``splits`` passes on written splits by seed. Only the loop over a few specs runs on the driver; a spec that fails, in fitting or
     in scoring, is recorded and the batch goes on. Where a policy leaves the validation
     part empty, the test part takes its place. The test part is otherwise scored only
     on request.
     """
-    splits, judged, models, records, scores, held_out = {}, {}, {}, [], [], []
+    splits, judged, models, records, scores, held_out = dict(splits or {}), {}, {}, [], [], []
+    together = {}
     for spec in specs:
         record = {
             "run_id": spec.run_id, "uplift_learner_family": spec.family, "base_estimator": spec.estimator,
@@ -404,9 +424,12 @@ def run_trials(
                 chosen = replace(policy, seed=spec.split_seed)
                 splits[spec.split_seed] = cut_lineage(stratified_split(labelled, chosen, columns))
             parts = splits[spec.split_seed]
-            model = fit_uplift(
-                parts.filter("split = 'train'"), spec.family, spec.estimator, spec.params, spec.split_seed, columns
-            )
+            train = parts.filter("split = 'train'")
+            if spec.split_seed not in together:
+                together[spec.split_seed] = _fit_together(train, [s for s in specs if s.split_seed == spec.split_seed], columns)
+            model = together[spec.split_seed].get(spec.run_id)
+            if model is None:
+                model = fit_uplift(train, spec.family, spec.estimator, spec.params, spec.split_seed, columns)
             run = F.lit(spec.run_id).alias("run_id")
             if spec.split_seed not in judged:
                 judged[spec.split_seed] = "validation" if parts.filter("split = 'validation'").head(1) else "test"
