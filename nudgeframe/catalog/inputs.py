@@ -1,7 +1,7 @@
 """Campaign-study views over the benchmark parquet tables, for Spark and SQL.
 
-Both renderings use integer arithmetic or md5 prefixes only, so they agree row
-for row.
+Both renderings use integer arithmetic, md5 prefixes or the same double arithmetic,
+rounding included, so they agree row for row.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ class Study:
                 key.cast("string").alias("client_id"),
                 arm.alias("treatment_flg"),
                 (F.col("c_acctbal") > 5500 - 1500 * arm).cast("int").alias("target"),
-                F.round(F.col("c_acctbal") / F.lit(10000.0) - F.lit(0.3), 2).alias("uplift"),
+                clean.rounded(F.col("c_acctbal") / F.lit(10000.0) - F.lit(0.3), 2).alias("uplift"),
             )
         )
 
@@ -117,11 +117,11 @@ class Study:
         unit = clean.hash_uniform(F.col("client_id"), "m")
         ranked = F.array(
             F.struct(F.lit("m1").alias("run_id"), F.col("uplift").alias("uplift")),
-            F.struct(F.lit("m2").alias("run_id"), F.round(F.col("uplift") * 0.7 + unit * 0.2, 3).alias("uplift")),
+            F.struct(F.lit("m2").alias("run_id"), clean.rounded(F.col("uplift") * 0.7 + unit * 0.2, 3).alias("uplift")),
             F.struct(F.lit("m3").alias("run_id"), (-F.col("uplift")).alias("uplift")),
             F.struct(
                 F.lit("m4").alias("run_id"),
-                F.when(unit < 0.5, F.round(unit, 4)).alias("uplift"),
+                F.when(unit < 0.5, clean.rounded(unit, 4)).alias("uplift"),
             ),
         )
         return (
@@ -133,9 +133,9 @@ class Study:
     @property
     def arm_scores(self) -> DataFrame:
         """Scores with response probabilities under treatment and control."""
-        base = F.round(clean.hash_uniform(F.col("client_id"), "p"), 4)
+        base = clean.rounded(clean.hash_uniform(F.col("client_id"), "p"), 4)
         return self.scores.withColumn("p_control", base).withColumn(
-            "p_treated", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + F.col("uplift"))), 4)
+            "p_treated", clean.rounded(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + F.col("uplift"))), 4)
         )
 
     @property

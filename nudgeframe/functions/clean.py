@@ -126,5 +126,15 @@ def hash_uniform(key: Column, seed, digits: int = 7) -> Column:
     return F.conv(F.substring(hash_order(key, seed), 1, digits), 16, 10).cast("double") / F.lit(float(16**digits))
 
 
+def rounded(column: Column, digits: int) -> Column:
+    """The double times 10^digits, rounded half away from zero, over 10^digits, as DuckDB's ``round`` has it.
+
+    ``F.round`` decides by the double's shortest decimal, so values on half of the last digit
+    can fall to the other side.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(column * scale) / scale
+
+
 def short_hash(text: Column, length: int = 12) -> Column:
     return F.substring(F.sha2(text, 256), 1, length)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nudgeframe.config import EvalPolicy
+from nudgeframe.functions import clean
 from nudgeframe.operators import metrics
 from nudgeframe.operators.metrics import SCORE, TARGET, TREATMENT
 from nudgeframe.operators.quality import melted
@@ -128,7 +129,7 @@ def segment_summary(scores: DataFrame, threshold: float = 0.10, by=()) -> DataFr
     total = F.col("total_customers")
 
     def share(name):
-        return F.round(F.coalesce(F.col(name) / F.nullif(total.cast("double"), F.lit(0.0)), F.lit(0.0)), 3)
+        return clean.rounded(F.coalesce(F.col(name) / F.nullif(total.cast("double"), F.lit(0.0)), F.lit(0.0)), 3)
 
     return counts.select(
         *by,
