@@ -381,7 +381,9 @@ def sound_scores(scores: DataFrame, by) -> DataFrame:
     """The rows of groups whose scores break no rule."""
     sound = score_problems(scores, by).filter("problem is null").select(*[F.col(c).alias(f"__ok_{c}") for c in by])
     same = reduce(lambda a, b: a & b, [scores[c].eqNullSafe(sound[f"__ok_{c}"]) for c in by])
-    return scores.join(sound, same, "left_semi")
+    # One row per group, so nothing repeats. A semi join would be pushed into the branches of a union and,
+    # where a branch names its group by a literal, lose its key.
+    return scores.join(sound, same).select(*scores.columns)
 
 
 def metric_bundle_with_problems(scores: DataFrame, by, cutoffs=(0.05, 0.10, 0.20, 0.30)) -> DataFrame:
